@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetrail.operators.motion import spacing, with_rate
-from kinetrail.plans.blocks import index_series
+from kinetrail.plans.blocks import index_series, lookup, per_key
 
 KEY = ["capture_id"]
 CLIP = ["clip_id"]
@@ -96,9 +96,15 @@ def indexed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = indexed_events(spark, sf_dir)
-    from kinetrail.plans.blocks import lookup, per_key
+    """Sample rows with ``dt`` and ``fs``, derived once and kept as a table.
+
+    Stored by (key, block), so window chains on it start without an exchange.
+    """
+    return _once(spark, sf_dir, "samples", lambda: _samples(spark, sf_dir).checkpoint())
+
 
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = indexed_events(spark, sf_dir)
     first = per_key(ev, KEY, F.min("us").alias("_us0"))
     e = F.col("event_id")
     x = lookup(ev, KEY, first).select(
@@ -112,11 +118,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((e * 31) % 100 - 50) / 500.0).alias("gx"), (((e * 37) % 100 - 50) / 500.0).alias("gy"),
         (((e * 41) % 100 - 50) / 500.0).alias("gz"),
     ).withColumn("phase", F.when(F.col("t") < 2.0, 0).when(F.col("t") > 12.0, 2).otherwise(1))
-    return spacing(x, KEY)
-
-
-def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_rate(samples(spark, sf_dir), KEY)
+    return with_rate(spacing(x, KEY), KEY)
 
 
 def reps(spark: SparkSession, sf_dir: str) -> DataFrame:

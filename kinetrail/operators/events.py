@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinetrail.functions import geometry as geo
 from kinetrail.operators.motion import ACCEL, GYRO, magnitude
 from kinetrail.operators.windows import (
-    HALO_ROWS, _TINY, _scaled, frame_rows, local_maxima, rolling_mean, rolling_variance, windowed_scaled,
+    AROUND, HALO_ROWS, _scaled, frame_rows, local_maxima, rolling_mean, rolling_variance, windowed_scaled,
 )
 from kinetrail.plans.blocks import BLOCK, block_rows, lookup, neighbours, per_key, windowed
 from kinetrail.plans.joins import time_range_join
@@ -65,7 +65,7 @@ def rest_scores(series: DataFrame, keys: Sequence[str], window_s: float = 0.05,
     x = _scaled(rolled, width, halo)
 
     def build(w):
-        frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(-1.0 - _TINY, 1.0 - _TINY)
+        frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*AROUND)
         return {"mean_mag": F.avg("_mag").over(frame)}
 
     near = windowed_scaled(x, keys, build, halo, halo, rows).drop("_w", "_u")

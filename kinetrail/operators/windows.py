@@ -16,7 +16,13 @@ from kinetrail.plans.blocks import (
 )
 
 HALO_ROWS = 4096
-_TINY = 1e-9
+_SCALE = 1 << 20   # window lengths are measured in units of 1 / _SCALE
+
+# frames over ``_u`` that hold exactly ``_w`` rows (neighbours differ by at
+# least _SCALE / halo units, far above the rounding slack of 2)
+CENTRED = (-(_SCALE // 2) - 2, _SCALE // 2 - 3)
+FORWARD = (-2, _SCALE - 3)
+AROUND = (-_SCALE - 2, _SCALE - 3)
 
 
 def frame_rows(seconds: float, least: int, fs: Column | str = "fs") -> Column:
@@ -38,7 +44,7 @@ def _scaled(series: DataFrame, width: Column, halo: int) -> DataFrame:
 
 
 def _position(rows: int) -> Column:
-    return (F.col("i") - F.col(BLOCK) * rows) / F.col("_w")
+    return F.floor((F.col("i") - F.col(BLOCK) * rows) * _SCALE / F.col("_w"))
 
 
 def rolling_variance(
@@ -53,7 +59,7 @@ def rolling_variance(
     x = _scaled(series.withColumns({f"_x_{o}": c for o, c in values.items()}), width, halo)
 
     def build(w):
-        frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(-0.5 - _TINY, 0.5 - _TINY)
+        frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*CENTRED)
         whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         pad = F.floor(F.col("_w") / 2)
         left = F.greatest(pad - F.col("i"), F.lit(0))
@@ -186,7 +192,7 @@ def stillest_window(
     x = _scaled(opening, F.col("_len"), halo)
 
     def build(w):
-        frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(-_TINY, 1.0 - _TINY)
+        frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*FORWARD)
         mean = F.sum("_x").over(frame) / F.col("_w")
         return {"_var": F.sum(F.col("_x") * F.col("_x")).over(frame) / F.col("_w") - mean * mean}
 
@@ -224,7 +230,7 @@ def hold_windows(
                 F.greatest(F.col("_len"), F.lit(1)), halo)
 
     def build(w):
-        frame = W.partitionBy(*part, BLOCK).orderBy("_u").rangeBetween(-_TINY, 1.0 - _TINY)
+        frame = W.partitionBy(*part, BLOCK).orderBy("_u").rangeBetween(*FORWARD)
         return {"_score": F.sum("_x").over(frame) / F.col("_w")}
 
     scored = windowed_scaled(x, part, build, 0, halo, rows)

@@ -75,6 +75,39 @@ def time_range_join(
     return joined.select(*[F.col(f"p.{c}") for c in mine], *[F.col(f"v.{c}") for c in extra])
 
 
+def overlap_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str],
+    right_span: tuple[str, str], width: float,
+) -> DataFrame:
+    """Pairs of overlapping closed time spans of the same key, each pair once.
+
+    Both sides are laid over time cells; a pair meeting in several cells is
+    kept in the first one it shares.
+    """
+    (la, lb), (ra, rb) = left_span, right_span
+    a = time_cells(left, F.col(la), F.col(lb), width).alias("a")
+    b = time_cells(right, F.col(ra), F.col(rb), width).alias("b")
+    cond = (F.col(f"a.{lb}") >= F.col(f"b.{ra}")) & (F.col(f"a.{la}") <= F.col(f"b.{rb}"))
+    cond = cond & (F.col("a._cell") == F.greatest(
+        F.floor(F.col(f"a.{la}") / width), F.floor(F.col(f"b.{ra}") / width)))
+    for c in [*keys, "_cell"]:
+        cond = (F.col(f"a.{c}") == F.col(f"b.{c}")) & cond
+    extra = [c for c in right.columns if c not in keys and c not in left.columns]
+    return a.join(b, cond).select(
+        *[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in extra])
+
+
+def salted_join(
+    rows: DataFrame, table: DataFrame, on: Sequence[str], spread_by: Column, salts: int = 16,
+    how: str = "inner",
+) -> DataFrame:
+    """Equi-join whose left side may hold a hot key: rows are spread over
+    ``salts`` copies of the (small per key) right side."""
+    left = rows.withColumn("_salt", F.pmod(spread_by, F.lit(salts)).cast("int"))
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def bracket(
     queries: DataFrame, reference: DataFrame, keys: Sequence[str], time: str, values: Sequence[str],
 ) -> DataFrame:
