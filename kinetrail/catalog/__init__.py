@@ -6,7 +6,7 @@ turns it into ``queries()`` and ``oracle_sql()``.
 
 from importlib import import_module
 
-MODULES = ("signals",)
+MODULES = ("signals", "events")
 
 
 def load() -> None:

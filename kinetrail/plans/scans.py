@@ -328,3 +328,31 @@ def tile_products(
         F.sum("_hits").alias("hits"), F.max("_best").alias("best"),
         F.max_by("_best_id", F.struct("_best", -F.col("_best_id"))).alias("best_id"),
     ).withColumn("best_id", F.when(F.col("best") > F.lit(float("-inf")), F.col("best_id")))
+
+
+def tile_signatures(vectors: DataFrame, keys: Sequence[str], ident: str, vector: str, threshold: float,
+                    tile: int = 2048) -> DataFrame:
+    """Per vector the count and hash sum of the members it is similar to
+    (itself included): equal signatures mean equal sets, and no set is listed."""
+    keys = list(keys)
+    t = vectors.select(*keys, "n", F.col(ident).alias("_id"), F.col(vector).alias("_v"),
+                       F.shiftright(F.xxhash64(F.col(ident)), 24).alias("_mark"),
+                       F.floor(F.col("i") / tile).cast("long").alias("_tile"))
+    tiles = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / tile).cast("long"))
+    left = t.withColumn("_other", F.explode(tiles)).drop("n")
+    right = t.withColumn("_mine", F.explode(tiles)).select(
+        *keys, F.col("_mine").alias("_tile"), F.col("_tile").alias("_other"), "_v", "_mark")
+    schema = T.StructType([
+        *[vectors.schema[k] for k in keys], T.StructField(ident, vectors.schema[ident].dataType),
+        T.StructField("_c", T.LongType()), T.StructField("_h", T.LongType())])
+
+    def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if l.empty or r.empty:
+            return pd.DataFrame({f.name: [] for f in schema})
+        hit = np.stack(l["_v"].to_numpy()) @ np.stack(r["_v"].to_numpy()).T > threshold
+        return pd.DataFrame({**{c: l[c].iloc[0] for c in keys}, ident: l["_id"].to_numpy(),
+                             "_c": hit.sum(axis=1), "_h": hit.astype(np.int64) @ r["_mark"].to_numpy()})
+
+    group = [*keys, "_tile", "_other"]
+    parts = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
+    return parts.groupBy(*keys, ident).agg(F.sum("_c").alias("_c"), F.sum("_h").alias("_h"))
