@@ -12,7 +12,7 @@ from kinetrail.plans.joins import interpolate, interval_join, overlap_join, time
 from kinetrail.plans.quantiles import exact_quantiles
 from kinetrail.plans.scans import refractory, tile_products
 
-HOT = 350.0
+HOT = 60.0
 _HOT_G = 0.35
 
 # the events of interest in most queries: samples with a high value, quiet for
@@ -108,12 +108,12 @@ def _(spark, d):
 
 
 @query("g14_outer_extrema", "clip_id kind i", "t height", """
-  WITH RECURSIVE ext AS (SELECT *, row_number() OVER (PARTITION BY clip_id, kind ORDER BY i) AS r FROM (
+  WITH RECURSIVE near AS (SELECT *, lag(height) OVER w AS a, lead(height) OVER w AS b, min(height) OVER k AS lo, max(height) OVER k AS hi
+      FROM track WINDOW w AS (PARTITION BY clip_id ORDER BY i), k AS (PARTITION BY clip_id)),
+    ext AS (SELECT *, row_number() OVER (PARTITION BY clip_id, kind ORDER BY i) AS r FROM (
       SELECT clip_id, i, t, height, CASE WHEN height <= a AND height <= b AND height < lo + (hi - lo)/3 THEN 'touch' END AS kind FROM near
       UNION ALL SELECT clip_id, i, t, height, CASE WHEN height >= a AND height >= b AND height > hi - (hi - lo)/3 THEN 'lockout' END FROM near)
       WHERE kind IS NOT NULL),
-    near AS (SELECT *, lag(height) OVER w AS a, lead(height) OVER w AS b, min(height) OVER k AS lo, max(height) OVER k AS hi
-      FROM track WINDOW w AS (PARTITION BY clip_id ORDER BY i), k AS (PARTITION BY clip_id)),
     walk AS (SELECT *, t AS last, true AS hit FROM ext WHERE r = 1
       UNION ALL SELECT c.*, CASE WHEN c.t - w.last > 0.8 THEN c.t ELSE w.last END, c.t - w.last > 0.8
       FROM walk w JOIN ext c ON c.clip_id = w.clip_id AND c.kind = w.kind AND c.r = w.r + 1)
@@ -145,24 +145,24 @@ _BRACKET = """SELECT s.capture_id, s.i, CASE WHEN p.t IS NULL THEN {lo} WHEN q.t
   ASOF LEFT JOIN clock q ON s.capture_id = q.capture_id AND s.t <= q.t"""
 
 
-@query("j2_asof_interpolate", "capture_id i", "v", f"WITH {_TRK} " + _BRACKET.format(lo="q.v", hi="p.v"), "track")
+@query("j2_asof_interpolate", "capture_id i", "v", f"WITH {_TRK} " + _BRACKET.format(lo="q.v", hi="p.v"), "track", places=3)
 def _(spark, d):
     return interpolate(samples(spark, d).select(*KEY, "i", "t"), clock(spark, d), KEY, "t", ["v"])
 
 
-@query("j3_interpolate_zero_fill", "capture_id i", "v", f"WITH {_TRK} " + _BRACKET.format(lo="0", hi="0"), "track")
+@query("j3_interpolate_zero_fill", "capture_id i", "v", f"WITH {_TRK} " + _BRACKET.format(lo="0", hi="0"), "track", places=3)
 def _(spark, d):
     return interpolate(samples(spark, d).select(*KEY, "i", "t"), clock(spark, d), KEY, "t", ["v"], outside="fill")
 
 
-_TWO = """lft AS (SELECT capture_id, t, row_number() OVER (PARTITION BY capture_id ORDER BY i) - 1 AS k FROM samples WHERE value > 400),
-  rgt AS (SELECT capture_id, t, row_number() OVER (PARTITION BY capture_id ORDER BY i) - 1 AS k FROM samples WHERE value < 100),
+_TWO = """lft AS (SELECT capture_id, t, row_number() OVER (PARTITION BY capture_id ORDER BY i) - 1 AS k FROM samples WHERE value > 80),
+  rgt AS (SELECT capture_id, t, row_number() OVER (PARTITION BY capture_id ORDER BY i) - 1 AS k FROM samples WHERE value < 10),
   pairs AS (SELECT capture_id, k, lft.t AS left_t, rgt.t AS right_t FROM lft JOIN rgt USING (capture_id, k))"""
 
 
 def pairs(spark, d):
     s = samples(spark, d)
-    return sync.match_events(s.filter("value > 400"), s.filter("value < 100"), KEY)
+    return sync.match_events(s.filter("value > 80"), s.filter("value < 10"), KEY)
 
 
 @query("j4_match_by_position", "capture_id k", "left_t right_t", f"WITH {_TWO} SELECT * FROM pairs", "samples")
@@ -170,14 +170,14 @@ def _(spark, d):
     return pairs(spark, d)
 
 
-@query("a4_affine_fit", "capture_id events refused", "slope offset rms_ms drift_pct", f"""
-  WITH {_TWO}, fit AS (SELECT capture_id, count(*) AS events, regr_slope(left_t, right_t) AS slope, regr_intercept(left_t, right_t) AS offset
+@query("a4_affine_fit", "capture_id events refused", "slope shift rms_ms drift_pct", f"""
+  WITH {_TWO}, fit AS (SELECT capture_id, count(*) AS events, regr_slope(left_t, right_t) AS slope, regr_intercept(left_t, right_t) AS shift
     FROM pairs GROUP BY 1)
-  SELECT capture_id, events, events < 2 AS refused, max(slope) AS slope, max("offset") AS "offset",
-    sqrt(avg(pow(left_t - slope*right_t - "offset", 2)))*1000 AS rms_ms, (max(slope)-1)*100 AS drift_pct
-  FROM pairs JOIN fit USING (capture_id) GROUP BY ALL""".replace(" AS offset", ' AS "offset"'), "samples", places=3)
+  SELECT capture_id, events, events < 2 AS refused, max(slope) AS slope, max(shift) AS shift,
+    sqrt(avg(pow(left_t - slope*right_t - shift, 2)))*1000 AS rms_ms, (max(slope)-1)*100 AS drift_pct
+  FROM pairs JOIN fit USING (capture_id) GROUP BY ALL""", "samples", places=3)
 def _(spark, d):
-    return sync.affine_fit(pairs(spark, d), KEY)
+    return sync.affine_fit(pairs(spark, d), KEY).withColumnRenamed("offset", "shift")
 
 
 @query("p7_clock_conversion", "clip_id i", "log_t", """
@@ -271,7 +271,7 @@ def _(spark, d):
 
 @query("a1_key_statistics", "capture_id", "mid p95 mean lo hi std ptp", """
   SELECT capture_id, median(value) AS mid, quantile_cont(value, 0.95) AS p95, avg(value) AS mean, min(value) AS lo, max(value) AS hi,
-    stddev_pop(value) AS std, max(value) - min(value) AS ptp FROM base GROUP BY 1""", "base", places=3)
+    stddev_pop(value) AS std, max(value) - min(value) AS ptp FROM base GROUP BY 1""", "base", places=4)
 def _(spark, d):
     s = samples(spark, d)
     q = exact_quantiles(s, KEY, {"mid": ("value", 0.5), "p95": ("value", 0.95)})
@@ -326,9 +326,9 @@ def _(spark, d):
 
 @query("a9_guarded_correlation", "capture_id", "corr", """
   SELECT capture_id, CASE WHEN count(*) >= 5 AND stddev_pop(ax) > 1e-9 AND stddev_pop(ay) > 1e-9 THEN corr(ax, ay) END AS corr
-  FROM samples WHERE value > 400 GROUP BY 1""", "samples")
+  FROM samples WHERE value > 80 GROUP BY 1""", "samples")
 def _(spark, d):
-    return samples(spark, d).filter("value > 400").groupBy(*KEY).agg(score.guarded_corr("ax", "ay").alias("corr"))
+    return samples(spark, d).filter("value > 80").groupBy(*KEY).agg(score.guarded_corr("ax", "ay").alias("corr"))
 
 
 @query("a12_ratio_of_medians", "capture_id", "ratio rep_ratio", """
@@ -379,8 +379,8 @@ def _(spark, d):
 
 @query("g3_shape_vectors", "capture_id lobe g", "w", f"""
   WITH {_LOBES}, pts AS (SELECT capture_id, lobe, g, peak_t - 1.5 + g * 3.0 / 119 AS at FROM lobes, (SELECT unnest(range(0, 120)) AS g)),
-  y AS (SELECT p.capture_id, p.lobe, p.g, CASE WHEN a.t IS NULL OR b.t IS NULL THEN 0 WHEN a.t = b.t THEN a.value - 245
-    ELSE a.value - 245 + (b.value - a.value) * (p.at - a.t) / (b.t - a.t) END AS y FROM pts p
+  y AS (SELECT p.capture_id, p.lobe, p.g, CASE WHEN a.t IS NULL OR b.t IS NULL THEN 0 WHEN a.t = b.t THEN a.value - 40
+    ELSE a.value - 40 + (b.value - a.value) * (p.at - a.t) / (b.t - a.t) END AS y FROM pts p
     ASOF LEFT JOIN samples a ON a.capture_id = p.capture_id AND p.at >= a.t ASOF LEFT JOIN samples b ON b.capture_id = p.capture_id AND p.at <= b.t)
   SELECT capture_id, lobe, g, (y - m) / s AS w FROM y JOIN (
     SELECT capture_id, lobe, avg(y) AS m, sqrt(sum(y*y) - count(*)*avg(y)*avg(y)) AS s FROM y GROUP BY 1, 2) USING (capture_id, lobe)""", "samples")
@@ -389,7 +389,7 @@ def _(spark, d):
 
 
 def shapes(spark, d):
-    s = samples(spark, d).withColumn("s", F.col("value") - 245)
+    s = samples(spark, d).withColumn("s", F.col("value") - 40)
     return segment.shape_vectors(s, lobe_rows(spark, d), KEY, "s")
 
 
@@ -417,7 +417,7 @@ def _(spark, d):
 
 
 @query("g13_cadence_sweep", "capture_id kept", "lowest highest", f"""
-  WITH {_UP}, src AS (SELECT *, 1.1 + 0.3 * z AS tol FROM up, (SELECT unnest(range(0, 6)) AS z)),
+  WITH {_UP}, src AS (SELECT *, 1.1 + 0.3 * step AS tol FROM up, (SELECT unnest(range(0, 6)) AS step)),
   {_RUNS.format(key="capture_id, tol", same="src.capture_id = rn.capture_id AND src.tol = rn.tol")}
   SELECT capture_id, c AS kept, min(tol) AS lowest, max(tol) AS highest FROM (SELECT capture_id, tol, count(*) AS c FROM kept GROUP BY ALL) GROUP BY ALL""", "samples")
 def _(spark, d):
@@ -481,7 +481,7 @@ def _(spark, d):
 
 @query("g5_rep_bounds", "capture_id rep start_i stop_i")
 def _(spark, d):
-    s = samples(spark, d).withColumn("vz", F.col("value") / 100 - 2.45)
+    s = samples(spark, d).withColumn("vz", F.col("value") / 20 - 2.0)
     return segment.rep_bounds(s, KEY, "vz", impact_args={"threshold_g": 0.5, "gap_s": 0.5, "skip_s": 1.0},
                               band=(0.12, 1.0), similarity=0.3)
 

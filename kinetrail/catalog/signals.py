@@ -342,16 +342,16 @@ def _(spark, d):
 
 @query("w8_runs", "capture_id start_i stop_i len", "", """
   SELECT capture_id, min(i) AS start_i, max(i) + 1 AS stop_i, count(*) AS len FROM (
-    SELECT capture_id, i, i - row_number() OVER (PARTITION BY capture_id ORDER BY i) AS island FROM samples WHERE value > 200)
+    SELECT capture_id, i, i - row_number() OVER (PARTITION BY capture_id ORDER BY i) AS island FROM samples WHERE value > 50)
   GROUP BY capture_id, island""", "samples")
 def _(spark, d):
-    return runs(samples(spark, d), KEY, F.col("value") > 200)
+    return runs(samples(spark, d), KEY, F.col("value") > 50)
 
 
 _LOBES = """lobed AS (
   SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER w AS run, CASE WHEN same THEN (s + ps)/2*(t - pt) ELSE 0 END AS slab FROM (
     SELECT *, coalesce((s >= 0) = (ps >= 0), false) AS same FROM (
-      SELECT capture_id, i, t, value - 245 AS s, lag(value - 245) OVER w AS ps, lag(t) OVER w AS pt FROM samples
+      SELECT capture_id, i, t, value - 40 AS s, lag(value - 40) OVER w AS ps, lag(t) OVER w AS pt FROM samples
       WINDOW w AS (PARTITION BY capture_id ORDER BY i)))
   WINDOW w AS (PARTITION BY capture_id ORDER BY i)),
   lobes AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY start_i) - 1 AS lobe FROM (
@@ -362,7 +362,7 @@ _LOBES = """lobed AS (
 
 
 def lobe_rows(spark, d):
-    s = samples(spark, d).withColumn("s", F.col("value") - 245)
+    s = samples(spark, d).withColumn("s", F.col("value") - 40)
     return windows.lobes(s, KEY, "s", min_area=5.0, min_rows=2)
 
 
@@ -374,9 +374,9 @@ def _(spark, d):
 
 @query("w10_local_maxima", "capture_id i", "value", """
   SELECT capture_id, i, value FROM (SELECT *, value >= lag(value) OVER w AND value >= lead(value) OVER w AS p FROM samples
-    WINDOW w AS (PARTITION BY capture_id ORDER BY i)) WHERE p AND value > 300""", "samples")
+    WINDOW w AS (PARTITION BY capture_id ORDER BY i)) WHERE p AND value > 60""", "samples")
 def _(spark, d):
-    return windows.local_maxima(samples(spark, d), KEY, "value", F.col("value") > 300)
+    return windows.local_maxima(samples(spark, d), KEY, "value", F.col("value") > 60)
 
 
 @query("w14_dwells", "capture_id start_i stop_i", "mid", """

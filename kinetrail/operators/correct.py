@@ -8,33 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.operators.motion import POSITION, VELOCITY, WORLD, double_integral
-from kinetrail.plans.blocks import BLOCK, lookup, neighbours, ordinal, prefix, reblock
+from kinetrail.plans.blocks import BLOCK, lookup, neighbours, ordinal, prefix, reblock, settle
 from kinetrail.plans.joins import interval_join
 
 
-def cut(series: DataFrame, reps: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def cut(series: DataFrame, reps: DataFrame, keys: Sequence[str], carry: Sequence[str] = (),
+        ends: Sequence[str] = (), edge: int = 1) -> DataFrame:
     """Samples inside their windows, with ``rep, start_i, stop_i``, the row
-    number ``j`` and the time ``tau`` since the window opened."""
-    bounds = reps.select(*keys, "rep", "start_i", "stop_i", *carry)
-    ends = interval_join(series.select(*keys, "i", BLOCK, "t"), bounds, keys).groupBy(*keys, "rep").agg(
-        F.min("t").alias("t0"), F.max("t").alias("t1"))
-    return interval_join(series, bounds.join(ends, [*keys, "rep"]), keys).withColumns({
-        "j": F.col("i") - F.col("start_i"), "tau": F.col("t") - F.col("t0"),
-        "duration": F.col("t1") - F.col("t0")})
+    number ``j``, the time ``tau`` since the window opened and ``duration``.
 
-
-def _edge_stats(rows: DataFrame, keys: Sequence[str], values: Sequence[str], edge: int) -> DataFrame:
-    """Medians of the first and last ``edge`` rows of a rep and the mean times."""
+    For every column in ``ends`` the rep's first value is attached as
+    ``first_<c>`` and the change from the median of its first ``edge`` rows to
+    that of its last as ``rise_<c>`` (``span`` is the matching time).  Each rep
+    is summarised to one row and laid back over its samples.
+    """
+    keys = list(keys)
+    bounds = reps.select(*keys, "rep", "start_i", "stop_i", *carry)
     size = F.col("stop_i") - F.col("start_i")
     e = F.greatest(F.least(F.lit(edge).cast("long"), F.floor(size / 2).cast("long")), F.lit(1).cast("long"))
-    head, tail = F.col("j") < e, F.col("j") >= size - e
-    near = rows.filter(head | tail)
-    return near.groupBy(*keys, "rep").agg(
-        F.max(size).alias("_size"),
-        (F.avg(F.when(tail, F.col("t"))) - F.avg(F.when(head, F.col("t")))).alias("_span"),
-        # the median is over at most ``edge`` rows
-        *[(F.median(F.when(tail, F.col(v))) - F.median(F.when(head, F.col(v)))).alias(f"_d_{v}") for v in values],
-    )
+    head, tail = F.col("i") < F.col("start_i") + e, F.col("i") >= F.col("stop_i") - e
+    near = interval_join(series.select(*keys, "i", BLOCK, "t", *ends), bounds, keys).filter(head | tail)
+    stats = near.groupBy(*bounds.columns).agg(
+        F.min("t").alias("t0"), F.max("t").alias("t1"),
+        (F.avg(F.when(tail, F.col("t"))) - F.avg(F.when(head, F.col("t")))).alias("span"),
+        *[F.min_by(c, "i").alias(f"first_{c}") for c in ends],
+        # a median over at most ``edge`` rows; with one row it is that row
+        *[((F.max_by(c, "i") - F.min_by(c, "i")) if edge == 1 else
+           (F.median(F.when(tail, F.col(c))) - F.median(F.when(head, F.col(c))))).alias(f"rise_{c}") for c in ends])
+    return interval_join(series, stats, keys).withColumns({
+        "j": F.col("i") - F.col("start_i"), "tau": F.col("t") - F.col("t0"),
+        "duration": F.col("t1") - F.col("t0")})
 
 
 def detrend(
@@ -45,40 +48,24 @@ def detrend(
     """Remove the line (order 1) or parabola (order 2) joining a rep's ends.
 
     Order 2 also closes the velocity.  Reps of one row, or of no duration, are
-    left as they are.  ``from_origin`` then moves each rep to start at zero.
+    left as they are.  ``from_origin`` then moves each rep to start at zero
+    (nothing is removed at its first row, so that is its own first value).
     """
     keys = list(keys)
     second = order >= 2 and velocity is not None
-    rows = cut(series, reps, keys, carry)
     values = [*position, *(velocity if second else ())]
-    stats = _edge_stats(rows, keys, values, edge)
-    bounds = reps.select(*keys, "rep", "start_i", "stop_i").join(stats, [*keys, "rep"])
-    table = bounds.drop("rep").withColumnRenamed("start_i", "_s").withColumnRenamed("stop_i", "_e").select(
-        *keys, "_s", "_e", "_size", "_span", *[f"_d_{v}" for v in values])
-    rows = interval_join(rows, table, keys, "_s", "_e").filter(F.col("_s") == F.col("start_i"))
-    live = (F.col("_size") >= 2) & (F.col("_span") > 0)
+    rows = cut(series, reps, keys, carry, values, edge)
+    live = (F.col("stop_i") - F.col("start_i") >= 2) & (F.col("span") > 0)
     fixed = {}
     for k, p in enumerate(position):
-        if k not in axes:
-            continue
-        tau, span, d = F.col("tau"), F.col("_span"), F.col(f"_d_{p}")
+        tau, span, d = F.col("tau"), F.col("span"), F.col(f"rise_{p}")
         drift = tau / span * d
         if second:
-            dv = F.col(f"_d_{velocity[k]}")
+            dv = F.col(f"rise_{velocity[k]}")
             drift = dv / (2.0 * span) * tau * tau + (d / span - dv / 2.0) * tau
-        fixed[p] = F.when(live, F.col(p) - drift).otherwise(F.col(p))
-    out = rows.withColumns(fixed).drop("_s", "_e", "_size", "_span", *[f"_d_{v}" for v in values])
-    return to_origin(out, keys, position) if from_origin else out
-
-
-def to_origin(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Subtract each rep's first row.  Rows carry ``rep, start_i, stop_i``."""
-    first = rows.filter("j = 0").select(
-        *keys, F.col("start_i").alias("_s"), F.col("stop_i").alias("_e"), F.col("rep").alias("_rep"),
-        *[F.col(v).alias(f"_f_{v}") for v in values])
-    joined = interval_join(rows, first, keys, "_s", "_e").filter(F.col("_rep") == F.col("rep"))
-    return joined.withColumns({v: F.col(v) - F.col(f"_f_{v}") for v in values}).drop(
-        "_s", "_e", "_rep", *[f"_f_{v}" for v in values])
+        moved = F.when(live, F.col(p) - drift).otherwise(F.col(p)) if k in axes else F.col(p)
+        fixed[p] = moved - F.col(f"first_{p}") if from_origin else moved
+    return rows.withColumns(fixed).drop("span", *[f"{x}_{v}" for v in values for x in ("first", "rise")])
 
 
 def detrend_knots(series: DataFrame, knots: DataFrame, keys: Sequence[str],
@@ -92,7 +79,7 @@ def detrend_knots(series: DataFrame, knots: DataFrame, keys: Sequence[str],
     x = series.join(marks, [*keys, "i"], "left")
     pack = F.when(F.col("_knot"), F.struct("i", "t", *position))
     x = prefix(x, keys, {"_b": ("last", pack), "_k": ("sum", F.coalesce(F.col("_knot").cast("long"), F.lit(0)))})
-    x = prefix(x, keys, {"_a": ("last", pack)}, reverse=True)
+    x = settle(prefix(settle(x), keys, {"_a": ("last", pack)}, reverse=True))
     ref = x.filter("_knot and _k = 1").select(*keys, "n", *[F.col(p).alias(f"_r_{p}") for p in position])
     count = marks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_knots"))
     x = lookup(x, keys, ref.join(count, list(keys)))
@@ -127,7 +114,7 @@ def rest_windows(rests: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def parabola_coefficients(rows: DataFrame, keys: Sequence[str], values: Sequence[str], tau: Column,
-                          duration: Column) -> DataFrame:
+                          duration: Column, extra: Sequence[Column] = ()) -> DataFrame:
     """Least-squares size of ``tau (tau - T) / 2`` per group, with r2 and tilt."""
     basis = tau * (tau - duration) / 2.0
     x = rows.withColumn("_b", basis)
@@ -135,7 +122,7 @@ def parabola_coefficients(rows: DataFrame, keys: Sequence[str], values: Sequence
         F.sum(F.col("_b") * F.col("_b")).alias("_bb"),
         *[F.sum(F.col("_b") * F.col(v)).alias(f"_by_{v}") for v in values],
         *[F.sum(F.col(v) * F.col(v)).alias(f"_yy_{v}") for v in values],
-        *[(F.max(v) - F.min(v)).alias(f"excursion_{v}") for v in values],
+        *[(F.max(v) - F.min(v)).alias(f"excursion_{v}") for v in values], *extra,
     )
     out = {}
     for v in values:
@@ -150,14 +137,16 @@ def parabola_coefficients(rows: DataFrame, keys: Sequence[str], values: Sequence
 
 def remove_parabola(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Subtract each rep's own parabola (true sample times), then its start."""
-    fit = parabola_coefficients(rows, [*keys, "rep", "start_i", "stop_i"], values, F.col("tau"), F.col("duration"))
+    fit = parabola_coefficients(
+        rows, [*keys, "rep", "start_i", "stop_i"], values, F.col("tau"), F.col("duration"),
+        [F.min_by(v, "j").alias(f"_f_{v}") for v in values])
     table = fit.select(*keys, F.col("rep").alias("_rep"), F.col("start_i").alias("_s"), F.col("stop_i").alias("_e"),
-                       *[F.col(f"c_{v}").alias(f"_c_{v}") for v in values])
+                       *[F.col(f"c_{v}").alias(f"_c_{v}") for v in values], *[f"_f_{v}" for v in values])
     x = interval_join(rows, table, keys, "_s", "_e").filter("_rep = rep")
     basis = F.col("tau") * (F.col("tau") - F.col("duration")) / 2.0
-    fixed = x.withColumns({v: F.col(v) - F.col(f"_c_{v}") * basis for v in values}).drop(
-        "_rep", "_s", "_e", *[f"_c_{v}" for v in values])
-    return to_origin(fixed, keys, values)
+    # the parabola is zero at the rep's first row, so the start stays its value
+    return x.withColumns({v: F.col(v) - F.col(f"_c_{v}") * basis - F.col(f"_f_{v}") for v in values}).drop(
+        "_rep", "_s", "_e", *[f"_{p}_{v}" for p in "cf" for v in values])
 
 
 def jump_windows(rests: DataFrame, impact_rows: DataFrame, series: DataFrame, keys: Sequence[str],

@@ -13,7 +13,7 @@ from kinetrail.operators.motion import ACCEL, GYRO, magnitude
 from kinetrail.operators.windows import (
     AROUND, HALO_ROWS, _scaled, frame_rows, local_maxima, rolling_mean, rolling_variance, windowed_scaled,
 )
-from kinetrail.plans.blocks import BLOCK, block_rows, lookup, neighbours, per_key, windowed
+from kinetrail.plans.blocks import BLOCK, block_rows, lookup, neighbours, per_key, settle, windowed
 from kinetrail.plans.joins import time_range_join
 from kinetrail.plans.quantiles import exact_medians
 from kinetrail.plans.scans import refractory
@@ -68,7 +68,7 @@ def rest_scores(series: DataFrame, keys: Sequence[str], window_s: float = 0.05,
         frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*AROUND)
         return {"mean_mag": F.avg("_mag").over(frame)}
 
-    near = windowed_scaled(x, keys, build, halo, halo, rows).drop("_w", "_u")
+    near = settle(windowed_scaled(x, keys, build, halo, halo, rows).drop("_w", "_u"))
     med = per_key(series, keys).join(
         exact_medians(near, keys, {"_ma": "_av", "_mg": "_gv"}), list(keys))
     scored = lookup(near, keys, med)

@@ -48,6 +48,18 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once (reliable checkpoint) and read it back.
+
+    Used where a result feeds several branches: recomputing it per branch would
+    grow with the depth of the plan.  Already settled frames pass through.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRDD":
+        return df
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def block_of(df: DataFrame, position: Column | str) -> Column:
     """Block number of a position column."""
     col = F.col(position) if isinstance(position, str) else position
@@ -245,7 +257,7 @@ def neighbours(
 
     ``cols`` maps new name -> source column.
     """
-    packed = rows.withColumn("_pack", F.struct(*[F.col(c).alias(n) for n, c in cols.items()]))
+    packed = settle(rows).withColumn("_pack", F.struct(*[F.col(c).alias(n) for n, c in cols.items()]))
     got = prefix(
         packed, keys, {"_near": ("last", "_pack")}, inclusive=False, reverse=step > 0, order=order
     )
@@ -255,5 +267,4 @@ def neighbours(
 def ordinal(rows: DataFrame, keys: Sequence[str], name: str = "k",
             order: Sequence[str] = ("i",)) -> DataFrame:
     """Zero-based rank of sparse rows inside their key."""
-    ranked = prefix(rows, keys, {name: ("count", F.lit(1))}, order=order)
-    return ranked.withColumn(name, F.col(name) - 1)
+    return prefix(settle(rows), keys, {name: ("count", F.lit(1))}, inclusive=False, order=order)

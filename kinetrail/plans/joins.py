@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.plans.blocks import BLOCK, block_rows, index_series, prefix
+from kinetrail.plans.blocks import BLOCK, block_rows, index_series, prefix, settle
 
 
 def interval_join(
@@ -130,7 +130,7 @@ def bracket(
         F.struct(*rest).alias("_row"),
     )
     merged = index_series(ref.unionByName(ask), keys, [time, "_side"])
-    back = prefix(merged, keys, {"_prev": ("last", "_ref")})
+    back = settle(prefix(merged, keys, {"_prev": ("last", "_ref")}))
     # a reference row at exactly the query time sorts before the query, so the
     # backward match covers it and serves as the forward match too
     both = prefix(back, keys, {"_ahead": ("last", "_ref")}, reverse=True)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetrail.plans.blocks import BLOCK, block_of, over_blocks, per_key
+from kinetrail.plans.blocks import BLOCK, block_of, block_rows, over_blocks, per_key, settle
 
 
 # ------------------------------------------------------------ event picking --
@@ -55,6 +55,7 @@ def refractory(
     session window.  ``candidates`` are sparse series rows (``i``, ``_blk``).
     """
     keys = list(keys)
+    candidates = settle(candidates)
     rows = candidates.withColumn("_t", F.col(time).cast("double"))
     key_fields = [candidates.schema[k] for k in keys]
     piece_schema = T.StructType([
@@ -208,9 +209,9 @@ def zero_phase_band(
         *keys, (2 * (F.col("n") - 1) - F.col("i")).alias("i"), "n", "_fs",
         (2 * F.col("_x1") - F.col("_x")).alias("_x"))
     padded = core.unionByName(head).unionByName(tail)
-    padded = padded.withColumn(BLOCK, block_of(padded, F.col("i") + EDGE))
+    padded = settle(padded.withColumn(BLOCK, block_of(padded, F.col("i") + EDGE)))
 
-    forward = _one_way(padded, keys, lo, hi, reverse=False)
+    forward = settle(_one_way(padded, keys, lo, hi, reverse=False))
     both = _one_way(forward, keys, lo, hi, reverse=True)
     inner = both.filter((F.col("i") >= 0) & (F.col("i") < F.col("n"))).select(
         *keys, "i", F.col("_x").alias(out)
@@ -256,7 +257,7 @@ def _one_way(padded: DataFrame, keys: list[str], lo: float, hi: float, reverse:
 
     # keys held by one block start from their own first sample: no chaining
     spread = over_blocks(
-        padded.filter("i = 0 and n + 30 > " + _rows(padded)).select(*keys, (F.col("n") + 2 * EDGE).alias("n"))
+        padded.filter((F.col("i") == 0) & (F.col("n") + 2 * EDGE > block_rows(padded.sparkSession))).select(*keys, (F.col("n") + 2 * EDGE).alias("n"))
     ).select(*keys, BLOCK)
     many = padded.join(spread, [*keys, BLOCK], "left_semi")
     chained = (
@@ -276,12 +277,6 @@ def _one_way(padded: DataFrame, keys: list[str], lo: float, hi: float, reverse:
     return staged.groupBy(*keys, BLOCK).applyInPandas(run, padded.schema)
 
 
-def _rows(df: DataFrame) -> str:
-    from kinetrail.plans.blocks import block_rows
-
-    return str(block_rows(df.sparkSession))
-
-
 # ------------------------------------------------------------ tiled products --
 def tile_products(
     vectors: DataFrame, keys: Sequence[str], ident: str, vector: str, threshold: float,
@@ -298,8 +293,10 @@ def tile_products(
                        F.floor(F.col("i") / tile).cast("long").alias("_tile"))
     tiles = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / tile).cast("long"))
     left = t.withColumn("_other", F.explode(tiles)).drop("n")
+    # fresh names: both sides derive from one table
     right = t.withColumn("_mine", F.explode(tiles)).select(
-        *keys, F.col("_mine").alias("_tile"), F.col("_tile").alias("_other"), "_id", "_v")
+        *[F.col(k).alias(f"r_{k}") for k in keys], F.col("_mine").alias("r_tile"), F.col("_tile").alias("r_other"),
+        F.col("_id").alias("r_id"), F.col("_v").alias("r_v"))
     key_fields = [vectors.schema[k] for k in keys]
     schema = T.StructType([
         *key_fields, T.StructField("_id", vectors.schema[ident].dataType),
@@ -310,20 +307,20 @@ def tile_products(
     def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
             return pd.DataFrame({f.name: [] for f in schema})
-        r = r.sort_values("_id")
+        r = r.sort_values("r_id")
         a = np.stack(l["_v"].to_numpy()).astype(float)
-        b = np.stack(r["_v"].to_numpy()).astype(float)
+        b = np.stack(r["r_v"].to_numpy()).astype(float)
         sim = a @ b.T
-        same = l["_id"].to_numpy()[:, None] == r["_id"].to_numpy()[None, :]
+        same = l["_id"].to_numpy()[:, None] == r["r_id"].to_numpy()[None, :]
         sim = np.where(same, -np.inf, sim)
         k = sim.argmax(axis=1)
         best = sim[np.arange(len(l)), k]
         out = {c: l[c].iloc[0] for c in keys}
         return pd.DataFrame({**out, "_id": l["_id"].to_numpy(), "_hits": (sim > threshold).sum(axis=1),
-                             "_best": best, "_best_id": r["_id"].to_numpy()[k]})
+                             "_best": best, "_best_id": r["r_id"].to_numpy()[k]})
 
-    group = [*keys, "_tile", "_other"]
-    parts = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
+    parts = left.groupBy(*keys, "_tile", "_other").cogroup(
+        right.groupBy(*[f"r_{k}" for k in keys], "r_tile", "r_other")).applyInPandas(compare, schema)
     return parts.groupBy(*keys, F.col("_id").alias(ident)).agg(
         F.sum("_hits").alias("hits"), F.max("_best").alias("best"),
         F.max_by("_best_id", F.struct("_best", -F.col("_best_id"))).alias("best_id"),
@@ -341,7 +338,8 @@ def tile_signatures(vectors: DataFrame, keys: Sequence[str], ident: str, vector:
     tiles = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / tile).cast("long"))
     left = t.withColumn("_other", F.explode(tiles)).drop("n")
     right = t.withColumn("_mine", F.explode(tiles)).select(
-        *keys, F.col("_mine").alias("_tile"), F.col("_tile").alias("_other"), "_v", "_mark")
+        *[F.col(k).alias(f"r_{k}") for k in keys], F.col("_mine").alias("r_tile"), F.col("_tile").alias("r_other"),
+        F.col("_v").alias("r_v"), F.col("_mark").alias("r_mark"))
     schema = T.StructType([
         *[vectors.schema[k] for k in keys], T.StructField(ident, vectors.schema[ident].dataType),
         T.StructField("_c", T.LongType()), T.StructField("_h", T.LongType())])
@@ -349,10 +347,10 @@ def tile_signatures(vectors: DataFrame, keys: Sequence[str], ident: str, vector:
     def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
             return pd.DataFrame({f.name: [] for f in schema})
-        hit = np.stack(l["_v"].to_numpy()) @ np.stack(r["_v"].to_numpy()).T > threshold
+        hit = np.stack(l["_v"].to_numpy()) @ np.stack(r["r_v"].to_numpy()).T > threshold
         return pd.DataFrame({**{c: l[c].iloc[0] for c in keys}, ident: l["_id"].to_numpy(),
-                             "_c": hit.sum(axis=1), "_h": hit.astype(np.int64) @ r["_mark"].to_numpy()})
+                             "_c": hit.sum(axis=1), "_h": hit.astype(np.int64) @ r["r_mark"].to_numpy()})
 
-    group = [*keys, "_tile", "_other"]
-    parts = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
+    parts = left.groupBy(*keys, "_tile", "_other").cogroup(
+        right.groupBy(*[f"r_{k}" for k in keys], "r_tile", "r_other")).applyInPandas(compare, schema)
     return parts.groupBy(*keys, ident).agg(F.sum("_c").alias("_c"), F.sum("_h").alias("_h"))
