@@ -6,7 +6,7 @@ turns it into ``queries()`` and ``oracle_sql()``.
 
 from importlib import import_module
 
-MODULES = ("signals", "events")
+MODULES = ("signals", "events", "repeats")
 
 
 def load() -> None:

@@ -101,7 +101,7 @@ def rest_knots(series: DataFrame, rests: DataFrame, holds: DataFrame, keys: Sequ
         F.max(F.when(F.col("hold") == "open", F.col("mid_i"))).alias("_o"),
         F.max(F.when(F.col("hold") == "close", F.col("mid_i"))).alias("_c"))
     outer = ends.join(both, list(keys), "left").select(*keys, "n", F.explode(F.array(
-        F.coalesce("_o", F.lit(0)), F.coalesce("_c", F.col("n") - 1))).cast("long").alias("i"))
+        F.coalesce("_o", F.lit(0)), F.coalesce("_c", F.col("n") - 1)).cast("array<long>")).alias("i"))
     inner = rests.select(*keys, "i").join(ends, list(keys)).select(*keys, "n", "i")
     return inner.unionByName(outer).filter("i >= 0 and i < n").select(*keys, "i").distinct()
 
@@ -176,7 +176,8 @@ def jump_windows(rests: DataFrame, impact_rows: DataFrame, series: DataFrame, ke
 
 
 def spread_jumps(series: DataFrame, windows: DataFrame, keys: Sequence[str], axes: Sequence[int] = (0, 1),
-                 world: Sequence[str] = WORLD, velocity: Sequence[str] = VELOCITY) -> DataFrame:
+                 world: Sequence[str] = WORLD, velocity: Sequence[str] = VELOCITY,
+                 position: Sequence[str] = POSITION) -> DataFrame:
     """Subtract from the acceleration the constant that removes each interval's
     velocity error over its window, then integrate again."""
     ends = windows.select(*keys, "i0", "i1", "a", "b", F.explode(F.array(*[
@@ -198,8 +199,8 @@ def spread_jumps(series: DataFrame, windows: DataFrame, keys: Sequence[str], axe
         *[F.sum(f"_c{k}").alias(f"_c{k}") for k in axes])
     fixed = series.join(hit, [*keys, "i"], "left").withColumns({
         world[k]: F.col(world[k]) - F.coalesce(F.col(f"_c{k}"), F.lit(0.0)) for k in axes})
-    keep = [c for c in series.columns if c not in (*velocity, *POSITION)]
-    return double_integral(fixed.select(*keep), keys, world, velocity, POSITION)
+    keep = [c for c in series.columns if c not in (*velocity, *position)]
+    return double_integral(fixed.select(*keep), keys, world, velocity, position)
 
 
 def splice_velocity(series: DataFrame, rests: DataFrame, impact_rows: DataFrame, keys: Sequence[str],
