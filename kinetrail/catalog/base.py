@@ -57,7 +57,7 @@ def query(name: str, columns: str = "", doubles: str = "", sql: str | None = Non
 
         text = None
         if sql is not None:
-            picked = [*names, *[f"round({c}, {places}) + 0.0 AS {c}" for c in reals]]
+            picked = [*names, *[f"round({c}::DOUBLE, {places}) + 0.0 AS {c}" for c in reals]]
             head = with_ctes(*ctes.split())
             text = f"{head}{',' if head else 'WITH'} answer AS ({sql}) SELECT {', '.join(picked)} FROM answer"
         CATALOG[name] = Query(run, text)

@@ -83,7 +83,7 @@ def _(spark, d):
     return tk.triples(detections(spark, d))
 
 
-@query("k3_circles_through_triples", "clip_id f ra rb rc inliers", "cy cx radius", f"""
+@query("k3_circles_through_triples", "clip_id f ra rb rc inliers", "radius", f"""
   WITH {_TOP.format(k=40)}, t AS (SELECT a.clip_id, a.f, a.r AS ra, b.r AS rb, c.r AS rc, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS y2, c.x AS cx, c.y AS cy,
     2*(a.x*(b.y-c.y)+b.x*(c.y-a.y)+c.x*(a.y-b.y)) AS d FROM top a JOIN top b ON a.clip_id = b.clip_id AND a.f = b.f AND a.r < b.r
     JOIN top c ON a.clip_id = c.clip_id AND a.f = c.f AND b.r < c.r),
@@ -91,7 +91,7 @@ def _(spark, d):
     FROM t WHERE abs(d) >= 1e-9),
   r AS (SELECT clip_id, f, ra, rb, rc, uy AS cy, ux AS cx, sqrt(pow(ay-uy,2)+pow(ax-ux,2)) AS radius FROM u)
   SELECT r.clip_id, r.f, ra, rb, rc, r.cy, r.cx, radius, count(*) AS inliers FROM r JOIN top p ON p.clip_id = r.clip_id AND p.f = r.f
-    AND abs(sqrt(pow(p.y-r.cy,2)+pow(p.x-r.cx,2)) - radius) <= 10 WHERE radius BETWEEN 28 AND 150 GROUP BY ALL HAVING count(*) >= 5""", "detections", places=6)
+    AND abs(sqrt(pow(p.y-r.cy,2)+pow(p.x-r.cx,2)) - radius) <= 10 WHERE radius BETWEEN 28 AND 150 GROUP BY ALL HAVING count(*) >= 5""", "detections")
 def _(spark, d):
     return tk.circles(detections(spark, d))
 
