@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetrail.operators.motion import spacing, with_rate
-from kinetrail.plans.blocks import index_series, lookup, per_key
+from kinetrail.plans.blocks import block_rows, index_series, lookup, per_key
 
 KEY = ["capture_id"]
 CLIP = ["clip_id"]
@@ -72,7 +72,7 @@ _CACHE: dict[tuple, DataFrame] = {}
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """One plan per session and directory: indexing checkpoints its rows."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, block_rows(spark), sf_dir, name)
     if key not in _CACHE:
         _CACHE[key] = build()
     return _CACHE[key]

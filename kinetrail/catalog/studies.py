@@ -57,7 +57,7 @@ def lagged(spark, d):
     JOIN samples y ON y.capture_id = x.capture_id AND y.i = x.i + l.lag GROUP BY 1, 2 HAVING count(*) >= 30),
   p AS (SELECT capture_id, arg_max(lag, c) AS pk, max(c) AS pc FROM c GROUP BY 1),
   n AS (SELECT a.*, l.c AS lc, r.c AS rc FROM c a JOIN c l ON l.capture_id = a.capture_id AND l.lag = a.lag - 1 JOIN c r ON r.capture_id = a.capture_id AND r.lag = a.lag + 1)
-  SELECT p.capture_id, pk AS lag, pc AS corr, max(n.c)/pc AS sidelobe FROM p LEFT JOIN n ON n.capture_id = p.capture_id AND abs(n.lag - pk) > 4 AND n.c >= lc AND n.c >= rc GROUP BY ALL""", "samples", places=3)
+  SELECT p.capture_id, pk AS lag, pc AS corr, max(n.c)/max(pc) AS sidelobe FROM p LEFT JOIN n ON n.capture_id = p.capture_id AND abs(n.lag - pk) > 4 AND n.c >= lc AND n.c >= rc GROUP BY p.capture_id, pk, pc""", "samples", places=3)
 def _(spark, d):
     return sync.sidelobe_ratio(lagged(spark, d), KEY, 10.0)
 
@@ -94,11 +94,11 @@ def instants(spark, d):
     return picked(spark, d).select(*KEY, F.col("t").alias("at"))
 
 
-@query("m10_range_around_events", "capture_id", "at range_", f"""
-  WITH RECURSIVE {_PICK} SELECT p.capture_id, p.t AS at, max(s.ax) - min(s.ax) AS range_ FROM picked p JOIN samples s ON s.capture_id = p.capture_id
+@query("m10_range_around_events", "capture_id", "at_t range_", f"""
+  WITH RECURSIVE {_PICK} SELECT p.capture_id, p.t AS at_t, max(s.ax) - min(s.ax) AS range_ FROM picked p JOIN samples s ON s.capture_id = p.capture_id
     AND s.t > p.t - 0.3 AND s.t < p.t + 0.3 GROUP BY 1, 2""", "samples")
 def _(spark, d):
-    return studies.range_in_window(samples(spark, d), instants(spark, d), KEY, "ax", 0.3, "range_")
+    return studies.range_in_window(samples(spark, d), instants(spark, d), KEY, "ax", 0.3, "range_").withColumnRenamed("at", "at_t")
 
 
 @query("m11_tiled_residual", "capture_id", "residual", """
@@ -156,12 +156,12 @@ def _(spark, d):
     return studies.up_down_balance(samples(spark, d), bounds(spark, d), KEY, "ay")
 
 
-@query("m22_step_around_events", "capture_id", "at step", f"""
-  WITH RECURSIVE {_PICK} SELECT p.capture_id, p.t AS at, b.ax - a.ax AS step FROM picked p
+@query("m22_step_around_events", "capture_id", "at_t step", f"""
+  WITH RECURSIVE {_PICK} SELECT p.capture_id, p.t AS at_t, b.ax - a.ax AS step FROM picked p
     ASOF JOIN samples a ON a.capture_id = p.capture_id AND p.t - 0.15 <= a.t ASOF JOIN samples b ON b.capture_id = p.capture_id AND p.t + 0.35 <= b.t
     WHERE a.t <= p.t - 0.15 + 50 AND b.t <= p.t + 0.35 + 50""", "samples")
 def _(spark, d):
-    return studies.step_around(samples(spark, d), instants(spark, d), KEY, "ax", 0.15, 0.35, 50.0).filter("step is not null")
+    return studies.step_around(samples(spark, d), instants(spark, d), KEY, "ax", 0.15, 0.35, 50.0).filter("step is not null").withColumnRenamed("at", "at_t")
 
 
 @query("m23_rest_momentum", "capture_id start_i stop_i", "dv", f"""
@@ -183,7 +183,7 @@ def _(spark, d):
 
 @query("m25_band_health", "clip_id", "good_low spread_high", """
   SELECT clip_id, avg(CASE WHEN height < lo + 0.1 THEN (score > 0.6)::INT END) AS good_low, max(CASE WHEN height > hi - 0.05 THEN x END) - min(CASE WHEN height > hi - 0.05 THEN x END) AS spread_high
-  FROM (SELECT *, min(height) OVER w AS lo, max(height) OVER w AS hi FROM track WHERE height IS NOT NULL WINDOW w AS (PARTITION BY clip_id)) GROUP BY 1""", "track")
+  FROM (SELECT *, min(height) OVER w AS lo, max(height) OVER w AS hi FROM track WHERE height IS NOT NULL WINDOW w AS (PARTITION BY clip_id)) GROUP BY 1""", "track", places=5)
 def _(spark, d):
     return studies.band_health(track(spark, d), CLIP)
 

@@ -83,7 +83,7 @@ def find_peaks(series: DataFrame, keys: Sequence[str], value: str, distance: Col
     # valley before each peak, and the one after the last
     marked = x.join(found.select(*keys, "i", F.lit(1).alias("_one")), [*keys, "i"], "left")
     slot = prefix(marked, keys, {"_slot": ("sum", F.coalesce("_one", F.lit(0)))}, inclusive=False)
-    low = settle(slot.groupBy(*keys, F.col("_slot").alias("k")).agg(F.min("_y").alias("v")))
+    low = settle(slot.groupBy(*keys, F.coalesce("_slot", F.lit(0)).alias("k")).agg(F.min("_y").alias("v")))
     span = x.groupBy(*keys).agg((2 * F.min("_y") - F.max("_y")).alias("_pad"))
     count = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
     longest = count.agg(F.max("_count")).first()[0] or 0          # one number
@@ -109,7 +109,7 @@ def track_reps(track: DataFrame, expected: DataFrame, keys: Sequence[str], fps:
     keys = list(keys)
     win = max(3, int(round(0.15 * fps)) | 1)
     # as given: this smoothing pads with zeros, unlike the others
-    sm = settle(rolling_mean(fill_gaps(track, keys, height, "_f"), keys, "_f", "_s", win, edge="zero"))
+    sm = settle(rolling_mean(fill_gaps(track, keys, height, "_filled"), keys, "_filled", "_s", win, edge="zero"))
     edge = max(1, int(round(fps)))
     opens = exact_medians(sm.filter(F.col("i") < edge), keys, {"_open": "_s"})
     ends = per_key(sm, keys, F.min("_s").alias("_lo"), (F.max("_s") - F.min("_s")).alias("_span"))

@@ -82,7 +82,8 @@ def tiled_line_residual(series: DataFrame, keys: Sequence[str], values: Sequence
         *[F.regr_intercept(v, "t").alias(f"_c_{v}") for v in values])
     # one fit row per tile; the tile's rows are spread by salt
     y = salted_join(x, fits, [*keys, "tile"], F.col("i"))
-    far = F.greatest(*[F.abs(F.col(v) - F.coalesce(F.col(f"_s_{v}") * F.col("t") + F.col(f"_c_{v}"), F.col(v))) for v in values])
+    off = [F.abs(F.col(v) - F.coalesce(F.col(f"_s_{v}") * F.col("t") + F.col(f"_c_{v}"), F.col(v))) for v in values]
+    far = F.greatest(*off) if len(off) > 1 else off[0]
     per = y.groupBy(*keys, "tile").agg(F.max(far).alias("_far"))
     return exact_medians(per, keys, {"residual": "_far"})
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetrail.operators.windows import gradient, smooth
-from kinetrail.plans.blocks import BLOCK, block_rows, lookup, ordinal, per_key, reblock, windowed
+from kinetrail.plans.blocks import BLOCK, block_rows, lookup, ordinal, per_key, reblock, settle, windowed
 from kinetrail.plans.scans import zero_phase_band
 
 # fixed values of the lag search
@@ -165,30 +165,30 @@ def lag_policy(curve: DataFrame, cadence: DataFrame, keys: Sequence[str], rate:
     inside; a widened peak must stay put; rivals must be whole periods away.
     """
     ladder = [start_s * WIDEN**k for k in range(24)]
-    c = curve.filter("corr is not null").join(cadence, list(keys))
+    cadence = settle(cadence)
+    c = settle(curve.filter("corr is not null").join(cadence, list(keys)))
     reach = F.greatest(F.col("reach_s"), F.lit(start_s))
     boxes = cadence.withColumn("_half", F.explode(F.array_distinct(F.array(
         *[F.least(F.lit(h), reach) for h in ladder])))).withColumn("_reach", reach)
     lag_s = F.col("lag") / rate
-    size = F.when(F.abs(lag_s) < start_s, F.lit(start_s))
-    # the smallest ladder box holding each lag: peaks of growing boxes are prefix maxima
-    for h in ladder[1:]:
-        size = F.coalesce(size, F.when(F.abs(lag_s) < h, F.lit(h)))
-    tiers = c.withColumn("_tier", F.least(size, reach)).filter(F.abs(lag_s) <= reach).groupBy(*keys, "_tier").agg(
-        F.max_by(F.struct("lag", "corr"), F.struct("corr", -F.col("lag"))).alias("_p"))
+    # the smallest ladder box holding each lag
+    rung = F.ceil(F.log(F.greatest(F.abs(lag_s) + 0.5 / rate, F.lit(start_s)) / start_s) / float(np.log(WIDEN)))
+    size = F.element_at(F.array(*[F.lit(h) for h in ladder]), (rung + 1).cast("int"))
+    tiers = settle(c.withColumn("_tier", F.least(size, reach)).filter(F.abs(lag_s) <= reach).groupBy(*keys, "_tier").agg(
+        F.max_by(F.struct("lag", "corr"), F.struct("corr", -F.col("lag"))).alias("_p")))
     box = boxes.alias("b").join(tiers.alias("t"), list(keys)).filter("_tier <= _half").groupBy(
         *keys, "_half", "_reach", "cadence_s").agg(
         F.max_by("_p", F.struct("_p.corr", -F.col("_p.lag"))).alias("_p"))
-    box = box.withColumn("_at", F.col("_p.lag") / rate)
+    box = settle(box.withColumn("_at", F.col("_p.lag") / rate))
     inside = F.abs("_at") + F.col("cadence_s") <= F.col("_half")
-    chosen = box.filter(inside).groupBy(*keys).agg(
-        F.min_by(F.struct("_half", "_reach", "_at", "_p", "cadence_s"), "_half").alias("_c"))
+    chosen = settle(box.filter(inside).groupBy(*keys).agg(
+        F.min_by(F.struct("_half", "_reach", "_at", "_p", "cadence_s"), "_half").alias("_c")))
     wider = box.join(chosen, list(keys)).filter("_half > _c._half").groupBy(*keys).agg(
         F.min_by("_at", "_half").alias("_next_at"))
     picked = cadence.select(*keys, "cadence_s").join(chosen, list(keys), "left").join(wider, list(keys), "left")
     moved = (F.col("_c._half") > start_s) & (F.col("_c._half") < F.col("_c._reach")) & (
         F.abs(F.col("_next_at") - F.col("_c._at")) > STABLE_S)
-    sweep = c.join(chosen, list(keys)).filter(F.abs(lag_s) <= F.col("_c._half"))
+    sweep = settle(c.join(chosen, list(keys)).filter(F.abs(lag_s) <= F.col("_c._half")))
     beside = sweep.select(*keys, F.col("lag").alias("_l"), F.col("corr").alias("_v"))
     near = sweep.join(beside.withColumn("lag", F.col("_l") + 1).select(*keys, "lag", F.col("_v").alias("_left")), [*keys, "lag"]).join(
         beside.withColumn("lag", F.col("_l") - 1).select(*keys, "lag", F.col("_v").alias("_right")), [*keys, "lag"])

@@ -24,16 +24,6 @@ from kinetrail.plans.blocks import BLOCK, block_of, block_rows, over_blocks, per
 
 
 # ------------------------------------------------------------ event picking --
-def _accept_from(t: np.ndarray, gap: float, first: int) -> np.ndarray:
-    """Positions accepted when position ``first`` is: each next is > gap later."""
-    nxt = np.searchsorted(t, t + gap, side="right")
-    got, p = [], first
-    while p < len(t):
-        got.append(p)
-        p = max(int(nxt[p]), p + 1)
-    return np.array(got, dtype=np.int64)
-
-
 def _last_accepted(t: np.ndarray, gap: float) -> np.ndarray:
     """For every position, the last one accepted if it is accepted (doubling)."""
     m = len(t)
@@ -102,14 +92,32 @@ def refractory(
     state = pieces.groupBy(*keys).applyInPandas(chain, state_schema)
     staged = rows.join(state, [*keys, BLOCK], "left")
 
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "i"], kind="stable").reset_index(drop=True)
-        t, last = pdf["_t"].to_numpy(), pdf["_last"].iloc[0]
-        last = -math.inf if pd.isna(last) else last
-        first = int(np.searchsorted(t, last + gap, side="right"))
-        return pdf.iloc[_accept_from(t, gap, first)].drop(columns=["_t", "_last"])
-
-    return staged.groupBy(*keys, BLOCK).applyInPandas(accept, candidates.schema)
+    # sorted partitions are walked as a stream: one pass over any number of
+    # (key, block) groups, holding one Arrow batch
+    ordered = staged.repartition(*keys, BLOCK).sortWithinPartitions(*keys, BLOCK, "_t", "i")
+
+    columns = candidates.columns
+
+    def accept(batches):
+        group, last = None, -math.inf
+        for pdf in batches:
+            names = [pdf[c].to_numpy() for c in (*keys, BLOCK)]
+            fresh = np.zeros(len(pdf), bool)
+            for c in names:
+                fresh[1:] |= c[1:] != c[:-1]
+            fresh[:1] = group != tuple(c[0] for c in names) if len(pdf) else False
+            keep = np.zeros(len(pdf), bool)
+            start = np.nan_to_num(pdf["_last"].to_numpy(dtype=float), nan=-math.inf)
+            for k, (t, new) in enumerate(zip(pdf["_t"].tolist(), fresh.tolist())):
+                if new:
+                    last = float(start[k])
+                if t > last + gap:
+                    last, keep[k] = t, True
+            if len(pdf):
+                group = tuple(c[-1] for c in names)
+            yield pdf.loc[keep, columns]
+
+    return ordered.mapInPandas(accept, candidates.schema)
 
 
 # --------------------------------------------------------------- band filter --
