@@ -225,7 +225,7 @@ def hold_windows(
     ranked = reblock(
         held.withColumn("_i", F.col("i")).withColumn("i", F.col("_rank")).drop("_rank", "n"))
     size = size.withColumn("n", F.col("_size")).filter(F.col("_size") >= F.col("_len") + 2)
-    ranked = lookup(ranked.withColumn("n", F.lit(0).cast("long")).drop("n"), part, size.select(*part, "n", "_len", "_size"), "inner")
+    ranked = lookup(ranked, part, size.select(*part, "n", "_len", "_size"), "inner")
     x = _scaled(ranked.withColumn("n", F.col("_size")).withColumn("_x", magnitude(GYRO)),
                 F.greatest(F.col("_len"), F.lit(1)), halo)
 
