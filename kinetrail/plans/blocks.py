@@ -19,7 +19,6 @@ Both keep the (key, block) partitioning, so a chain of them costs one exchange.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
@@ -29,6 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from kinetrail.plans.stage import shared_dir
+
 BLOCK = "_blk"
 BLOCK_ROWS_CONF = "kinetrail.blockRows"
 DEFAULT_BLOCK_ROWS = 65_536
@@ -40,12 +41,9 @@ def block_rows(spark: SparkSession) -> int:
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Honour the cluster's ``spark.checkpoint.dir``; fall back only if unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """Honour the cluster's ``spark.checkpoint.dir``; refuse a cluster without one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def settle(df: DataFrame) -> DataFrame:
