@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrail.llm import packing
+from kinetrail.llm import mixing, packing
 from kinetrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ def tokenizer_path() -> str:
 @query("op1_packing")
 def _(spark, d):
     return packing.pack(table(spark, d, "documents"), tokenizer_path(), end_id=2)
+
+
+@query("op4_mixing")
+def _(spark, d):
+    return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
