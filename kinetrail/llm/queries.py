@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinetrail.llm import mixing, packing
+from kinetrail.llm import mixing, packing, simhash
 from kinetrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,9 @@ def _(spark, d):
 @query("op4_mixing")
 def _(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_simhash")
+def _(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents")).select(
+        "doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
