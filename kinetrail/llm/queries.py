@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import mixing, packing, simhash
+from kinetrail.llm import mixing, neighbours, packing, simhash
 from kinetrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def _(spark, d):
 def _(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents")).select(
         "doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+@query("op10_near_vectors")
+def _(spark, d):
+    return neighbours.near_vectors(table(spark, d, "embeddings"))
