@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import mixing, neighbours, packing, simhash
+from kinetrail.llm import lines, mixing, neighbours, packing, simhash
 from kinetrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def _(spark, d):
 @query("op10_near_vectors")
 def _(spark, d):
     return neighbours.near_vectors(table(spark, d, "embeddings"))
+
+
+@query("op3_line_dedup", "WITH " + lines.SQL_CTES.format(docs="documents") + " SELECT doc_id, text, n_removed FROM deduped")
+def _(spark, d):
+    return lines.dedup_lines(table(spark, d, "documents")).select("doc_id", "text", F.col("_n_removed").alias("n_removed"))
