@@ -61,3 +61,43 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 def crc_of_id(col: str = "doc_id"):
     """crc32 of an id written as decimal text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, per_stratum: int, seed: int) -> list[tuple[str, object, int]]:
+    """(text, label, size of the label's stratum) of a seeded sample of labelled documents.
+
+    ``labels`` has (doc_id, label).  Ids are picked by a filter on a hash,
+    ``per_stratum`` expected of each label and all if there are fewer, so no label
+    meets in one task; the picked ids, at most twice the expected number, find
+    their texts by a broadcast of known size.
+    """
+    spark = docs.sparkSession
+    labels = labels.filter("label is not null and doc_id is not null").distinct()
+    sizes = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
+    if not sizes:
+        return []
+    scale = 1 << 40
+    chance = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(scale * min(1.0, per_stratum / n)))])
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(scale))
+    ids = labels.filter(place < chance[F.col("label")]).orderBy(place, "doc_id", "label").limit(2 * per_stratum * len(sizes)).collect()
+    picked = spark.createDataFrame([(r.doc_id, r.label, k) for k, r in enumerate(ids)], labels.select("doc_id", "label").withColumn(
+        "_place", F.lit(0)).schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").collect()
+    rows.sort(key=lambda r: (r["_place"], r["text"] or ""))
+    return [(r["text"] or "", r["label"], sizes[r["label"]]) for r in rows]
+
+
+class Adam:
+    """Adam on a dict of float32 arrays."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float):
+        self.w, self.rate, self.t = weights, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        for k, g in grads.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            self.w[k] -= self.rate * (self.m[k] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[k] / (1 - 0.999 ** self.t)) + 1e-8)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import lines, mixing, neighbours, packing, simhash
-from kinetrail.llm.common import table
+from kinetrail.llm import langid, lines, mixing, neighbours, packing, quality, simhash
+from kinetrail.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,19 @@ def _(spark, d):
 @query("op3_line_dedup", "WITH " + lines.SQL_CTES.format(docs="documents") + " SELECT doc_id, text, n_removed FROM deduped")
 def _(spark, d):
     return lines.dedup_lines(table(spark, d, "documents")).select("doc_id", "text", F.col("_n_removed").alias("n_removed"))
+
+
+@query("op2_quality")
+def _(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    held_out = crc_of_id() % 3 == 1
+    w = quality.train(docs, labels.filter(~held_out))
+    return quality.score_quality(docs, w).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op9_language")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = crc_of_id() % 4 == 2
+    languages, w = langid.train(docs.filter(~held_out))
+    return langid.predict(docs, languages, w).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
