@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import langid, lines, mixing, neighbours, packing, quality, simhash
+from kinetrail.llm import langid, lines, mixing, neighbours, packing, quality, simhash, warc
 from kinetrail.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def _(spark, d):
     held_out = crc_of_id() % 4 == 2
     languages, w = langid.train(docs.filter(~held_out))
     return langid.predict(docs, languages, w).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_warc", warc.SQL)
+def _(spark, d):
+    return warc.round_trip(table(spark, d, "pages"))
