@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import langid, lines, mixing, neighbours, packing, quality, simhash, warc
+from kinetrail.llm import langid, lines, mixing, neighbours, packing, quality, repeats, simhash, warc
 from kinetrail.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,10 @@ def _(spark, d):
 @query("op7_warc", warc.SQL)
 def _(spark, d):
     return warc.round_trip(table(spark, d, "pages"))
+
+
+@query("op5_repeats")
+def _(spark, d):
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return repeats.remove_repeats(table(spark, d, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
