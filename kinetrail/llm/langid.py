@@ -156,8 +156,8 @@ def train(docs: DataFrame, per_language: int = 500, seed: int = 3) -> tuple[list
 
 
 def predict(docs: DataFrame, languages: list[str], w: dict[str, np.ndarray],
-            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, from the text alone.
+            keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, from the text alone, and the columns ``keep`` as they are.
 
     A text that is null or has no letter is ``und`` with score 0; so is every text
     if no language was learned.  Repeated rows get equal predictions; a null id
@@ -170,9 +170,15 @@ def predict(docs: DataFrame, languages: list[str], w: dict[str, np.ndarray],
             best = p.argmax(axis=1)
             known = [bool(t and languages and _LETTER.search(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
+                *[batch.column(k) for k in range(2, batch.num_columns)],
                 batch.column(0), pa.array([languages[k] if ok else "und" for k, ok in zip(best, known)], pa.string()),
-                pa.array(np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0), pa.float64())], names=["doc_id", "lang_pred", "score"])
+                pa.array(np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0), pa.float64())],
+                names=[*keep, "doc_id", "lang_pred", "score"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double")
+    kinds = dict(docs.dtypes)
+    kept = "".join(f"{c} {kinds[c]}, " for c in keep)
+    # the kept columns travel under numbers: they may be named as ours
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)]).mapInArrow(
+        run, f"{kept}doc_id long, lang_pred string, score double")

@@ -16,10 +16,13 @@ sources are the configuration of a mix, and weights are given to each.
 from __future__ import annotations
 
 import heapq
+import re
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +91,8 @@ def _divide(children: DataFrame, by: str) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(3, 2), repeats: int = 2,
         block: int = 32, shard_words: int = 1 << 22, shard_docs: int = 1 << 14, seed: int = 17,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_size: str | None = None) -> DataFrame:
-    """Words the mix takes of every document.
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Words the mix takes of every document, and the columns ``keep`` as they are.
 
     A null source is a source of its own, last in order; a null or empty text has
     size 0 and gives nothing; a null id is a document like others; repeated rows
@@ -99,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     """
     sized = written(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        (word_count(F.col(text_col)) if with_size is None else F.col(with_size).cast("long")).alias("size")), "sized")
+        word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)]), "sized")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
     # UTF-8 order is code point order
     per_source.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -124,17 +127,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     group_seats = _divide(group, "_group").withColumnRenamed("seats", "parent_seats")
     shard_seats = _divide(shard.join(group_seats, ["_source", "_group"]), "_shard")
 
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        quota = int(frame["seats"].iloc[0])
-        frame = frame.sort_values(["_order", "doc_id", "size"], na_position="last", kind="stable")
-        ends = np.cumsum(frame["size"].to_numpy(np.int64))
+    def take(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_order", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        size = rows["size"].to_numpy()
+        quota = rows["seats"][0].as_py()
+        ends = np.cumsum(size)
         words = int(ends[-1])
         blocks = -(-words // block)
         width = np.full(blocks, block, np.int64)
         copies = np.zeros(blocks, np.int64)
         if blocks:
             width[-1] = words - block * (blocks - 1)
-            rng = np.random.Generator(np.random.PCG64([seed, int(frame["_source"].iloc[0]), int(frame["_shard"].iloc[0])]))
+            rng = np.random.Generator(np.random.PCG64([seed, rows["_source"][0].as_py(), rows["_shard"][0].as_py()]))
             order = rng.permutation(blocks)
             if width[-1] < block:  # the short block comes last, so that quotas are whole blocks
                 order = np.append(order[order != blocks - 1], blocks - 1)
@@ -147,9 +151,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
             whole = np.minimum(x // block, max(blocks - 1, 0))
             return before[whole] + (x - whole * block) * (copies[whole] if blocks else 0)
 
-        got = taken_until(ends) - taken_until(ends - frame["size"].to_numpy(np.int64))
-        return frame.assign(taken=got)[["doc_id", "size", "source_size", "target", "taken", "source"]]
+        got = pa.chunked_array([pa.array(taken_until(ends) - taken_until(ends - size))])
+        return pa.table([got if c == "taken" else rows[c] for c in carried], names=carried)
 
+    # the kept columns travel under numbers: they may be named as ours
+    ours = ["doc_id", "size", "source_size", "target", "taken", "source"]
+    carried = [*ours, *[f"_keep{k}" for k in range(len(keep))]]
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"{c} {k}" for c, k in zip(carried, ["long", "long", "long", "double", "long", "string", *[kinds[c] for c in keep]]))
     rows = sourced.join(shard_seats, ["_source", "_shard"]).withColumn("_order", F.xxhash64("doc_id", F.lit(seed + 1)))
-    return rows.select("_source", "_shard", "_order", "doc_id", "size", "source_size", "target", "seats", "source").groupBy(
-        "_source", "_shard").applyInPandas(take, "doc_id long, size long, source_size long, target double, taken long, source string")
+    mixed = rows.select("_source", "_shard", "_order", "seats", *[c for c in carried if c != "taken"]).groupBy(
+        "_source", "_shard").applyInArrow(take, schema)
+    return mixed.select(*[c for c in ours if c not in keep], *[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)])
+
+
+def first_words(text: str, words) -> Column:
+    """The text up to the end of its ``words``-th word; all of it where that is null."""
+    word = re.compile("[^\\x20\\x09-\\x0D]+")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        def one(t, n):
+            if t is None or n != n or n is None:
+                return t
+            last = next(islice(word.finditer(t), int(n) - 1, None), None)
+            return t if last is None else t[:last.end()]
+
+        return pd.Series([one(t, n) for t, n in zip(texts, counts)], dtype=object)
+
+    return cut(F.col(text), words)

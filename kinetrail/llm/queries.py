@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import langid, lines, mixing, neighbours, packing, quality, repeats, simhash, warc
-from kinetrail.llm.common import crc_of_id, table
+from kinetrail.llm import langid, lines, mixing, neighbours, packing, quality, repeats, simhash, topk, warc
+from kinetrail.llm.common import crc_of_id, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,12 +25,6 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op1_packing")
 def _(spark, d):
     return packing.pack(table(spark, d, "documents"), tokenizer_path(), end_id=2)
@@ -82,3 +77,13 @@ def _(spark, d):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     return repeats.remove_repeats(table(spark, d, "documents")).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_top_products")
+def _(spark, d):
+    return topk.top_products(table(spark, d, "embeddings"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.llm.common import bounded_batches
@@ -47,11 +47,23 @@ def fingerprints(docs: DataFrame, words: int, seed: int, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t or b"", words, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(prints, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+                       text_hash(F.col(text_col)).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64(text)
+
+
+def representatives(groups: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the document of each group that stays: the least id, null last."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w")
+    return groups.groupBy("group").agg(least).select("w.doc_id", "w.text_hash")
 
 
 def _balls(segments: int, distance: int) -> list[tuple[int, int, list[int]]]:
@@ -143,7 +155,7 @@ def hamming_links(prints: DataFrame, distance: int, segments: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments: int = 2, seed: int = 42,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row.
+    """(doc_id, fp, component_id, text_hash, group) of every row; ``group`` names the component by a fingerprint.
 
     Null, empty and blank texts have fingerprint 0 and link like any other;
     repeated rows are rows of the same component; a null id never names a
@@ -156,7 +168,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments
     placed = distinct.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component")
-    return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.select("fp", "component_id", F.col("component").alias("group")), "fp").select(
+        "doc_id", "fp", "component_id", "text_hash", "group")
 
 
 def hex_digits(fp: str = "fp"):
