@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from kinetrail.llm.common import bounded_batches
 from kinetrail.plans.stage import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, slice int, rank long"
-_WORDS = 400_000
+_WORDS = 1_000_000
 
 
 # ------------------------------------------------------------- tokenising ---
@@ -58,8 +60,8 @@ class WordTokens:
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        found = (e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def _learn(self, missing: set[str]) -> None:
         pairs, wanted = {}, {}
@@ -80,7 +82,7 @@ class WordTokens:
             self.words.clear()
             self.parts.clear()
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        missing = set().union(*split).difference(self.words)
+        missing = set(filterfalse(self.words.__contains__, chain.from_iterable(split)))
         if missing:
             self._learn(missing)
         find = self.words.__getitem__
