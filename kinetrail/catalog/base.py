@@ -72,12 +72,19 @@ _CACHE: dict[tuple, DataFrame] = {}
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """One plan per session and directory: indexing checkpoints its rows."""
-    key = (spark.sparkContext.applicationId, block_rows(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, block_rows(spark), sf_dir, _version(spark, f"{sf_dir}/events.parquet"), name)
     if key not in _CACHE:
         _CACHE[key] = build()
     return _CACHE[key]
 
 
+def _version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Change time and size of a table, so that changed data under an old path is read anew."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(place).getModificationTime(), fs.getContentSummary(place).getLength()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -75,7 +75,7 @@ _ROLL = """roll AS (SELECT a.capture_id, a.i, a.t,
 
 
 def rests(spark, d):
-    return events.rest_instants(samples(spark, d), picked(spark, d), KEY, look_s=0.5, max_accel=4.2, window_s=0.5, halo=1024)
+    return events.rest_instants(samples(spark, d), picked(spark, d), KEY, look_s=0.5, max_accel=4.2, window_s=0.5)
 
 
 @query("w13_rest_instants", "capture_id impact_i i", "t", f"""
@@ -285,7 +285,7 @@ def _(spark, d):
        "base", places=3)
 def _(spark, d):
     return exact_quantiles(indexed_events(spark, d), ["event_type"], {
-        "q10": ("value", 0.1), "q50": ("value", 0.5), "q99": ("value", 0.99)}, accuracy=2000, small_group=100)
+        "q10": ("value", 0.1), "q50": ("value", 0.5), "q99": ("value", 0.99)}, accuracy=2000)
 
 
 @query("a2_block_sem", "capture_id", "sem_ax", """

@@ -13,7 +13,7 @@ from kinetrail.sources import logs, pairing, track_files
 _STEM = "regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '')"
 _LIFT = f"CASE WHEN split_part({_STEM}, '_', 1) IN ('bench','squat','deadlift') THEN split_part({_STEM}, '_', 1) END"
 _BASE_PLATE = f"CASE {_LIFT} WHEN 'bench' THEN 0.425 WHEN 'squat' THEN 0.45 WHEN 'deadlift' THEN 0.445 END"
-_PLATE = f"CASE WHEN {_LIFT} IS NOT NULL THEN CASE WHEN contains({_STEM}, '20260803') THEN 0.45 ELSE {_BASE_PLATE} END END"
+_PLATE = f"CASE WHEN contains({_STEM}, '20260803') THEN 0.45 ELSE {_BASE_PLATE} END"
 
 
 @query("p8_labels", "capture_no expected lift", "plate sticker", f"""
@@ -26,6 +26,11 @@ def _(spark, d):
         "sticker": rules.sticker_plate_diameter(p)})
 
 
+@query("p8_undecided_files", "capture_no path", "", f"SELECT capture_no, path FROM captures WHERE {_PLATE} IS NULL", "captures")
+def _(spark, d):
+    return rules.undecided(captures(spark, d), "path")
+
+
 @query("p9_min_ratio", "capture_no", "ratio", """
   SELECT capture_no, pow((1+sqrt(1+4*k*k))/(2*k), 2) AS ratio FROM (SELECT capture_no, radians(20)*sqrt(capture_no % 9 + 1) AS k FROM captures)""", "captures")
 def _(spark, d):
@@ -176,37 +181,73 @@ def _(spark, d):
 # ------------------------------------------------------------- streaming -----
 
 
+ARRIVALS = 4           # times that files land; those of one time are read in any order
+LATE_US = 86_400_000_000   # arrival lags the event by less than a day
+
+
+def landed(spark, d: str, place: str):
+    """The events as files in order of arrival, each event up to a day late; a stream
+    over them of one file per micro-batch; and how late a row can be at most: a day
+    and what one landing spans.  ``close`` lands one row far in the future, of no
+    user: it moves the watermark past everything before it."""
+    events = table(spark, d, "events").select("user_id", "event_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE_US))
+    a, b = events.agg(F.min(arrival), F.max(arrival)).first()
+    step = ((b or 0) - (a or 0)) // ARRIVALS + 1
+    for k in range(ARRIVALS):
+        lot = F.floor((arrival - F.lit(a or 0)) / step) == k
+        events.filter(lot).write.mode("append").parquet(f"{place}/landing")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/landing")
+
+    def close():
+        events.groupBy().agg(F.max("ts").alias("ts")).select(
+            F.lit(None).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("value"),
+            (F.col("ts") + F.expr("interval 3650 days")).alias("ts")).write.mode("append").parquet(f"{place}/landing")
+
+    return source, f"{(step + LATE_US) // 1000 + 1} milliseconds", close
+
+
+def drained(stream, place: str, close) -> None:
+    """Run the stream over all that has landed, then over the closing row."""
+    for last in (False, True):
+        if last:
+            close()
+        stream.writeStream.format("parquet").option("path", f"{place}/out").option(
+            "checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 @query("x2_stream_refractory", "user_id ms", "", """
   WITH RECURSIVE cand AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events WHERE value > 60),
     walk AS (SELECT user_id, r, ms, ms AS last, true AS hit FROM cand WHERE r = 1
       UNION ALL SELECT c.user_id, c.r, c.ms, CASE WHEN c.ms - w.last > 86400000 THEN c.ms ELSE w.last END, c.ms - w.last > 86400000
       FROM walk w JOIN cand c ON c.user_id = w.user_id AND c.r = w.r + 1)
-  SELECT user_id, ms FROM walk WHERE hit AND ms <= (SELECT max(epoch_us(ts) // 1000) FROM events WHERE value > 60) - 1""")
+  SELECT user_id, ms FROM walk WHERE hit""")
 def _(spark, d):
     from kinetrail.streaming import jobs
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    src = table(spark, d, "events")
-    ev = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    cand = ev.filter("value > 60").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "value")
     place = scratch(spark, "stream")
-    q = jobs.stream_refractory(cand, "user_id", 86_400_000, "1 millisecond").writeStream.format("parquet").option(
-        "path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    source, late, close = landed(spark, d, place)
+    cand = source.filter("value > 60 or event_id = -1").select("user_id", "ts", F.col("event_id").alias("id"), "value")
+    drained(jobs.stream_refractory(cand, "user_id", 86_400_000, late), place, close)
     return spark.read.schema("user_id long, ms long, id long, value double").parquet(f"{place}/out").select("user_id", "ms")
 
 
-@query("x3_stream_quality", "user_id start rows", "mean top", """
-  SELECT user_id, date_trunc('day', ts)::VARCHAR AS start, count(*) AS rows, avg(value) AS mean, max(value) AS top FROM events
-  WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1, 2""", places=6)
+@query("x3_stream_quality", "user_id start rows irregular clipped", "mean top", """
+  WITH s AS (SELECT user_id, date_trunc('day', ts) AS day, value, epoch_us(ts) AS us,
+      epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY epoch_us(ts), value) AS dt FROM events),
+    g AS (SELECT user_id, day, count(*) AS rows, avg(value) AS mean, max(value) AS top, min(value) AS low,
+      coalesce(stddev_pop(dt) / nullif(avg(dt), 0) > 0.2, false) AS irregular FROM s GROUP BY 1, 2),
+    c AS (SELECT user_id, day, value, row_number() OVER (PARTITION BY user_id, day ORDER BY us, value)
+        - row_number() OVER (PARTITION BY user_id, day, value ORDER BY us) AS run FROM s),
+    p AS (SELECT c.user_id, c.day, sum(n) AS clipped FROM (SELECT user_id, day, value, run, count(*) AS n FROM c GROUP BY ALL) c
+      JOIN g ON g.user_id = c.user_id AND g.day = c.day AND (c.value = g.top OR c.value = g.low) WHERE n >= 2 GROUP BY 1, 2)
+  SELECT g.user_id, day::VARCHAR AS start, rows, irregular, coalesce(clipped, 0)::BIGINT AS clipped, mean, top FROM g LEFT JOIN p USING (user_id, day)""", places=6)
 def _(spark, d):
     from kinetrail.streaming import jobs
 
-    src = table(spark, d, "events")
-    ev = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     place = scratch(spark, "stream")
-    q = jobs.stream_quality(ev, ["user_id"], "1 day", "1 millisecond").writeStream.format("parquet").option(
-        "path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{place}/out").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    source, late, close = landed(spark, d, place)
+    drained(jobs.stream_quality(source, ["user_id"], "1 day", late), place, close)
+    return spark.read.parquet(f"{place}/out").filter("user_id is not null").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

@@ -14,7 +14,7 @@ from kinetrail.plans.joins import interval_join
 from kinetrail.plans.quantiles import exact_medians
 
 AXES = ("ax", "ay", "az")
-STILL = {"halo": 1024}
+STILL: dict = {}
 
 
 def bounds(spark, d):
@@ -262,7 +262,7 @@ def _(spark, d):
     x = integrated(spark, d)
     p = picked(spark, d)
     moved = correct.spread_jumps(x, correct.jump_windows(p, marks(spark, d), x, KEY, 0.0), KEY, axes=(0,), world=("ax",), velocity=_V3, position=_P3)
-    holds = windows.hold_windows(samples(spark, d), KEY, halo=1024).groupBy(*KEY, "hold").agg(
+    holds = windows.hold_windows(samples(spark, d), KEY).groupBy(*KEY, "hold").agg(
         F.floor(F.avg("i")).cast("long").alias("mid_i"))
     return correct.detrend_knots(settle(moved), correct.rest_knots(x, p, holds, KEY), KEY, _P3)
 
@@ -273,7 +273,7 @@ def _(spark, d):
     UNION ALL SELECT k.capture_id, coalesce(m, 0) FROM (SELECT DISTINCT capture_id FROM samples) k LEFT JOIN mids ON mids.capture_id = k.capture_id AND hold = 'open'
     UNION ALL SELECT k.capture_id, coalesce(m, k.n - 1) FROM (SELECT DISTINCT capture_id, n FROM samples) k LEFT JOIN mids ON mids.capture_id = k.capture_id AND hold = 'close')""", "rated")
 def _(spark, d):
-    holds = windows.hold_windows(samples(spark, d), KEY, halo=1024).groupBy(*KEY, "hold").agg(
+    holds = windows.hold_windows(samples(spark, d), KEY).groupBy(*KEY, "hold").agg(
         F.floor(F.avg("i")).cast("long").alias("mid_i"))
     return correct.rest_knots(samples(spark, d), picked(spark, d), holds, KEY)
 

@@ -275,7 +275,7 @@ def _(spark, d):
   GROUP BY a.capture_id, a.i""", "rated", places=2)
 def _(spark, d):
     return windows.rolling_variance(
-        samples(spark, d), KEY, {"var": F.col("value")}, windows.frame_rows(1.0, 3), halo=1024)
+        samples(spark, d), KEY, {"var": F.col("value")}, windows.frame_rows(1.0, 3))
 
 
 _FILLED = """filled AS (
@@ -309,7 +309,7 @@ _STILL = """still AS (
 
 @query("w5_stillest_window", "capture_id start_i stop_i", "", f"WITH {_STILL} SELECT * FROM still", "rated")
 def _(spark, d):
-    return windows.stillest_window(samples(spark, d), KEY, halo=1024)
+    return windows.stillest_window(samples(spark, d), KEY)
 
 
 _HOLDS = """holds AS (
@@ -326,7 +326,7 @@ _RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY capture_id, ho
 @query("w6_hold_windows", "capture_id hold i start_k", "", f"""
   WITH {_RANKED}, {_HOLDS} SELECT capture_id, hold, i, start_k FROM held""", "rated")
 def _(spark, d):
-    return windows.hold_windows(samples(spark, d), KEY, halo=1024)
+    return windows.hold_windows(samples(spark, d), KEY)
 
 
 @query("w7_quietest_slide", "capture_id", "start_t spread", """

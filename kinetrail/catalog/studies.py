@@ -251,7 +251,7 @@ def _(spark, d):
     grid = whatif.parameter_grid(spark, {"bias_x": [-0.02, 0.0, 0.02], "lever_x": [0.0, 0.09]})
     s = settle(whatif.with_params(samples(spark, d), grid))
     keys = [*KEY, "param_id"]
-    x = whatif.rebuild(s, keys, {"bias": ("bias_x", 0.0, 0.0), "lever": ("lever_x", 0.0, 0.0)}, halo=1024)
+    x = whatif.rebuild(s, keys, {"bias": ("bias_x", 0.0, 0.0), "lever": ("lever_x", 0.0, 0.0)})
     spread = whatif.with_params(bounds(spark, d), grid.select("param_id"))
     path = correct.detrend(settle(x), spread, keys)
     per = path.groupBy(*keys, "rep").agg((F.sqrt(F.avg(F.col("px") ** 2 + F.col("py") ** 2)) * 100).alias("v"))

@@ -48,7 +48,7 @@ def _(spark, d):
 
 
 @query("t5_merge_close_points", "clip_id f event_id", "", f"""
-  WITH RECURSIVE {_TOP.format(k=200)}, walk AS (
+  WITH RECURSIVE {_TOP.format(k=1_000_000)}, walk AS (
     SELECT clip_id, f, 0::BIGINT AS r, [event_id] AS ids, [y] AS ys, [x] AS xs FROM top WHERE r = 0
     UNION ALL SELECT w.clip_id, w.f, t.r, CASE WHEN hit THEN ids ELSE list_append(ids, event_id) END, CASE WHEN hit THEN ys ELSE list_append(ys, y) END,
       CASE WHEN hit THEN xs ELSE list_append(xs, x) END FROM walk w, LATERAL (SELECT t.*, list_bool_or(list_transform(range(1, len(w.ys)+1),
@@ -80,7 +80,7 @@ _TRI = f"""{_TOP.format(k=30)}, tri AS (SELECT a.clip_id, a.f, a.r AS ra, b.r AS
   WITH {_TRI} SELECT * FROM (SELECT *, regularity*br AS score, row_number() OVER (PARTITION BY clip_id, f ORDER BY regularity*br DESC, ra, rb, rc) AS k
     FROM hb WHERE hub_distance < 0.8*circumradius) WHERE k <= 20""", "detections")
 def _(spark, d):
-    return tk.triples(detections(spark, d))
+    return tk.triples(detections(spark, d), max_dets=30, top=20)
 
 
 @query("k3_circles_through_triples", "clip_id f ra rb rc inliers", "radius", f"""
@@ -93,7 +93,7 @@ def _(spark, d):
   SELECT r.clip_id, r.f, ra, rb, rc, r.cy, r.cx, radius, count(*) AS inliers FROM r JOIN top p ON p.clip_id = r.clip_id AND p.f = r.f
     AND abs(sqrt(pow(p.y-r.cy,2)+pow(p.x-r.cx,2)) - radius) <= 10 WHERE radius BETWEEN 28 AND 150 GROUP BY ALL HAVING count(*) >= 5""", "detections")
 def _(spark, d):
-    return tk.circles(detections(spark, d))
+    return tk.circles(detections(spark, d), max_dets=40)
 
 
 @query("k4_ellipse_fits", "clip_id f points", "centre_y centre_x semi_major semi_minor angle", places=2)
@@ -115,15 +115,15 @@ def _(spark, d):
     avg(score)*count(DISTINCT f)*(1 + sqrt(pow(max(cy)-min(cy),2)+pow(max(cx)-min(cx),2))) AS merit
   FROM hy JOIN walk w ON w.clip_id = hy.clip_id AND hy.c <= w.head AND hy.c > 0.85*w.head GROUP BY 1, 2""", "detections", places=3)
 def _(spark, d):
-    return tk.score_groups(tk.size_groups(tk.triples(detections(spark, d), top=10_000)))
+    return tk.score_groups(tk.size_groups(tk.triples(detections(spark, d), max_dets=30)))
 
 
 @query("k6_track_merit", "clip_id", "full_share coverage merit", """
-  SELECT clip_id, avg((n_markers >= 3)::INT) AS full_share, avg((x IS NOT NULL)::INT) AS coverage, coalesce(avg((n_markers >= 3)::INT) * avg((x IS NOT NULL)::INT)
-    / (1 + (quantile_cont(m_per_px_t, 0.95) - quantile_cont(m_per_px_t, 0.05))/0.05) / (1 + median(residual_px) FILTER (WHERE n_markers >= 3)), 0) AS merit
-  FROM track GROUP BY 1""", "track")
+  SELECT clip_id, avg(whole::INT) AS full_share, avg((x IS NOT NULL)::INT) AS coverage, coalesce(avg(whole::INT) * avg((x IS NOT NULL)::INT)
+    / (1 + (quantile_cont(m_per_px_t, 0.95) - quantile_cont(m_per_px_t, 0.05))/0.05) / (1 + median(residual_px) FILTER (WHERE whole)), 0) AS merit
+  FROM (SELECT *, n_markers >= 2 + clip_id % 2 AS whole FROM track) GROUP BY 1""", "track")
 def _(spark, d):
-    return tk.track_merit(track(spark, d))
+    return tk.track_merit(track(spark, d), full=2 + F.col("clip_id") % 2)   # the markers of each clip's model
 
 
 def pixels(spark, d):
@@ -189,12 +189,16 @@ def _(spark, d):
     return tk.top_of_travel(track(spark, d), CLIP, {"score": F.col("score"), "px": F.col("residual_px")})
 
 
-@query("v12_template_findings", "clip_id finding", "travel_m score top_score", """
+@query("v12_template_findings", "clip_id findings", "travel_m score top_score", """
   WITH n AS (SELECT *, height > max(height) OVER w - 0.15*(max(height) OVER w - min(height) OVER w) AS near FROM track WINDOW w AS (PARTITION BY clip_id)),
   a AS (SELECT clip_id, max(height) - min(height) AS travel_m, median(score) AS score, median(score) FILTER (WHERE near) AS top_score FROM n GROUP BY 1)
-  SELECT *, CASE WHEN travel_m < 0.5 THEN 'refused' WHEN score < 0.45 THEN 'low_score' WHEN top_score < 0.45 THEN 'low_top_score' END AS finding FROM a""", "track")
+  SELECT *, CASE WHEN travel_m < 0.5 THEN 'refused' ELSE array_to_string(list_filter([CASE WHEN score < 0.45 THEN 'low_score' END,
+    CASE WHEN top_score < 0.45 THEN 'low_top_score' END, CASE WHEN clip_id % 3 < 2 AND travel_m > 0.8 THEN 'travel_above'
+      WHEN clip_id % 3 < 2 AND travel_m < 0.7 THEN 'travel_below' END], lambda z: z IS NOT NULL), ',') END AS findings FROM a""", "track")
 def _(spark, d):
-    return tk.template_findings(track(spark, d), CLIP, 0.5, 0.45)
+    t = track(spark, d)
+    bands = t.select("clip_id").distinct().filter("clip_id % 3 < 2").select("clip_id", F.lit(0.7).alias("rom_lo"), F.lit(0.8).alias("rom_hi"))
+    return tk.template_findings(t, CLIP, 0.5, 0.45, bands).withColumn("findings", F.array_join("findings", ","))
 
 
 @query("v13_marker_findings", "clip_id findings", "coverage two_marker_share top_cm top_ratio", f"""

@@ -77,11 +77,18 @@ def _session_override(path: Column, table: dict[str, float], default: Column) ->
 
 
 def plate_diameter(path: Column) -> Column:
+    """A session with its own plates decides, then the lift; null if neither is known
+    (:func:`undecided` lists those files)."""
     lift = lift_of(path)
     base = F.lit(None).cast("double")
     for name, size in PLATE_M.items():
         base = F.when(lift == name, F.lit(size)).otherwise(base)
-    return F.when(lift.isNotNull(), _session_override(path, PLATE_SESSION_M, base))
+    return _session_override(path, PLATE_SESSION_M, base)
+
+
+def undecided(paths: DataFrame, path: str) -> DataFrame:
+    """Files whose name tells neither the lift nor a session with its own plates."""
+    return paths.filter(plate_diameter(F.col(path)).isNull())
 
 
 def sticker_plate_diameter(path: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinetrail.functions import geometry as geo
 from kinetrail.operators.motion import ACCEL, GYRO, magnitude
 from kinetrail.operators.windows import (
-    AROUND, HALO_ROWS, _scaled, frame_rows, local_maxima, rolling_mean, rolling_variance, windowed_scaled,
+    AROUND, _scaled, frame_rows, local_maxima, rolling_mean, rolling_variance, widest, windowed_scaled,
 )
 from kinetrail.plans.blocks import BLOCK, block_rows, lookup, neighbours, per_key, settle, windowed
 from kinetrail.plans.joins import time_range_join
@@ -54,15 +54,15 @@ def outer_extrema(track: DataFrame, keys: Sequence[str], value: str, third: floa
 
 
 def rest_scores(series: DataFrame, keys: Sequence[str], window_s: float = 0.05, least: int = 3,
-                accel: Column | None = None, gyro: Column | None = None,
-                halo: int = HALO_ROWS) -> DataFrame:
+                accel: Column | None = None, gyro: Column | None = None) -> DataFrame:
     """Per row: normalised variance score and the mean magnitude around it."""
     rows = block_rows(series.sparkSession)
     a = magnitude(ACCEL) if accel is None else accel
     g = magnitude(GYRO) if gyro is None else gyro
     width = frame_rows(window_s, least)
+    halo = widest(series, width)
     rolled = rolling_variance(series.withColumn("_mag", a), keys, {"_av": F.col("_mag"), "_gv": g}, width, halo)
-    x = _scaled(rolled, width, halo)
+    x = _scaled(rolled, width)
 
     def build(w):
         frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*AROUND)

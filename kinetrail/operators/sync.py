@@ -164,16 +164,23 @@ def lag_policy(curve: DataFrame, cadence: DataFrame, keys: Sequence[str], rate:
     box starts at ``start_s`` and widens until the peak is a whole period
     inside; a widened peak must stay put; rivals must be whole periods away.
     """
-    ladder = [start_s * WIDEN**k for k in range(24)]
     cadence = settle(cadence)
     c = settle(curve.filter("corr is not null").join(cadence, list(keys)))
     reach = F.greatest(F.col("reach_s"), F.lit(start_s))
-    boxes = cadence.withColumn("_half", F.explode(F.array_distinct(F.array(
-        *[F.least(F.lit(h), reach) for h in ladder])))).withColumn("_reach", reach)
+
+    def box_of(k: Column) -> Column:
+        """Half width of the k-th box: each WIDEN times the one before."""
+        return F.lit(float(start_s)) * F.pow(F.lit(float(WIDEN)), k)
+
+    def rung_of(half: Column) -> Column:
+        """The first box that is as wide."""
+        return F.greatest(F.lit(0), F.ceil(F.log(half / start_s) / float(np.log(WIDEN)))).cast("int")
+
+    boxes = cadence.withColumn("_half", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(0), rung_of(reach) + 1), lambda k: F.least(box_of(k), reach))))).withColumn("_reach", reach)
     lag_s = F.col("lag") / rate
     # the smallest ladder box holding each lag
-    rung = F.ceil(F.log(F.greatest(F.abs(lag_s) + 0.5 / rate, F.lit(start_s)) / start_s) / float(np.log(WIDEN)))
-    size = F.element_at(F.array(*[F.lit(h) for h in ladder]), (rung + 1).cast("int"))
+    size = box_of(rung_of(F.greatest(F.abs(lag_s) + 0.5 / rate, F.lit(start_s))))
     tiers = settle(c.withColumn("_tier", F.least(size, reach)).filter(F.abs(lag_s) <= reach).groupBy(*keys, "_tier").agg(
         F.max_by(F.struct("lag", "corr"), F.struct("corr", -F.col("lag"))).alias("_p")))
     box = boxes.alias("b").join(tiers.alias("t"), list(keys)).filter("_tier <= _half").groupBy(

@@ -17,6 +17,7 @@ from kinetrail.functions.rules import STICKER_RATIO
 from kinetrail.operators.motion import unwrap
 from kinetrail.plans.blocks import BLOCK, index_series, lookup, ordinal, per_key, prefix, reblock, settle
 from kinetrail.plans.quantiles import exact_medians, exact_quantiles
+from kinetrail.functions.rules import rom_flag
 from kinetrail.plans.scans import refractory
 
 FRAME = ("clip_id", "f")
@@ -24,10 +25,11 @@ CLIP = ("clip_id",)
 
 
 # ---------------------------------------------------------------- detections --
-def strongest(dets: DataFrame, k: int = 200, ident: str = "event_id") -> DataFrame:
-    """The ``k`` strongest points of every frame, ranked (``r`` from 0)."""
+def strongest(dets: DataFrame, k: int | None = 200, ident: str = "event_id") -> DataFrame:
+    """The ``k`` strongest points of every frame, ranked (``r`` from 0); all if ``k`` is None."""
     w = W.partitionBy(*FRAME).orderBy(F.desc("strength"), ident)
-    return dets.withColumn("r", F.row_number().over(w) - 1).filter(F.col("r") < k)
+    ranked = dets.withColumn("r", F.row_number().over(w) - 1)
+    return ranked if k is None else ranked.filter(F.col("r") < k)
 
 
 def static_points(dets: DataFrame, n_sample: int = 30, cell: float = 3.0, recur: float = 0.7) -> DataFrame:
@@ -60,13 +62,13 @@ def suppress(dets: DataFrame, fixed: DataFrame, radius: float = 3.0) -> DataFram
     return d.join(s, cond & near, "left_anti").drop("_cy", "_cx")
 
 
-def merge_close_points(dets: DataFrame, merge_px: float = 3.0, k: int = 200) -> DataFrame:
+def merge_close_points(dets: DataFrame, merge_px: float = 3.0) -> DataFrame:
     """Of points closer than ``merge_px`` keep the stronger, strongest first.
 
-    Works on the ``k`` strongest of a frame (the detector's own limit), so the
-    folded array has a fixed bound.
+    The points of a frame are folded in one array; compose :func:`strongest` to
+    look at fewer.
     """
-    top = strongest(dets, k)
+    top = strongest(dets, None)
     item = F.struct("r", "y", "x", "event_id", "strength")
     frames = top.groupBy(*FRAME).agg(F.array_sort(F.collect_list(item)).alias("_p"))
 
@@ -78,9 +80,12 @@ def merge_close_points(dets: DataFrame, merge_px: float = 3.0, k: int = 200) ->
     return frames.withColumn("_k", F.explode(F.aggregate("_p", none, step))).select(*FRAME, "_k.*")
 
 
-def triples(dets: DataFrame, band: tuple[float, float] = (28.0, 150.0), tol: float = 0.25, max_dets: int = 30,
-            hub_frac: float = 0.8, top: int = 20) -> DataFrame:
-    """Near-equilateral triples of a frame's strongest points, with a hub.
+def triples(dets: DataFrame, band: tuple[float, float] = (28.0, 150.0), tol: float = 0.25, max_dets: int | None = None,
+            hub_frac: float | None = 0.8, top: int | None = None) -> DataFrame:
+    """Near-equilateral triples of a frame's points, with a hub unless ``hub_frac`` is None.
+
+    ``max_dets`` and ``top`` keep the strongest points and the best triples of a
+    frame; by default all are kept.
 
     Side lengths of such a triple lie in a band, so the first join is already
     bounded by distance; the second keeps triples whose sides agree.
@@ -110,19 +115,21 @@ def triples(dets: DataFrame, band: tuple[float, float] = (28.0, 150.0), tol: flo
     tri = tri.withColumns({"regularity": F.greatest(F.lit(0.0), 1 - F.col("_spread") / tol), "circumradius": circ}).filter(
         (F.col("regularity") > 0) & F.col("circumradius").between(*band))
     d = F.hypot(F.col("p.y") - F.col("t.cy"), F.col("p.x") - F.col("t.cx"))
-    cond = (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.f") == F.col("p.f")) & (d < hub_frac * F.col("t.circumradius"))
+    cond = (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.f") == F.col("p.f")) & (d < (hub_frac or 0.0) * F.col("t.circumradius"))
     every = dets.select(*FRAME, "y", "x")
+    cond = cond if hub_frac is not None else (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.f") == F.col("p.f"))
     hub = tri.alias("t").join(every.alias("p"), cond).groupBy(*[F.col(f"t.{c}") for c in tri.columns]).agg(F.min(d).alias("hub_distance"))
     scored = hub.withColumn("score", F.col("regularity") * F.col("_bright"))
     w = W.partitionBy(*FRAME).orderBy(F.desc("score"), "ra", "rb", "rc")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return (ranked if top is None else ranked.filter(F.col("rank") <= top)).select(
         *FRAME, "ra", "rb", "rc", "cy", "cx", "circumradius", "regularity", "hub_distance", "score", "rank")
 
 
 def circles(dets: DataFrame, band: tuple[float, float] = (28.0, 150.0), min_inliers: int = 5, tol_px: float = 10.0,
-            max_dets: int = 40) -> DataFrame:
-    """Circle through every triple of a frame's strongest points that enough
-    points lie near.  The first two sides are bounded by the largest diameter."""
+            max_dets: int | None = None) -> DataFrame:
+    """Circle through every triple of a frame's points (the ``max_dets`` strongest,
+    if given) that enough points lie near.  The first two sides are bounded by the largest diameter."""
     p = settle(strongest(dets, max_dets).select(*FRAME, "r", "y", "x"))
 
     def same(a: str, b: str) -> Column:
@@ -274,8 +281,11 @@ def spread_members(rows: DataFrame, keys: Sequence[str], k: int, score: str = "s
     return ranked.filter((F.col("n") <= k) | taken).drop("i", "n", BLOCK)
 
 
-def track_merit(track: DataFrame, keys: Sequence[str] = CLIP, full: int = 3, x: str = "x", scale: str = "m_per_px_t") -> DataFrame:
-    """Share of full frames x coverage x rigidity / (1 + their residual)."""
+def track_merit(track: DataFrame, keys: Sequence[str] = CLIP, full: Column | int = 3, x: str = "x", scale: str = "m_per_px_t") -> DataFrame:
+    """Share of full frames x coverage x rigidity / (1 + their residual).
+
+    A frame is full with ``full`` markers: those of the clip's model, three for a triangle.
+    """
     keys = list(keys)
     whole = F.col("n_markers") >= full
     base = track.groupBy(*keys).agg(F.avg(whole.cast("double")).alias("full_share"),
@@ -365,15 +375,28 @@ def top_of_travel(track: DataFrame, keys: Sequence[str], values: dict[str, Colum
         **{f"top_{n}": F.when(near, c) for n, c in values.items()}, **{f"all_{n}": c for n, c in values.items()}})
 
 
-def template_findings(track: DataFrame, keys: Sequence[str], min_travel: float = 0.10, good: float = 0.60) -> DataFrame:
-    """Refusal and warnings for a template-tracked clip."""
+def template_findings(track: DataFrame, keys: Sequence[str], min_travel: float = 0.10, good: float = 0.60,
+                      bands: DataFrame | None = None) -> DataFrame:
+    """Refusal and warnings for a template-tracked clip, as an array of names.
+
+    A refused clip has no other finding.  ``bands`` (keys, rom_lo, rom_hi) bounds
+    the travel of clips whose lift is known.
+    """
     keys = list(keys)
     travel = track.groupBy(*keys).agg((F.max("height") - F.min("height")).alias("travel_m"))
     med = exact_medians(track, keys, {"score": "score"})
     top = top_of_travel(track, keys, {"score": F.col("score")}, guard=F.col("score").isNotNull()).select(*keys, "top_score")
     t = travel.join(med, keys, "left").join(top, keys, "left")
-    return t.withColumn("finding", F.when(F.col("travel_m") < min_travel, "refused").when(
-        F.col("score") < good, "low_score").when(F.col("top_score") < good, "low_top_score"))
+    flag = F.lit(None).cast("string")
+    if bands is not None:
+        t = t.join(bands.select(*keys, "rom_lo", "rom_hi"), keys, "left")
+        flag = rom_flag(F.col("travel_m"), F.col("rom_lo"), F.col("rom_hi"))
+    found = F.array_compact(F.array(
+        F.when(F.col("score") < good, F.lit("low_score")), F.when(F.col("top_score") < good, F.lit("low_top_score")),
+        F.concat(F.lit("travel_"), flag)))
+    refused = F.coalesce(F.col("travel_m") < min_travel, F.lit(False))
+    return t.withColumn("findings", F.when(refused, F.array(F.lit("refused"))).otherwise(found)).select(
+        *keys, "travel_m", "score", "top_score", "findings")
 
 
 def marker_findings(track: DataFrame, keys: Sequence[str], calibration: DataFrame | None = None,

@@ -15,7 +15,6 @@ from kinetrail.plans.blocks import (
     BLOCK, block_rows, lookup, neighbours, ordinal, per_key, prefix, reblock, runs, windowed,
 )
 
-HALO_ROWS = 4096
 _SCALE = 1 << 20   # window lengths are measured in units of 1 / _SCALE
 
 # frames over ``_u`` that hold exactly ``_w`` rows (neighbours differ by at
@@ -31,16 +30,20 @@ def frame_rows(seconds: float, least: int, fs: Column | str = "fs") -> Column:
     return F.greatest(F.bround(F.lit(float(seconds)) * rate).cast("long"), F.lit(least).cast("long"))
 
 
-def _scaled(series: DataFrame, width: Column, halo: int) -> DataFrame:
-    """``_w`` and ``_u`` = position inside the block measured in window lengths.
+def widest(series: DataFrame, width: Column) -> int:
+    """Rows of the widest window of the data (one number); they border a block."""
+    rows = series.agg(F.max(width)).first()[0] or 1
+    if rows > block_rows(series.sparkSession):
+        raise ValueError(f"a window of {rows} rows is wider than a block; raise kinetrail.blockRows")
+    return int(rows)
 
-    A frame of ``_w`` rows is then a fixed range of ``_u``, although ``_w``
-    differs from key to key.
+
+def _scaled(series: DataFrame, width: Column) -> DataFrame:
+    """``_w``, the window length of the key.  With ``_u``, the position inside the
+    block measured in window lengths, a frame of ``_w`` rows is a fixed range of
+    ``_u``, although ``_w`` differs from key to key.
     """
-    rows = block_rows(series.sparkSession)
-    checked = F.when(width <= halo, width).otherwise(
-        F.raise_error(F.lit(f"window exceeds the {halo}-row halo")).cast("long"))
-    return series.withColumn("_w", checked)
+    return series.withColumn("_w", width)
 
 
 def _position(rows: int) -> Column:
@@ -49,14 +52,16 @@ def _position(rows: int) -> Column:
 
 def rolling_variance(
     series: DataFrame, keys: Sequence[str], values: dict[str, Column], width: Column,
-    halo: int = HALO_ROWS,
+    halo: int | None = None,
 ) -> DataFrame:
     """Centred rolling population variance, end values repeated, floor at 0.
 
-    ``values`` maps output name -> column; ``width`` is a per-key row count.
+    ``values`` maps output name -> column; ``width`` is a per-key row count; ``halo`` its
+    maximum, if known.
     """
     rows = block_rows(series.sparkSession)
-    x = _scaled(series.withColumns({f"_x_{o}": c for o, c in values.items()}), width, halo)
+    halo = widest(series, width) if halo is None else halo
+    x = _scaled(series.withColumns({f"_x_{o}": c for o, c in values.items()}), width)
 
     def build(w):
         frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*CENTRED)
@@ -176,7 +181,7 @@ def polynomial_smooth(
 
 def stillest_window(
     series: DataFrame, keys: Sequence[str], search_s: float = 3.0, window_s: float = 1.0,
-    least: int = 5, value: Column | None = None, halo: int = HALO_ROWS,
+    least: int = 5, value: Column | None = None,
 ) -> DataFrame:
     """``[start_i, stop_i)`` of lowest variance in the opening ``search_s``."""
     rows = block_rows(series.sparkSession)
@@ -189,7 +194,8 @@ def stillest_window(
         series.filter(F.col("t") < search_s).select(*keys, "i", "n", BLOCK, mag.alias("_x")),
         keys, base.select(*keys, "n", "_end", "_len"),
     )
-    x = _scaled(opening, F.col("_len"), halo)
+    halo = widest(base, F.col("_len"))
+    x = _scaled(opening, F.col("_len"))
 
     def build(w):
         frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*FORWARD)
@@ -208,7 +214,7 @@ def stillest_window(
 
 
 def hold_windows(
-    series: DataFrame, keys: Sequence[str], span_s: float = 1.5, halo: int = HALO_ROWS,
+    series: DataFrame, keys: Sequence[str], span_s: float = 1.5,
 ) -> DataFrame:
     """Quietest ``span_s`` inside the opening (0) and closing (2) phase.
 
@@ -226,8 +232,8 @@ def hold_windows(
         held.withColumn("_i", F.col("i")).withColumn("i", F.col("_rank")).drop("_rank", "n"))
     size = size.withColumn("n", F.col("_size")).filter(F.col("_size") >= F.col("_len") + 2)
     ranked = lookup(ranked, part, size.select(*part, "n", "_len", "_size"), "inner")
-    x = _scaled(ranked.withColumn("n", F.col("_size")).withColumn("_x", magnitude(GYRO)),
-                F.greatest(F.col("_len"), F.lit(1)), halo)
+    halo = widest(size, F.col("_len"))
+    x = _scaled(ranked.withColumn("n", F.col("_size")).withColumn("_x", magnitude(GYRO)), F.greatest(F.col("_len"), F.lit(1)))
 
     def build(w):
         frame = W.partitionBy(*part, BLOCK).orderBy("_u").rangeBetween(*FORWARD)

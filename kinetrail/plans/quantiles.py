@@ -16,7 +16,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
-SMALL_GROUP = 10_000
 SALTS = 64
 
 
@@ -25,7 +24,6 @@ def exact_quantiles(
     keys: Sequence[str],
     wanted: dict[str, tuple[Column | str, float]],
     accuracy: int = ACCURACY,
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per key with a column per entry of ``wanted``: name -> (value, q)."""
     names = list(wanted)
@@ -42,17 +40,23 @@ def exact_quantiles(
 
     qs = sorted({float(q) for _, q in wanted.values()})
     slack = 4.0 / accuracy
-    probes = sorted({min(max(q + s, 0.0), 1.0) for q in qs for s in (-slack, slack)})
+    # a rank is met for certain at the sketch's error plus two rows: the nearest
+    # of a few fixed distances that is as far, up to the extremes of the group
+    reaches = sorted({slack, *[r for r in (1e-3, 1e-2, 1e-1) if r > slack], 1.0})
+    probes = sorted({min(max(q + s * r, 0.0), 1.0) for q in qs for r in reaches for s in (-1, 1)})
     at = {p: k for k, p in enumerate(probes)}
+    need = F.lit(slack / 2) + F.lit(2.0) / F.col("_n")
 
     def probe(sign: float) -> Column:
         out = F.lit(None).cast("double")
         for q in qs:
-            p = min(max(q + sign * slack, 0.0), 1.0)
-            out = F.when(F.col("_q") == q, F.col("_sk")[at[p]]).otherwise(out)
+            mine = F.lit(None).cast("double")
+            for r in reversed(reaches):
+                value = F.col("_sk")[at[min(max(q + sign * r, 0.0), 1.0)]]
+                mine = value if r == 1.0 else F.when(need <= r, value).otherwise(mine)
+            out = F.when(F.col("_q") == q, mine).otherwise(out)
         return out
 
-    big = F.col("_n") > small_group
     brackets = (
         long.groupBy(*group, "_q")
         .agg(
@@ -62,8 +66,8 @@ def exact_quantiles(
         .select(
             *group, "_n",
             (F.col("_q") * (F.col("_n") - 1)).alias("_rank"),
-            F.when(big, probe(-1.0)).otherwise(F.col("_min")).alias("_lo"),
-            F.when(big, probe(1.0)).otherwise(F.col("_max")).alias("_hi"),
+            F.least(probe(-1.0), F.when(need > 0.1, F.col("_min"))).alias("_lo"),
+            F.greatest(probe(1.0), F.when(need > 0.1, F.col("_max"))).alias("_hi"),
         )
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
@@ -89,7 +93,8 @@ def exact_quantiles(
         F.max(F.when(holds(high), F.col("_v"))).alias("_b"),
         F.max("_rank").alias("_rank"),
     ).withColumn(
-        "_val", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
+        "_val", F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a quantile's bracket missed its rank")).cast("double"))
+        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank")))
     )
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_val"))).alias(n) for n in names]

@@ -80,13 +80,12 @@ def refractory(
             got[k] = pdf[k].iloc[0]
         return got[[*keys, BLOCK, "_last"]]
 
-    # only keys whose candidates lie in several blocks need a chained state
-    spread = (
-        rows.groupBy(*keys).agg(F.min(BLOCK).alias("_a"), F.max(BLOCK).alias("_b"))
-        .filter("_a < _b").select(*keys)
-    )
+    # only keys whose candidates lie in several blocks need a chained state; the
+    # rows meet one row per block, so they stay dealt by (key, block)
+    blocks = rows.select(*keys, BLOCK).distinct()
+    spread = blocks.join(blocks.groupBy(*keys).count().filter("count > 1").select(*keys), keys)
     pieces = (
-        rows.join(spread, keys, "left_semi").select(*keys, BLOCK, "_t")
+        rows.join(spread, [*keys, BLOCK], "left_semi").select(*keys, BLOCK, "_t")
         .groupBy(*keys, BLOCK).applyInPandas(summarise, piece_schema)
     )
     state = pieces.groupBy(*keys).applyInPandas(chain, state_schema)
@@ -108,11 +107,15 @@ def refractory(
             fresh[:1] = group != tuple(c[0] for c in names) if len(pdf) else False
             keep = np.zeros(len(pdf), bool)
             start = np.nan_to_num(pdf["_last"].to_numpy(dtype=float), nan=-math.inf)
-            for k, (t, new) in enumerate(zip(pdf["_t"].tolist(), fresh.tolist())):
-                if new:
-                    last = float(start[k])
-                if t > last + gap:
-                    last, keep[k] = t, True
+            t = pdf["_t"].to_numpy()
+            cuts = np.unique(np.r_[0, np.flatnonzero(fresh), len(pdf)])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if fresh[a]:
+                    last = float(start[a])
+                k = a + int(np.searchsorted(t[a:b], last + gap, side="right"))
+                while k < b:  # from accepted to accepted
+                    last, keep[k] = float(t[k]), True
+                    k += max(1, int(np.searchsorted(t[k:b], last + gap, side="right")))
             if len(pdf):
                 group = tuple(c[-1] for c in names)
             yield pdf.loc[keep, columns]
@@ -337,28 +340,32 @@ def tile_products(
 
 def tile_signatures(vectors: DataFrame, keys: Sequence[str], ident: str, vector: str, threshold: float,
                     tile: int = 2048) -> DataFrame:
-    """Per vector the count and hash sum of the members it is similar to
-    (itself included): equal signatures mean equal sets, and no set is listed."""
+    """Per vector the count ``_c`` and two hash sums ``_h`` of the members it is
+    similar to (itself included): equal signatures mean equal sets, and no set is listed."""
     keys = list(keys)
     t = vectors.select(*keys, "n", F.col(ident).alias("_id"), F.col(vector).alias("_v"),
                        F.shiftright(F.xxhash64(F.col(ident)), 24).alias("_mark"),
+                       F.shiftright(F.xxhash64(F.lit(1), F.col(ident)), 24).alias("_mark2"),
                        F.floor(F.col("i") / tile).cast("long").alias("_tile"))
     tiles = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / tile).cast("long"))
     left = t.withColumn("_other", F.explode(tiles)).drop("n")
     right = t.withColumn("_mine", F.explode(tiles)).select(
         *[F.col(k).alias(f"r_{k}") for k in keys], F.col("_mine").alias("r_tile"), F.col("_tile").alias("r_other"),
-        F.col("_v").alias("r_v"), F.col("_mark").alias("r_mark"))
+        F.col("_v").alias("r_v"), F.col("_mark").alias("r_mark"), F.col("_mark2").alias("r_mark2"))
     schema = T.StructType([
         *[vectors.schema[k] for k in keys], T.StructField(ident, vectors.schema[ident].dataType),
-        T.StructField("_c", T.LongType()), T.StructField("_h", T.LongType())])
+        T.StructField("_c", T.LongType()), T.StructField("_h", T.LongType()),
+        T.StructField("_h2", T.LongType())])
 
     def compare(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
             return pd.DataFrame({f.name: [] for f in schema})
         hit = np.stack(l["_v"].to_numpy()) @ np.stack(r["r_v"].to_numpy()).T > threshold
         return pd.DataFrame({**{c: l[c].iloc[0] for c in keys}, ident: l["_id"].to_numpy(),
-                             "_c": hit.sum(axis=1), "_h": hit.astype(np.int64) @ r["r_mark"].to_numpy()})
+                             "_c": hit.sum(axis=1), "_h": hit.astype(np.int64) @ r["r_mark"].to_numpy(),
+                             "_h2": hit.astype(np.int64) @ r["r_mark2"].to_numpy()})
 
     parts = left.groupBy(*keys, "_tile", "_other").cogroup(
         right.groupBy(*[f"r_{k}" for k in keys], "r_tile", "r_other")).applyInPandas(compare, schema)
-    return parts.groupBy(*keys, ident).agg(F.sum("_c").alias("_c"), F.sum("_h").alias("_h"))
+    return parts.groupBy(*keys, ident).agg(
+        F.sum("_c").alias("_c"), F.struct(F.sum("_h").alias("a"), F.sum("_h2").alias("b")).alias("_h"))

@@ -103,9 +103,33 @@ def stream_refractory(events: DataFrame, key: str, gap_ms: int, delay: str) -> D
 
 
 def stream_quality(samples: DataFrame, keys: Sequence[str], every: str, delay: str, ts: str = "ts",
-                   value: str = "value") -> DataFrame:
-    """Tumbling counts, spread and extremes per key, with late rows dropped."""
-    return samples.withWatermark(ts, delay).groupBy(*keys, F.window(ts, every)).agg(
+                   value: str = "value", uneven: float = 0.2) -> DataFrame:
+    """Tumbling counts, spread, extremes, irregular sampling and clipped samples per key.
+
+    A window's samples are held until the watermark closes it; a row more than
+    ``delay`` behind the newest comes too late.  Clipped are the samples in runs
+    of two or more at the window's own extreme.
+    """
+    held = samples.withWatermark(ts, delay).groupBy(*keys, F.window(ts, every)).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("spread"),
         F.max(value).alias("top"), F.min(value).alias("bottom"),
-    ).select(*keys, F.col("window.start").alias("start"), "rows", "mean", "spread", "top", "bottom")
+        F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("us"), F.col(value).alias("v")))).alias("_s"))
+    s, n = F.col("_s"), F.size("_s")
+    dt = F.zip_with(F.slice(s, 2, F.greatest(n - 1, F.lit(0))), F.slice(s, 1, F.greatest(n - 1, F.lit(0))),
+                    lambda b, a: (b["us"] - a["us"]).cast("double"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    sums = F.aggregate(dt, zero, lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")))
+    mean = F.col("_d.s") / (n - 1)
+    spread = F.sqrt(F.greatest(F.col("_d.q") / (n - 1) - mean * mean, F.lit(0.0)))
+    irregular = F.coalesce(F.when((n > 1) & (mean > 0), spread / mean > uneven), F.lit(False))
+
+    def pinned(x, i):
+        """In a run of two at least, at the top or the bottom."""
+        before = F.get(s, i - 1)["v"] == x["v"]
+        after = F.get(s, i + 1)["v"] == x["v"]
+        edge = (x["v"] == F.col("top")) | (x["v"] == F.col("bottom"))
+        return edge & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
+
+    return held.withColumn("_d", sums).select(
+        *keys, F.col("window.start").alias("start"), "rows", "mean", "spread", "top", "bottom", irregular.alias("irregular"),
+        F.size(F.filter("_s", pinned)).cast("long").alias("clipped"))

@@ -117,7 +117,7 @@ def test_quantiles_are_exact_on_a_hot_group(spark):
     rng = np.random.default_rng(5)
     hot, cold = np.round(rng.exponential(40, 20000), 2), rng.normal(size=11)
     df = spark.createDataFrame([(1, float(v)) for v in hot] + [(2, float(v)) for v in cold], "key long, v double")
-    got = exact_quantiles(df, KEY, {"a": ("v", 0.5), "b": ("v", 0.95), "c": ("v", 0.013)}, accuracy=500, small_group=100).toPandas().set_index("key")
+    got = exact_quantiles(df, KEY, {"a": ("v", 0.5), "b": ("v", 0.95), "c": ("v", 0.013)}, accuracy=500).toPandas().set_index("key")
     for k, v in ((1, hot), (2, cold)):
         assert np.allclose(got.loc[k, ["a", "b", "c"]].astype(float), np.percentile(v, [50, 95, 1.3]))
 
@@ -135,7 +135,7 @@ def test_cadence_keeps_the_even_run(spark):
     assert segment.longest_cadence(lobe_table(spark, u), KEY, tolerance=1.45).count() == 3
 
 
-def test_cluster_growth_is_the_same_spread_or_grouped(spark):
+def test_cluster_growth_finds_the_larger_family(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(2, 24))
     rows = []
@@ -144,9 +144,13 @@ def test_cluster_growth_is_the_same_spread_or_grouped(spark):
         v = v - v.mean()
         rows.append((1, lobe, (v / np.linalg.norm(v)).tolist(), 1.0 + 0.05 * lobe, float(lobe), 0.2))
     df = spark.createDataFrame(rows, "key long, lobe long, shape array<double>, peak double, peak_t double, area double")
-    a = sorted(r["lobe"] for r in segment.grow_clusters(df, KEY).collect())
-    b = sorted(r["lobe"] for r in segment.grow_clusters(df, KEY, limit=0).collect())
-    assert a == b and len(a) == 7
+    # equal sizes: the later family wins; one more lobe of the earlier one decides by size
+    assert sorted(r["lobe"] for r in segment.grow_clusters(df, KEY).collect()) == [1, 3, 5, 7, 9, 11, 13]
+    more = df.filter("lobe <> 13")
+    assert sorted(r["lobe"] for r in segment.grow_clusters(more, KEY).collect()) == [0, 2, 4, 6, 8, 10, 12]
+    # a lobe far taller than the others of its shape is left out
+    tall = df.withColumn("peak", F.when(F.col("lobe") == 13, 9.0).otherwise(F.col("peak"))).filter("lobe <> 12")
+    assert sorted(r["lobe"] for r in segment.grow_clusters(tall, KEY).collect()) in ([1, 3, 5, 7, 9, 11], [0, 2, 4, 6, 8, 10])
 
 
 def test_flat_topped_axis_counts_three(spark):
