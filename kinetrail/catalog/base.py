@@ -129,7 +129,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-row windows every twelve rows of a capture."""
+    """Ten-row windows with two rows of rest between them: repetitions, as an operator finds them."""
     ev = indexed_events(spark, sf_dir)
     return ev.filter((F.col("i") % 12 == 1) & (F.col("i") + 10 <= F.col("n"))).select(
         *KEY, F.floor(F.col("i") / 12).alias("rep"), F.col("i").alias("start_i"),

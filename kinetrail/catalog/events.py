@@ -326,9 +326,9 @@ def _(spark, d):
 
 @query("a9_guarded_correlation", "capture_id", "corr", """
   SELECT capture_id, CASE WHEN count(*) >= 5 AND stddev_pop(ax) > 1e-9 AND stddev_pop(ay) > 1e-9 THEN corr(ax, ay) END AS corr
-  FROM samples WHERE value > 80 GROUP BY 1""", "samples")
+  FROM samples GROUP BY 1""", "samples")
 def _(spark, d):
-    return samples(spark, d).filter("value > 80").groupBy(*KEY).agg(score.guarded_corr("ax", "ay").alias("corr"))
+    return samples(spark, d).groupBy(*KEY).agg(score.guarded_corr("ax", "ay").alias("corr"))
 
 
 @query("a12_ratio_of_medians", "capture_id", "ratio rep_ratio", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinetrail.catalog.base import KEY, query, reps, samples, table, track
 from kinetrail.catalog.events import _PICK, _REST, _ROLL, clock, picked, rests
-from kinetrail.catalog.signals import _HOLDS, _RANKED, _STILL
+from kinetrail.catalog.signals import _HOLDS, _INV, _RANKED, _STILL, _sql_rotate
 from kinetrail.functions import rules
 from kinetrail.operators import calibrate, correct, motion, quality, score, windows
 from kinetrail.plans.blocks import BLOCK, lookup, per_key, settle
@@ -70,7 +70,12 @@ def _(spark, d):
     return calibrate.gyro_only_drift(s, settle(calibrate.hold_tilt(s, KEY, AXES)), KEY)
 
 
-@query("b5_body_frame_bias", "capture_id", "body_x body_y body_z")
+_BODY = _sql_rotate(_INV, ("ax", "ay", "az"))
+
+
+@query("b5_body_frame_bias", "capture_id", "body_x body_y body_z", f"""
+  WITH {_STILL} SELECT capture_id, avg({_BODY[0]}) AS body_x, avg({_BODY[1]}) AS body_y, avg({_BODY[2]}) AS body_z FROM samples
+  JOIN still USING (capture_id) WHERE i >= start_i AND i < stop_i GROUP BY 1""", "rated")
 def _(spark, d):
     return calibrate.body_frame_bias(samples(spark, d), KEY, world=AXES, **STILL)
 

@@ -399,17 +399,25 @@ def _(spark, d):
 _SG = [-21, 14, 39, 54, 59, 54, 39, 14, -21]
 
 
-@query("w16_polynomial_smooth", "capture_id i", "smoothed", "SELECT capture_id, i, (" + " + ".join(
-    f"({c})*{'lag' if k < 4 else 'lead'}(value, {abs(k - 4)}) OVER w" for k, c in enumerate(_SG)) + """) / 231.0 AS smoothed
-  FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY i) QUALIFY i >= 4 AND i < n - 4""", "samples")
-def _(spark, d):
-    got = windows.polynomial_smooth(samples(spark, d), KEY, "value", "smoothed")
-    return got.filter("i >= 4 and i < n - 4")
+def _cubic_ends() -> str:
+    """Value at row x of the cubic fitted to the nine rows of an end, in SQL.
 
+    Over z = -4 .. 4 the sums of z^2, z^4 and z^6 are 60, 708 and 9780, so the
+    even and odd coefficients are two 2 x 2 systems."""
+    return """ends AS (
+      SELECT capture_id, e, (708*s0 - 60*s2)/2772.0 AS c0, (9*s2 - 60*s0)/2772.0 AS c2, (9780*s1 - 708*s3)/85536.0 AS c1, (60*s3 - 708*s1)/85536.0 AS c3 FROM (
+        SELECT capture_id, e, sum(value) AS s0, sum(value*z) AS s1, sum(value*z*z) AS s2, sum(value*z*z*z) AS s3 FROM (
+          SELECT capture_id, 0 AS e, value, i - 4 AS z FROM samples WHERE i < 9 AND n >= 9 UNION ALL
+          SELECT capture_id, 1, value, i - (n - 5) FROM samples WHERE i >= n - 9 AND n >= 9) GROUP BY 1, 2))"""
 
-@query("w16_polynomial_smooth_ends", "capture_id i", "smoothed")
+
+@query("w16_polynomial_smooth", "capture_id i", "smoothed", f"WITH {_cubic_ends()}, mid AS (SELECT capture_id, i, n, (" + " + ".join(
+    f"({c})*{'lag' if k < 4 else 'lead'}(value, {abs(k - 4)}) OVER w" for k, c in enumerate(_SG)) + """) / 231.0 AS smoothed
+  FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY i))
+  SELECT m.capture_id, m.i, CASE WHEN n < 9 THEN NULL WHEN m.i < 4 OR m.i >= n - 4 THEN c0 + c1*z + c2*z*z + c3*z*z*z ELSE smoothed END AS smoothed
+  FROM (SELECT *, CASE WHEN i < 4 THEN 0 ELSE 1 END AS e, CASE WHEN i < 4 THEN i - 4 ELSE i - (n - 5) END AS z FROM mid) m LEFT JOIN ends USING (capture_id, e)""", "samples")
 def _(spark, d):
-    return windows.polynomial_smooth(samples(spark, d), KEY, "value", "smoothed").filter("i < 4 or i >= n - 4")
+    return windows.polynomial_smooth(samples(spark, d), KEY, "value", "smoothed")
 
 
 @query("w17_zero_phase_band", "capture_id i", "banded")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinetrail.catalog.base import CLIP, KEY, query, reps, samples, table, track
 from kinetrail.catalog.events import _PICK, clock, picked
 from kinetrail.catalog.repeats import (
-    _DET, _IMP, _P3, _V3, AXES, STILL, bounds, grid_rows, integrated, lifted, marks, paths, scored, XYZ,
+    _M5, _DET, _IMP, _P3, _V3, AXES, STILL, bounds, grid_rows, integrated, lifted, marks, paths, scored, XYZ,
 )
 from kinetrail.operators import correct, motion, peaks, score, studies, sync, whatif, windows
 from kinetrail.operators.motion import POSITION, WORLD
@@ -76,7 +76,7 @@ def _(spark, d):
     s = samples(spark, d).withColumn("vz", F.col("value") / 100)
     a, b = sync.motion_signals(trk.select(*KEY, "i", "n", BLOCK, "t", "height"), s, KEY, rate=25.0)
     curve = sync.lag_curve(a, b, KEY, "signal", "signal", 50, need=100)
-    return curve.filter("corr is not null and lag % 10 = 0")
+    return curve.filter("corr is not null")
 
 
 @query("u3_resample_grid", "capture_id k", "value", """
@@ -188,25 +188,32 @@ def _(spark, d):
     return studies.band_health(track(spark, d), CLIP)
 
 
-@query("m26_attitude_drift", "capture_id", "drift_deg", places=2)
+@query("m26_attitude_drift", "capture_id", "drift_deg", """
+  WITH spot AS (SELECT capture_id, arg_min(lo, struct_pack(s := s, lo := lo)) AS lo FROM (
+    SELECT a.capture_id, lo, stddev_pop(sqrt(gx*gx+gy*gy+gz*gz)) AS s FROM (SELECT capture_id, max(t) AS tend FROM samples GROUP BY 1) a,
+      LATERAL (SELECT unnest(range(0, 200)) * 0.5 AS lo) g JOIN samples b ON b.capture_id = a.capture_id AND b.t >= lo AND b.t < lo + 8.0
+    WHERE lo < greatest(tend - 8.0, 0.1) GROUP BY 1, 2 HAVING count(*) >= 10) GROUP BY 1),
+  e AS (SELECT s.capture_id, arg_min(0.01*event_id, i) AS a, arg_max(0.01*event_id, i) AS b FROM samples s JOIN spot USING (capture_id) WHERE t >= lo AND t < lo + 8.0 GROUP BY 1)
+  SELECT capture_id, degrees(2*acos(least(1, abs(cos(b - a))))) AS drift_deg FROM e""", "samples", places=2)   # the attitudes turn about one axis
 def _(spark, d):
     return studies.attitude_drift(samples(spark, d), KEY, motion.magnitude(motion.GYRO))
 
 
 @query("m17_curvature_correlation", "capture_id", "corr", """
-  WITH s AS (SELECT capture_id, i, ax - 2*lag(ax) OVER w + lag(ax, 2) OVER w AS a, ay - 2*lag(ay) OVER w + lag(ay, 2) OVER w AS b FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY i)),
-  d AS (SELECT capture_id, g, corr(a*cos(g*pi()/8) + b*sin(g*pi()/8), a) AS c FROM s, (SELECT unnest(range(0, 8)) AS g) GROUP BY 1, 2)
-  SELECT capture_id, max(abs(c)) AS corr FROM d WHERE g > 0 GROUP BY 1""", "samples")
+  WITH s AS (SELECT capture_id, i, ax - 2*lag(ax) OVER w + lag(ax, 2) OVER w AS a, ay - 2*lag(ay) OVER w + lag(ay, 2) OVER w AS b,
+    az - 2*lag(az) OVER w + lag(az, 2) OVER w AS z FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY i)),
+  d AS (SELECT capture_id, g, corr(a*cos(g*pi()/8) + b*sin(g*pi()/8), z) AS c FROM s, (SELECT unnest(range(0, 8)) AS g) GROUP BY 1, 2)
+  SELECT capture_id, max(abs(c)) AS corr FROM d GROUP BY 1""", "samples")
 def _(spark, d):
     from kinetrail.plans.blocks import windowed
 
     s = windowed(samples(spark, d), KEY, lambda w: {
-        c: F.col(x) - 2 * F.lag(x).over(w) + F.lag(x, 2).over(w) for c, x in (("a", "ax"), ("b", "ay"))}, before=2)
+        c: F.col(x) - 2 * F.lag(x).over(w) + F.lag(x, 2).over(w) for c, x in (("a", "ax"), ("b", "ay"), ("z", "az"))}, before=2)
     import math
 
     turned = s.groupBy(*KEY).agg(*[
-        F.corr(F.col("a") * math.cos(g * math.pi / 8) + F.col("b") * math.sin(g * math.pi / 8), "a").alias(f"c{g}") for g in range(1, 8)])
-    return turned.select(*KEY, F.greatest(*[F.abs(f"c{g}") for g in range(1, 8)]).alias("corr"))
+        F.corr(F.col("a") * math.cos(g * math.pi / 8) + F.col("b") * math.sin(g * math.pi / 8), "z").alias(f"c{g}") for g in range(8)])
+    return turned.select(*KEY, F.greatest(*[F.abs(f"c{g}") for g in range(8)]).alias("corr"))
 
 
 @query("t6_nearest_to_median", "capture_id rep", "rom median", f"""
@@ -220,25 +227,49 @@ def _(spark, d):
 # ---------------------------------------------------------------- what-if ----
 
 
+_PARTS = """masked AS (SELECT s.capture_id, b.bin, s.i, s.t, s.dt, CASE WHEN (s.value > 60) = (b.bin = 'hot') THEN s.ax ELSE 0 END AS a FROM samples s
+    JOIN (SELECT DISTINCT capture_id, CASE WHEN value > 60 THEN 'hot' ELSE 'rest' END AS bin FROM samples) b USING (capture_id)),
+  vel AS (SELECT *, sum(s) OVER w AS v FROM (SELECT *, CASE WHEN i = 0 THEN 0 ELSE (a + lag(a) OVER w)/2*dt END AS s FROM masked WINDOW w AS (PARTITION BY capture_id, bin ORDER BY i))
+    WINDOW w AS (PARTITION BY capture_id, bin ORDER BY i)),
+  pos AS (SELECT *, sum(s2) OVER w AS p FROM (SELECT *, CASE WHEN i = 0 THEN 0 ELSE (v + lag(v) OVER w)/2*dt END AS s2 FROM vel WINDOW w AS (PARTITION BY capture_id, bin ORDER BY i))
+    WINDOW w AS (PARTITION BY capture_id, bin ORDER BY i)),
+  ends_ AS (SELECT p.capture_id, p.bin, r.rep, p.i, p.t, p.p, first_value(p.t) OVER w AS ft, last_value(p.t) OVER w AS lt, first_value(p.p) OVER w AS fp, last_value(p.p) OVER w AS lp
+    FROM pos p JOIN reps r ON r.capture_id = p.capture_id AND p.i >= r.start_i AND p.i < r.stop_i
+    WINDOW w AS (PARTITION BY p.capture_id, p.bin, r.rep ORDER BY p.i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  part AS (SELECT capture_id, bin, rep, i, p - fp - (t - ft)/(lt - ft)*(lp - fp) AS px FROM ends_),
+  exc AS (SELECT capture_id, bin, rep, max(px) - min(px) AS excursion FROM part GROUP BY 1, 2, 3)"""
+
+
 def parted(spark, d):
     s = samples(spark, d)
     return s, settle(whatif.attribution(s, bounds(spark, d), KEY, F.when(F.col("value") > 60, "hot").otherwise("rest"), AXES))
 
 
-@query("o6_attribution", "capture_id bin rep", "excursion")
+@query("o6_attribution", "capture_id bin rep", "excursion", f"WITH {_PARTS} SELECT * FROM exc", "samples reps", places=3)
 def _(spark, d):
     _, parts = parted(spark, d)
     return parts.groupBy(*KEY, "bin", "rep").agg((F.max("px") - F.min("px")).alias("excursion"))
 
 
-@query("o7_attribution_error", "capture_id small", "", "SELECT DISTINCT capture_id, true AS small FROM reps", "reps")
+@query("o7_attribution_error", "capture_id small", "", f"""
+  WITH {_PARTS}, pv AS (SELECT *, sum(s) OVER w AS v FROM (SELECT *, CASE WHEN i = 0 THEN 0 ELSE (ax + lag(ax) OVER w)/2*dt END AS s FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY i))
+    WINDOW w AS (PARTITION BY capture_id ORDER BY i)),
+  pp AS (SELECT *, sum(s2) OVER w AS p FROM (SELECT *, CASE WHEN i = 0 THEN 0 ELSE (v + lag(v) OVER w)/2*dt END AS s2 FROM pv WINDOW w AS (PARTITION BY capture_id ORDER BY i))
+    WINDOW w AS (PARTITION BY capture_id ORDER BY i)),
+  whole AS (SELECT p.capture_id, r.rep, p.i, p.p - first_value(p.p) OVER w - (p.t - first_value(p.t) OVER w)/(last_value(p.t) OVER w - first_value(p.t) OVER w)
+      *(last_value(p.p) OVER w - first_value(p.p) OVER w) AS px FROM pp p JOIN reps r ON r.capture_id = p.capture_id AND p.i >= r.start_i AND p.i < r.stop_i
+    WINDOW w AS (PARTITION BY p.capture_id, r.rep ORDER BY p.i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  sums AS (SELECT capture_id, rep, i, sum(px) AS px FROM part GROUP BY 1, 2, 3)
+  SELECT capture_id, max(abs(sums.px - whole.px)) < 1e-6 AS small FROM sums JOIN whole USING (capture_id, rep, i) GROUP BY 1""", "samples reps")
 def _(spark, d):
     s, parts = parted(spark, d)
     whole = correct.detrend(settle(motion.double_integral(s, KEY, AXES)), bounds(spark, d), KEY)
-    return whatif.attribution_error(parts, whole, KEY).withColumn("small", F.col("worst") < 1e-9)
+    return whatif.attribution_error(parts, whole, KEY).withColumn("small", F.col("worst") < 1e-6)
 
 
-@query("m28_event_share", "capture_id", "share")
+@query("m28_event_share", "capture_id", "share", f"""
+  WITH {_PARTS} SELECT capture_id, median(hot/total) AS share FROM (
+    SELECT capture_id, rep, coalesce(max(excursion) FILTER (WHERE bin = 'hot'), 0) AS hot, sum(excursion) AS total FROM exc GROUP BY 1, 2) GROUP BY 1""", "samples reps", places=3)
 def _(spark, d):
     _, parts = parted(spark, d)
     per = parts.groupBy(*KEY, "rep", "bin").agg((F.max("px") - F.min("px")).alias("_e"))
@@ -260,7 +291,7 @@ def _(spark, d):
 
 @query("o8_lever_directions", "capture_id param_id", "sweep")
 def _(spark, d):
-    return whatif.lever_sweep(samples(spark, d), bounds(spark, d), KEY, whatif.fibonacci_directions(spark, 12))
+    return whatif.lever_sweep(samples(spark, d), bounds(spark, d), KEY, whatif.fibonacci_directions(spark, 60))
 
 
 @query("o5_rest_observables", "capture_id i rep", "overlap gain", f"""
@@ -288,14 +319,22 @@ def _(spark, d):
         F.count(F.lit(1)).alias("captures"), F.avg("rom").alias("mid_rom"))
 
 
-@query("q3_scorecard", "lift captures", "h_rms beats_null")
+_PER_CAPTURE = f"""{_M5}, pc AS (SELECT n.capture_id, median(pipeline_h_rms) AS h, median(null_h_rms)/median(pipeline_h_rms) AS b
+    FROM (SELECT DISTINCT capture_id FROM cov) n LEFT JOIN pr USING (capture_id) GROUP BY 1)"""
+
+
+@query("q3_scorecard", "lift captures", "h_rms beats_null", f"""
+  WITH {_PER_CAPTURE} SELECT (['bench','squat','deadlift','row'])[capture_id % 4 + 1] AS lift, count(*) AS captures, median(h) AS h_rms, median(b) AS beats_null
+  FROM pc GROUP BY 1""", "samples reps track", places=2)
 def _(spark, d):
     c = lifted(scored(spark, d)[1])
     n = c.groupBy("lift").agg(F.count(F.lit(1)).alias("captures"))
     return n.join(exact_medians(c, ["lift"], {"h_rms": "pipeline_h_rms", "beats_null": "beats_null"}), "lift", "left")
 
 
-@query("q2_range_table", "capture_id reps_", "log_rom track_rom")
+@query("q2_range_table", "capture_id reps_", "log_rom track_rom", f"""
+  WITH {_M5}, r AS (SELECT capture_id, rep, max(z) - min(z) AS rom FROM det GROUP BY 1, 2), v AS (SELECT capture_id, median(video_rom_cm) AS track_rom FROM pr GROUP BY 1)
+  SELECT r.capture_id, count(*) AS reps_, median(rom) AS log_rom, max(track_rom) AS track_rom FROM r LEFT JOIN v ON v.capture_id = r.capture_id GROUP BY 1""", "samples reps track", places=3)
 def _(spark, d):
     p = paths(spark, d).groupBy(*KEY, "rep").agg((F.max("z") - F.min("z")).alias("rom"))
     mine = exact_medians(p, KEY, {"log_rom": "rom"}).join(p.groupBy(*KEY).agg(F.count(F.lit(1)).alias("reps_")), KEY)
@@ -312,7 +351,10 @@ def _(spark, d):
     return got.withColumn("change", F.col("on_") - F.col("off"))
 
 
-@query("q13_parabola_growth", "capture_id points", "spearman")
+@query("q13_parabola_growth", "capture_id points", "spearman", f"""
+  WITH {_DET}, c AS (SELECT capture_id, rep, abs(sum(tau*(tau - dur)/2*x)/sum(pow(tau*(tau - dur)/2, 2))) AS c FROM det GROUP BY 1, 2),
+  r AS (SELECT capture_id, rank() OVER (PARTITION BY capture_id ORDER BY rep) AS ra, rank() OVER (PARTITION BY capture_id ORDER BY c) AS rb FROM c)
+  SELECT capture_id, count(*) AS points, corr(ra, rb) AS spearman FROM r GROUP BY 1""", "samples reps")
 def _(spark, d):
     fit = correct.parabola_coefficients(paths(spark, d), [*KEY, "rep"], ["x"], F.col("tau"), F.col("duration"))
     return score.spearman(settle(fit.withColumn("c", F.abs("c_x")).select(*KEY, "rep", "c")), KEY, "rep", "c")
@@ -325,5 +367,5 @@ def _(spark, d):
     x = fusion_split(samples(spark, d), KEY)
     rows = correct.cut(x, bounds(spark, d), KEY)
     size = F.col("stop_i") - F.col("start_i")
-    rows = rows.withColumn("bin", F.least(F.floor(F.col("j") / (size - 1) * 5), F.lit(5)).cast("long")).filter("bin < 5")
+    rows = rows.withColumn("bin", F.floor(F.col("j") * 20 / size).cast("long"))
     return exact_medians(rows, [*KEY, "bin"], {"mid": "tilt_rate"})
