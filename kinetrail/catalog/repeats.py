@@ -372,11 +372,11 @@ _M5 = f"""{_DET}, trk AS (SELECT clip_id AS capture_id, t, x AS tx, height AS th
     sqrt(avg(ru*ru))*100 AS null_h_rms FROM cs GROUP BY 1, 2)"""
 
 
-def scored(spark, d):
+def scored(spark, d, lifts=None):
     trk = settle(track(spark, d).filter("x is not null").select(F.col("clip_id").alias("capture_id"), "t", "x", "height"))
     s = samples(spark, d).withColumns({"bx": F.col("ax"), "by": F.col("ay"), "bz": F.col("az")})
     p = correct.detrend(s, bounds(spark, d), KEY, AXES).withColumnsRenamed({"ax": "px", "ay": "py", "az": "pz"})
-    return score.against_track(settle(p), trk, KEY)
+    return score.against_track(settle(p), trk, KEY, lifts)
 
 
 @query("m5_score_per_rep", "capture_id rep covered", "raw_h_rms pipeline_h_rms pipeline_h_max pipeline_v_rms closed_h_rms video_rom_cm null_h_rms", f"""
@@ -396,6 +396,16 @@ def _(spark, d):
     return scored(spark, d)[1]
 
 
+@query("m5_refused_lifts", "capture_id n_reps refusal", "pipeline_h_rms", f"""
+  WITH {_M5}, n AS (SELECT capture_id, count(*) AS n_reps FROM cov GROUP BY 1)
+  SELECT n.capture_id, CASE WHEN n.capture_id % 4 <> 1 THEN n_reps END AS n_reps, CASE WHEN n.capture_id % 4 = 1 THEN 'squat track' END AS refusal,
+    CASE WHEN n.capture_id % 4 <> 1 THEN median(pipeline_h_rms) END AS pipeline_h_rms
+  FROM n LEFT JOIN pr ON pr.capture_id = n.capture_id GROUP BY n.capture_id, n_reps""", "samples reps track", places=2)
+def _(spark, d):
+    lifts = lifted(bounds(spark, d).select(*KEY).distinct())
+    return scored(spark, d, lifts)[1]
+
+
 @query("q5_truth_curves", "capture_id rep i", "ref_u ref_h pipe_u pipe_h raw_u", f"""
   WITH {_M5} SELECT capture_id, rep, i, ru AS ref_u, rhh AS ref_h, pu AS pipe_u, ph AS pipe_h, wu AS raw_u FROM cs""", "samples reps track", places=3)
 def _(spark, d):

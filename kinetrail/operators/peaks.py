@@ -5,38 +5,67 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetrail.operators.windows import fill_gaps, rolling_mean
-from kinetrail.plans.blocks import BLOCK, lookup, ordinal, per_key, prefix, reblock, settle, windowed
+from kinetrail.plans.blocks import BLOCK, block_rows, lookup, ordinal, per_key, prefix, reblock, settle, windowed
 from kinetrail.plans.joins import interval_join
 from kinetrail.plans.quantiles import exact_medians
 
 
+def _thin_block(h: np.ndarray, i: np.ndarray, own: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Highest first: 1 kept, -1 removed by a kept one, 0 open.
+
+    Peaks from beside the block stay open, and so do those that an open higher
+    peak may still remove.
+    """
+    state = np.full(len(h), -2)
+    first, last = np.searchsorted(i, i - d, "right"), np.searchsorted(i, i + d, "left")
+    for p in np.lexsort((i, h))[::-1]:
+        if state[p] == -1:
+            continue
+        if own[p] and not (state[first[p]:last[p]] == 0).any():
+            near = state[first[p]:last[p]]
+            near[near != 1] = -1
+            state[p] = 1
+        else:
+            state[p] = 0
+    return state
+
+
 def thin_by_distance(peaks: DataFrame, keys: Sequence[str], value: str, distance: Column | int) -> DataFrame:
     """Of peaks closer than ``distance`` rows the higher stays (later on ties).
 
-    A peak higher than every undecided peak near it is kept and removes its
-    neighbours; that repeats until all are decided.  Neighbours meet through
-    position cells, so no key is gathered.
+    A block decides, highest first, all that the peaks beside it cannot change;
+    what is left open goes round again.  A chain of peaks that decide each other
+    takes a round per block it crosses, not per peak, and no key is gathered.
     """
     keys = list(keys)
+    rows = block_rows(peaks.sparkSession)
     d = distance if isinstance(distance, Column) else F.lit(distance)
-    open_, kept = settle(peaks.withColumn("_d", d)), None
+    open_, kept = settle(peaks.withColumn("_d", d.cast("long"))), None
+    columns = open_.columns
+    schema = T.StructType([*open_.schema.fields, T.StructField("_state", T.IntegerType())])
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", kind="stable")
+        own = pdf["_own"].to_numpy()
+        state = _thin_block(pdf[value].to_numpy(float), pdf["i"].to_numpy(), own, pdf["_d"].to_numpy())
+        tell = own & (state >= 0) | (state == -1)
+        return pdf.assign(_state=state)[tell][[*columns, "_state"]]
+
+    block = F.floor(F.col("i") / rows)
     while not open_.isEmpty():
-        cell = F.floor(F.col("i") / F.col("_d"))
-        a = open_.withColumn("_cell", cell)
-        b = a.select(*keys, F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell"),
-                     F.col("i").alias("_j"), F.col(value).alias("_w"))
-        near = a.join(b, [*keys, "_cell"]).filter((F.abs(F.col("i") - F.col("_j")) < F.col("_d")) & (F.col("i") != F.col("_j")))
-        beaten = near.filter((F.col("_w") > F.col(value)) | ((F.col("_w") == F.col(value)) & (F.col("_j") > F.col("i")))).select(*keys, "i").distinct()
-        won = settle(open_.join(beaten, [*keys, "i"], "left_anti"))
-        wide = won.select(*keys, F.col("i").alias("_j"), F.explode(F.array(*[
-            F.floor(F.col("i") / F.col("_d")) + s for s in (-1, 0, 1)])).alias("_cell"))
-        lost = a.join(wide, [*keys, "_cell"]).filter(F.abs(F.col("i") - F.col("_j")) < F.col("_d")).select(*keys, "i").distinct()
-        open_ = settle(open_.join(lost, [*keys, "i"], "left_anti"))
+        beside = F.sequence(F.floor((F.col("i") - F.col("_d")) / rows), F.floor((F.col("i") + F.col("_d")) / rows))
+        dealt = open_.withColumn("_b", F.explode(beside)).withColumn("_own", F.col("_b") == block)
+        told = settle(dealt.groupBy(*keys, "_b").applyInPandas(decide, schema))
+        won = told.filter("_state = 1").drop("_state")
+        gone = told.filter("_state = -1").select(*keys, "i").distinct()
         kept = won if kept is None else kept.unionByName(won)
+        open_ = settle(told.filter("_state = 0").drop("_state").join(gone, [*keys, "i"], "left_anti"))
     return (open_ if kept is None else kept).drop("_d")
 
 

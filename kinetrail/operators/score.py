@@ -118,23 +118,35 @@ def coverage(reps: DataFrame, track: DataFrame, keys: Sequence[str]) -> DataFram
     ).drop("_a", "_b")
 
 
+REFUSED_LIFTS = ("squat",)   # fixed value: lifts whose track leaves the picture at the top
+
+
 def _root_mean(a: Column, b: Column | None = None) -> Column:
     d = a if b is None else a - b
     return F.sqrt(F.avg(d * d)) * 100
 
 
-def against_track(paths: DataFrame, track: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def against_track(paths: DataFrame, track: DataFrame, keys: Sequence[str],
+                  lifts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Score reconstructed reps against a referee already on the same clock.
 
     ``paths`` are rep rows (:func:`kinetrail.operators.correct.cut` columns)
     with the corrected path ``px py pz`` and the uncorrected ``bx by bz``.
     Returns (per rep, per key, curves).  One sign is chosen per key, from the
     summed agreement of all its covered reps.
+
+    ``lifts`` (keys, lift) names the lift of each key: a track of a squat is no
+    referee, so those keys have no scores, only a ``refusal`` in the second table.
     """
     keys = list(keys)
     axis = axis_of(paths, keys)
     span = track.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
-    rows = lookup(paths, keys, axis.join(span, keys, "left"))
+    facts = axis.join(span, keys, "left")
+    if lifts is not None:
+        facts = facts.join(lifts.select(*keys, F.col("lift").isin(*REFUSED_LIFTS).alias("_refused")), keys, "left")
+    rows = lookup(paths, keys, facts)
+    if lifts is not None:
+        rows = rows.filter(~F.coalesce("_refused", F.lit(False))).drop("_refused")
     rows = rows.withColumn("covered", F.coalesce(
         (F.col("t0") >= F.col("_a")) & (F.col("t0") + F.col("duration") <= F.col("_b")), F.lit(False)))
     seen = rows.groupBy(*keys, "rep").agg(F.max("covered").alias("covered"))
@@ -188,6 +200,9 @@ def against_track(paths: DataFrame, track: DataFrame, keys: Sequence[str]) -> tu
         F.count(F.lit(1)).alias("n_reps"), F.sum(F.col("covered").cast("int")).alias("n_compared")
     ).join(sign.select(*keys, "flipped", "disagreeing"), keys, "left").join(med, keys, "left").withColumn(
         "beats_null", c("null_h_rms") / c("pipeline_h_rms"))
+    if lifts is not None:
+        refused = facts.filter("_refused").select(*keys, F.lit("squat track").alias("refusal"))
+        per_capture = per_capture.withColumn("refusal", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
     return seen.join(per_rep, [*keys, "rep"], "left"), per_capture, live.drop("_cu", "_ch")
 
 

@@ -292,3 +292,18 @@ def test_streamed_files_arrive_once(spark, tmp_path):
         (tmp_path / "land" / f"bench_{k}.csv").write_text(line)
         ingest_logs(spark, land, out, check).awaitTermination()
         assert spark.read.parquet(out).count() == k
+
+
+@pytest.mark.parametrize("shape", ["ramp", "noise", "flat"])
+def test_thinned_peaks_cross_blocks(small_blocks, shape):
+    from kinetrail.operators.peaks import thin_by_distance
+
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.choice(300, 120, replace=False))
+    h = {"ramp": at.astype(float), "noise": rng.normal(size=120), "flat": np.ones(120)}[shape]
+    df = reblock(small_blocks.createDataFrame([(1, int(i), float(x)) for i, x in zip(at, h)], "key long, i long, h double"))
+    kept = []
+    for p in np.lexsort((at, h))[::-1]:
+        if all(abs(at[p] - k) >= 9 for k in kept):
+            kept.append(at[p])
+    assert sorted(r["i"] for r in thin_by_distance(df, KEY, "h", 9).collect()) == sorted(kept)
