@@ -112,6 +112,53 @@ def _(spark, d):
     return logs.load_logs(rows)
 
 
+_OWN_FOLDER = "regexp_extract(file, 'capture_id=([^/]+)', 1)"
+
+
+@query("s1_mixed_headers", "capture_id i phase", "t dt ax gz", """
+  SELECT capture_id::VARCHAR AS capture_id, i, CASE WHEN capture_id % 4 = 1 THEN phase END AS phase, t - min(t) OVER (PARTITION BY capture_id) AS t, dt, -ax*9.80665 AS ax, gz FROM samples""",
+       "samples", places=3)
+def _(spark, d):
+    """Log files of four kinds: core columns, with a phase, with a gap in the phase, with dead columns."""
+    from kinetrail.catalog.base import samples
+
+    place, kind = scratch(spark, "logs"), F.col("capture_id") % 4
+    core = F.concat_ws(",", *[F.format_string("%.9g", F.col(c).cast("double")) for c in logs.CORE])
+    extra = F.when(kind == 1, F.concat(F.lit(","), F.col("phase").cast("string"))).when(
+        kind == 2, F.concat(F.lit(","), F.when(F.col("i") > 0, F.col("phase").cast("string")).otherwise(""))).when(kind == 3, F.lit(",,,,")).otherwise("")
+    s = samples(spark, d)
+    names = F.concat(F.lit(",".join(logs.CORE)), F.when(kind.isin(1, 2), F.lit(",phase")).when(
+        kind == 3, F.lit("," + ",".join(logs.DEAD))).otherwise(""))
+    head = s.select("capture_id").distinct().select("capture_id", F.lit(-1).cast("long").alias("i"), names.alias("value"))
+    text = s.select("capture_id", "i", F.concat(core, extra).alias("value")).unionByName(head)
+    text.repartition("capture_id").sortWithinPartitions("capture_id", "i").drop("i").write.partitionBy("capture_id").text(place)
+    return logs.load_logs(logs.read_logs(spark, place, F.expr(_OWN_FOLDER)))
+
+
+@query("s3_track_text", "clip_id frames markers tracker", "fps top", """
+  SELECT clip_id::VARCHAR AS clip_id, count(*) AS frames, max(CASE WHEN clip_id % 2 = 1 THEN n_markers END)::DOUBLE AS markers, 'plate' AS tracker, 30.0 AS fps, max(height) AS top
+  FROM track GROUP BY clip_id""", "track")
+def _(spark, d):
+    """Cache files with a head of scalars; half of them lack the marker columns."""
+    from kinetrail.catalog.base import track
+
+    place, full = scratch(spark, "tracks"), F.col("clip_id") % 2 == 1
+    number = lambda c: F.coalesce(F.format_string("%.12g", F.col(c).cast("double")), F.lit("nan"))
+    plain = F.concat_ws(",", *[number(c) for c in ("t", "x", "height", "score")])
+    t = track(spark, d)
+    body = t.select("clip_id", "i", F.when(full, F.concat(plain, F.lit(","), number("n_markers"))).otherwise(plain).alias("value"))
+    head = t.select("clip_id").distinct().select("clip_id", F.explode(F.array(
+        F.struct(F.lit(-3).cast("long").alias("i"), F.lit("# fps = 30").alias("value")),
+        F.struct(F.lit(-2).cast("long").alias("i"), F.lit("# tracker = plate").alias("value")),
+        F.struct(F.lit(-1).cast("long").alias("i"), F.concat(F.lit("t,x,height,score"), F.when(full, F.lit(",n_markers")).otherwise("")).alias("value")),
+    )).alias("h")).select("clip_id", "h.*")
+    text = body.unionByName(head).withColumnRenamed("clip_id", "capture_id")
+    text.repartition("capture_id").sortWithinPartitions("capture_id", "i").drop("i").write.partitionBy("capture_id").text(place)
+    clip_rows, frames = track_files.read_tracks(spark, place, F.expr(_OWN_FOLDER))
+    per = frames.groupBy("clip_id").agg(F.count(F.lit(1)).alias("frames"), F.max("n_markers").alias("markers"), F.max("height").alias("top"))
+    return per.join(clip_rows.select("clip_id", "tracker", "fps"), "clip_id")
+
+
 def scratch(spark, name: str) -> str:
     """A new place under the shared checkpoint folder (cluster-visible)."""
     import uuid

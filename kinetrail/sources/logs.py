@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrail.functions import geometry as geo
@@ -19,39 +18,26 @@ PHASE = "phase"
 DEAD = ("rgt", "rgx", "rgy", "rgz")
 
 
-def header_groups(spark: SparkSession, path: str) -> list[tuple[tuple[str, ...], list[str]]]:
-    """Distinct headers and the files that have each.
+def read_logs(spark: SparkSession, path: str, key: Column | None = None) -> DataFrame:
+    """Raw rows of every file: the core columns, optional ``phase``/``rg*`` (null
+    where absent), ``capture_id`` and the row's place in its file, ``line``.
 
-    Spark binds a CSV schema by position, so files are grouped by header first.
-    Only first lines reach the driver's grouping, one row per distinct header;
-    the file lists are what the reader needs to be told anyway.
+    Files are read once, as lines.  Each line is placed through its own file's
+    header, so files with different columns mix, and no list of files is formed.
+    ``key`` names the capture (default: the file's stem).
     """
-    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path")).withColumn(
-        "pos", F.col("_metadata.file_block_start"))
-    first = lines.filter((F.col("pos") == 0) & F.col("value").rlike(r"^\s*t,")).groupBy("file").agg(
-        F.min("value").alias("header"))
-    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    return [(tuple(h.strip() for h in g["header"].split(",")), g["files"]) for g in groups]
-
-
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Raw rows of every file: the core columns, optional ``phase``/``rg*``
-    (null where absent), ``capture_id`` and the row's place in its file, ``line``."""
-    parts = []
-    for header, files in header_groups(spark, path):
-        schema = ", ".join(f"`{h}` double" for h in header)
-        rows = spark.read.csv(files, header=True, schema=schema)
-        keep = [c for c in (*CORE, PHASE, *DEAD) if c in header]
-        parts.append(rows.select(*keep, stem(F.col("_metadata.file_path")).alias("capture_id"),
-                                 F.struct(F.col("_metadata.file_block_start").alias("at"),
-                                          F.monotonically_increasing_id().alias("row")).alias("line")))
-    if not parts:
-        raise FileNotFoundError(f"no recordings with a t,... header under {path}")
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    for c in (PHASE, *DEAD):
-        if c not in every.columns:
-            every = every.withColumn(c, F.lit(None).cast("double"))
-    return every
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("text"),
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("line"))
+    head = F.col("text").rlike(r"^t\s*,")
+    names = lines.filter(head).groupBy("file").agg(F.min_by(F.split("text", r"\s*,\s*"), "line").alias("names"))
+    body = lines.filter(~head & (F.col("text") != "")).join(names, "file")
+    # a short line leaves its last columns null
+    found = F.map_from_entries(F.arrays_zip("names", F.slice(F.split("text", r"\s*,\s*", -1), F.lit(1), F.size("names"))))
+    placed = body.withColumn("_m", found)
+    return placed.select(
+        *[F.expr(f"try_cast(_m['{c}'] as double)").alias(c) for c in (*CORE, PHASE, *DEAD)],
+        (stem(F.col("file")) if key is None else key).alias("capture_id"), "line")
 
 
 def load_logs(raw: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrail.functions.rules import CAMERA_SIDE, lift_of, stem
@@ -15,7 +15,7 @@ SCALARS = ("fps", "m_per_px", "travel_m", "plate_radius_px", "seed_frame", "pers
 DATASET_DIRS = {"data": "v1", "data_v2": "v2"}
 
 
-def read_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_tracks(spark: SparkSession, path: str, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(clips, frames): header scalars, one row per clip; body rows by name.
 
     Body values are placed through the file's own column line, so files with
@@ -24,7 +24,7 @@ def read_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"),
         F.monotonically_increasing_id().alias("pos"))
-    lines = lines.withColumn("clip_id", stem(F.col("file")))
+    lines = lines.withColumn("clip_id", stem(F.col("file")) if key is None else key)
     head = lines.filter(F.col("line").startswith("#") & F.col("line").contains("=")).select(
         "clip_id", F.trim(F.regexp_extract("line", r"^#\s*([^=]*?)\s*=", 1)).alias("k"),
         F.trim(F.regexp_extract("line", r"^#[^=]*=\s*(.*)$", 1)).alias("v"))
