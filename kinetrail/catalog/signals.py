@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from kinetrail.catalog.base import KEY, indexed_events, query, samples
@@ -168,7 +170,26 @@ def _(spark, d):
     return samples(spark, d).groupBy(*KEY).agg(geo.circular_spread_180(angle).alias("spread"))
 
 
-@query("p12_error_model", "capture_id i", "wx wy wz", None)
+def _sql_multiply(p: tuple[str, ...], q: tuple[str, ...]) -> tuple[str, ...]:
+    (a, b, c, e), (w, x, y, z) = p, q
+    return (f"({a}*{w} - {b}*{x} - {c}*{y} - {e}*{z})", f"({a}*{x} + {b}*{w} + {c}*{z} - {e}*{y})",
+            f"({a}*{y} - {b}*{z} + {c}*{w} + {e}*{x})", f"({a}*{z} + {b}*{y} - {c}*{x} + {e}*{w})")
+
+
+_TILT_N, _GREF_N = math.hypot(0.001, 0.002), math.hypot(0.0005, 0.0002)
+_tilt = tuple(repr(v) for v in (math.cos(_TILT_N / 2), math.sin(_TILT_N / 2) * 0.001 / _TILT_N, math.sin(_TILT_N / 2) * 0.002 / _TILT_N, 0.0))
+_first = _sql_multiply(_tilt, _Q)
+_both = _sql_multiply(("gw", "ge", "0", "gu"), ("tw", "tx", "ty", "tz"))
+_turned = _sql_rotate(("mw", "mx", "my", "mz"), ("hx", "hy", "hz"))
+
+
+@query("p12_error_model", "capture_id i", "wx wy wz", f"""
+  SELECT capture_id, i, {_turned[0]} AS wx, {_turned[1]} AS wy, {_turned[2]} - 9.80665 AS wz FROM (
+    SELECT capture_id, i, hx, hy, hz, {_both[0]} AS mw, {_both[1]} AS mx, {_both[2]} AS my, {_both[3]} AS mz FROM (
+      SELECT capture_id, i, ax*1.01 + 0.02 - {_g0[0]} AS hx, ay*0.99 - {_g0[1]} AS hy, az*1.02 - 0.01 - {_g0[2]} AS hz,
+        {_first[0]} AS tw, {_first[1]} AS tx, {_first[2]} AS ty, {_first[3]} AS tz, cos({_GREF_N}*size/2) AS gw,
+        sin({_GREF_N}*size/2)*{0.0005 / _GREF_N} AS ge, sin({_GREF_N}*size/2)*{0.0002 / _GREF_N} AS gu
+      FROM (SELECT *, sqrt(ax*ax + ay*ay + az*az) AS size FROM samples)))""", "samples")
 def _(spark, d):
     return motion.error_model(samples(spark, d), {
         "scale": (0.01, -0.01, 0.02), "bias": (0.02, 0.0, -0.01), "tilt": (0.001, 0.002, 0.0),
