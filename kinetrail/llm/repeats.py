@@ -35,8 +35,8 @@ from kinetrail.llm.common import bounded_batches, utf8
 from kinetrail.plans.stage import written
 
 SEED = 48
-_SLICE = 1 << 20  # bytes hashed at once
-_TEXT = 1 << 20  # bytes of one transform
+_SLICE = 1 << 18  # bytes hashed at once
+_TEXT = 1 << 18  # bytes of one transform
 
 
 # ------------------------------------------------------------ naming runs ---
@@ -75,6 +75,13 @@ def _hashes(size: int, seed: int = 1) -> Hashes:
     return _HASHES[size, seed]
 
 
+def windows_of(ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and first byte of every window of texts laid end to end."""
+    sizes = np.maximum(np.diff(ends) - length + 1, 0)
+    begin = np.repeat(ends[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    return np.repeat(np.arange(len(sizes)), sizes), begin
+
+
 def runs_of(x: np.ndarray, ends: np.ndarray, length: int, seed_bytes: int = SEED) -> tuple[np.ndarray, ...]:
     """(text number, first window, windows, name, hash) of the runs of texts laid end to end."""
     if len(x) < length:
@@ -91,9 +98,7 @@ def runs_of(x: np.ndarray, ends: np.ndarray, length: int, seed_bytes: int = SEED
         span *= 2
     if width > span:
         least = np.minimum(least[:-(width - span)], least[width - span:])
-    sizes = np.maximum(np.diff(ends) - length + 1, 0)  # windows of each text
-    begin = np.repeat(ends[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    text = np.repeat(np.arange(len(sizes)), sizes)
+    text, begin = windows_of(ends, length)
     least = least[begin]
     first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])]) if len(least) else np.zeros(0, int)
     count = np.diff(np.r_[first, len(least)])
@@ -294,15 +299,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 2048, id_col:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, start, body, copied in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                x = np.frombuffer(body, np.uint8)
-                for a in range(0, len(x) - length + 1, _SLICE - length):
-                    part = x[a:a + _SLICE]
-                    at = np.arange(max(0, min(len(part) - length + 1, _SLICE - length)))
-                    pair = [(h := _hashes(_SLICE + length, s)).spans(h.prefix(part), at, at + length).view(np.int64) for s in (1, 2)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(len(at), key)), pa.array(start + a + at),
-                         pa.array(np.full(len(at), copied))], names=["h1", "h2", "key", "start", "copied"])
+            key, begin = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            copied = batch.column(3).to_numpy(zero_copy_only=False)
+            for x, ends, number, begins in _sliced(*utf8(batch, "body"), length - 1):
+                text, at = windows_of(ends, length)
+                pair = [(h := _hashes(_SLICE + length, s)).spans(h.prefix(x), at, at + length).view(np.int64) for s in (1, 2)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pair[0]), pa.array(pair[1]), pa.array(key[number[text]]),
+                     pa.array(begin[number[text]] + begins[text] + at - ends[text]), pa.array(copied[number[text]])],
+                    names=["h1", "h2", "key", "start", "copied"])
 
     # representatives are one per kind, so a window twice among them starts twice in the corpus
     dealt = bodies.filter(F.col("kinds") > most).select("key", "start", "body", "copied").mapInArrow(
