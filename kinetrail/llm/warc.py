@@ -176,12 +176,14 @@ def round_trip(pages: DataFrame, **names: str) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "archives")
     write_archives(pages, path, **names)
-    captures = assemble(written(read_records(spark, path), "records"))
+    # digests are taken where records are read; of the payloads, only the small metadata travels on
+    records = read_records(spark, path).withColumn("payload", F.when(F.col("type") == "metadata", F.col("payload")))
+    captures = assemble(written(records, "records"))
     page = F.expr("nullif(trim(both '\\r\\n ' from substring_index(cast(metadata.payload as string), ':', -1)), '')").cast("long")
-    described = captures.select(
+    described = written(captures.select(
         "capture_id", "refers_to", page.alias("page_id"), F.col("type").alias("record_type"),
         F.when(F.col("type") == "response", F.col("response.payload_bytes")).otherwise(F.col("original.payload_bytes")).alias("payload_bytes"),
-        F.when(F.col("type") == "response", F.col("response.payload_digest")).otherwise(F.col("header_digest")).alias("payload_digest"))
+        F.when(F.col("type") == "response", F.col("response.payload_digest")).otherwise(F.col("header_digest")).alias("payload_digest")), "captures")
     named = described.filter("record_type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("of_page"))
     return described.join(named, "refers_to", "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.col("of_page").alias("refers_to"))
