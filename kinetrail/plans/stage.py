@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The files stay until the application's folder is removed, as checkpoints do.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
