@@ -90,7 +90,7 @@ def _divide(children: DataFrame, by: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(3, 2), repeats: int = 2,
-        block: int = 32, shard_words: int = 1 << 22, shard_docs: int = 1 << 14, seed: int = 17,
+        block: int = 32, shard_words: int = 1 << 21, shard_docs: int = 1 << 12, seed: int = 17,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Words the mix takes of every document, and the columns ``keep`` as they are.
 
