@@ -16,9 +16,7 @@ sources are the configuration of a mix, and weights are given to each.
 from __future__ import annotations
 
 import heapq
-import re
 from fractions import Fraction
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -165,18 +163,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     return mixed.select(*[c for c in ours if c not in keep], *[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)])
 
 
-def first_words(text: str, words) -> Column:
+def first_words(text: Column, words: Column) -> Column:
     """The text up to the end of its ``words``-th word; all of it where that is null."""
-    word = re.compile("[^\\x20\\x09-\\x0D]+")
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
-        def one(t, n):
-            if t is None or n != n or n is None:
-                return t
-            last = next(islice(word.finditer(t), int(n) - 1, None), None)
-            return t if last is None else t[:last.end()]
-
-        return pd.Series([one(t, n) for t, n in zip(texts, counts)], dtype=object)
-
-    return cut(F.col(text), words)
+    each = F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    return F.when(words.isNull(), text).otherwise(F.array_join(F.slice(each, F.lit(1), words.cast("int")), ""))
