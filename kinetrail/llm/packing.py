@@ -34,7 +34,7 @@ from kinetrail.llm.common import bounded_batches
 from kinetrail.plans.stage import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, slice int, rank long"
-_WORDS = 1_000_000
+_WORDS = 300_000  # words of one generation; two are held
 
 
 # ------------------------------------------------------------- tokenising ---
@@ -44,8 +44,9 @@ class WordTokens:
     """Ids of texts, remembering the ids of words a worker has met before.
 
     The tokenizer never joins across blanks, nor a run of letters with the signs
-    after it, so a text's ids are those of its words in order.  The memory is
-    cleared when ``_WORDS`` words are held; results do not depend on it.
+    after it, so a text's ids are those of its words in order.  The memory has two
+    generations: a full one becomes the old one, from which words in use return.
+    Results do not depend on it.
     """
 
     _LETTERS_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)\Z")
@@ -57,34 +58,39 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = (e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def _learn(self, missing: set[str]) -> None:
+        """Words not met lately: their letters and signs may have been."""
         pairs, wanted = {}, {}
         for word in missing:
             m = self._LETTERS_SIGNS.match(word)
             pairs[word] = [p if "Σ" in p or "İ" in p else p.lower() for p in (m.groups() if m else (word,))]
             for p in pairs[word]:
-                if p not in self.parts:
-                    wanted[p] = None
+                if p not in self.words:
+                    if p in self.old:
+                        self.words[p] = self.old[p]
+                    else:
+                        wanted[p] = None
         names = list(wanted)
-        self.parts.update(zip(names, self._encode(names)))
+        self.words.update(zip(names, self._encode(names)))
         for word, parts in pairs.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+            if word not in self.words:
+                self.words[word] = b"".join([self.words[p] for p in parts])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > _WORDS or len(self.parts) > _WORDS:
-            self.words.clear()
-            self.parts.clear()
+        if len(self.words) > _WORDS:
+            self.old, self.words = self.words, {}
         split = [text.replace("\n", " ").split(" ") for text in texts]
         missing = set(filterfalse(self.words.__contains__, chain.from_iterable(split)))
-        if missing:
-            self._learn(missing)
+        known = missing & self.old.keys()
+        self.words.update((w, self.old[w]) for w in known)
+        self._learn(missing - known)
         find = self.words.__getitem__
         return [b"".join(map(find, words)) for words in split]
 
@@ -92,18 +98,21 @@ class WordTokens:
 _LOADED: dict[str, WordTokens] = {}
 
 
-def _tokens(path: str) -> WordTokens:
+def _tokens(path: str, keep: bool) -> WordTokens:
+    """The worker's tokenizer, or one of the task's own."""
+    if not keep:
+        return WordTokens(path)
     if path not in _LOADED:
         _LOADED[path] = WordTokens(path)
     return _LOADED[path]
 
 
 def tokenised_pieces(docs: DataFrame, path: str, end_id: int, window: int, quantum: int,
-                     id_col: str, text_col: str) -> DataFrame:
+                     id_col: str, text_col: str, keep_words: bool) -> DataFrame:
     """One row per piece: full windows first, then the remainder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task = _tokens(path), TaskContext.get().partitionId()
+        tokens, task = _tokens(path, keep_words), TaskContext.get().partitionId()
         counts = np.zeros(window // quantum + 2, np.int64)
         for batch in batches:
             rows = []
@@ -204,17 +213,18 @@ def packing_plan(histogram: np.ndarray, bins: int) -> list[tuple[tuple[int, ...]
 
 
 def pack(docs: DataFrame, path: str, end_id: int, window: int = 4096, quantum: int = 8,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
     """Pieces of every document with their sequence and the place in it.
 
     A null text counts as empty and holds the end id alone; a null id stays null;
     repeated rows are documents of their own; an empty table gives no rows; other
     columns are not read.  Columns: those of the contract, then ``slot`` (place of
-    the piece among those of its sequence).
+    the piece among those of its sequence).  With ``keep_words`` a worker remembers
+    words from task to task, which is faster and takes memory.
     """
     spark = docs.sparkSession
     bins = window // quantum
-    pieces = written(tokenised_pieces(docs, path, end_id, window, quantum, id_col, text_col), "pieces")
+    pieces = written(tokenised_pieces(docs, path, end_id, window, quantum, id_col, text_col, keep_words), "pieces")
     histogram = np.zeros(bins + 1, np.int64)
     for b, n in pieces.groupBy("bin").count().collect():  # at most window / quantum rows
         histogram[b] = n
