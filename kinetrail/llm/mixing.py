@@ -2,15 +2,19 @@
 
 Words are the unit.  Sources, ordered by code point with null last, weigh 5, 2,
 1, repeating; together they get ``share`` of all words, no source more than
-``repeats`` times its own.  The words of a target are cut into blocks of
-``block`` words, and whole blocks are apportioned by highest quotients
-``weight / (2 seats + 1)``: first to sources, then inside a source to its
-shards, so that shards hold integer quotas that add up.  In a shard the
-documents lie end to end in seeded order; a seeded permutation picks the blocks.
-
-Shards hold about ``shard_words`` words and ``shard_docs`` documents, so a hot
-source becomes many shards.  Only one row per source reaches the driver: the
-sources are the configuration of a mix, and weights are given to each.
+``repeats`` times its own.  The words of a target are cut into blocks of ``block`` words, and
+whole blocks are apportioned to the sources by highest quotients
+``weight / (2 seats + 1)``.  The words of a source's blocks are apportioned to its
+shards in the same way, a word a seat, so that shards hold integer quotas that add
+up and ask no shard for what it does not have.  In a shard the documents lie end
+to end in seeded order; a seeded permutation picks the blocks, and the last one
+picked gives its first words where a quota ends inside it.
+
+A source has its own number of shards, of about ``shard_words`` words and
+``shard_docs`` documents, so a hot source becomes many and a small one stays whole.
+A row's shard follows from all it holds, and a row repeated very often is dealt in
+pieces.  Only one row per source reaches the driver: the sources are the
+configuration of a mix, and weights are given to each.
 """
 
 from __future__ import annotations
@@ -87,6 +91,23 @@ def _divide(children: DataFrame, by: str) -> DataFrame:
         *keys).applyInPandas(share, f"_source long, {by} long, seats long")
 
 
+def _dealt(sized: DataFrame, shard_words: int, shard_docs: int) -> DataFrame:
+    """The rows with ``_copies`` and ``_piece``: equal rows beyond an eighth of a shard become one row for each eighth."""
+    words, limit = max(1, shard_words // 8), max(1, shard_docs // 8)
+    one = sized.withColumns({"_copies": F.lit(1).cast("long"), "_piece": F.lit(0).cast("long")})
+    hot = written(sized.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).filter(
+        (F.col("n") > limit) | ((F.col("n") > 1) & (F.col("words") > words))).select("_row"), "hot")
+    many = hot.count()
+    if not many:
+        return one
+    hot = F.broadcast(hot) if many <= COPIED_SOURCES else hot
+    counted = sized.join(hot, "_row", "left_semi").groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_n"))
+    each = F.greatest(F.lit(1), F.least(F.lit(limit), F.floor(words / F.greatest("size", F.lit(1))))).cast("long")
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / each))))
+    copies = F.least(each, F.col("_n") - F.col("_piece") * each)
+    return one.join(hot, "_row", "left_anti").unionByName(pieces.withColumn("_copies", copies).drop("_n"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(3, 2), repeats: int = 2,
         block: int = 32, shard_words: int = 1 << 21, shard_docs: int = 1 << 12, seed: int = 17,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -94,31 +115,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
 
     A null source is a source of its own, last in order; a null or empty text has
     size 0 and gives nothing; a null id is a document like others; repeated rows
-    are documents of their own that share a place in the seeded order; an empty
+    are documents of their own, next to each other in the seeded order of a shard; an empty
     table gives no rows; other columns are not read.  Columns: doc_id, size,
     source_size, target, taken, source.
     """
     sized = written(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)]), "sized")
+        word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)],
+        F.xxhash64(*dict.fromkeys([id_col, source_col, text_col, *keep])).alias("_row")), "sized")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
     # UTF-8 order is code point order
     per_source.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     sizes = [int(r.words) for r in per_source]
     target = fill_targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share, repeats)
     seats = sainte_lague(target, round(sum(target, Fraction(0)) / block))
-    shards = max(1, -(-sum(sizes) // shard_words), -(-sum(int(r.rows) for r in per_source) // shard_docs))
+    shards = [max(1, -(-size // shard_words), -(-int(r.rows) // shard_docs)) for size, r in zip(sizes, per_source)]
 
     spark = docs.sparkSession
     plan = spark.createDataFrame(
-        [(k, r.source, sizes[k], float(target[k]), seats[k]) for k, r in enumerate(per_source)],
-        "_source long, source string, source_size long, target double, parent_seats long")
+        [(k, r.source, sizes[k], float(target[k]), seats[k] * block, shards[k]) for k, r in enumerate(per_source)],
+        "_source long, source string, source_size long, target double, parent_seats long, _shards long")
     # one row per source; copied to the tasks only below a checked number of sources
     near = F.broadcast if len(per_source) <= COPIED_SOURCES else (lambda df: df)
-    sourced = sized.join(near(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn(
-        "_shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
+    dealt = _dealt(sized, shard_words, shard_docs)
+    sourced = dealt.join(near(plan), dealt["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn(
+        "_shard", F.pmod(F.xxhash64("_row", "_piece", F.lit(seed)), F.col("_shards")))
 
-    shard = sourced.groupBy("_source", "_shard").agg(F.sum("size").alias("words")).withColumn(
+    shard = sourced.groupBy("_source", "_shard").agg(F.sum(F.col("size") * F.col("_copies")).alias("words")).withColumn(
         "_group", F.floor(F.col("_shard") / FAN))
     group = shard.groupBy("_source", "_group").agg(F.sum("words").alias("words")).join(
         near(plan.select("_source", "parent_seats")), "_source")
@@ -127,10 +150,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
 
     def take(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("_order", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        rows = rows.take(np.repeat(np.arange(rows.num_rows), rows["_copies"].to_numpy()))
         size = rows["size"].to_numpy()
-        quota = rows["seats"][0].as_py()
         ends = np.cumsum(size)
         words = int(ends[-1])
+        quota = min(rows["seats"][0].as_py(), repeats * words)
         blocks = -(-words // block)
         width = np.full(blocks, block, np.int64)
         copies = np.zeros(blocks, np.int64)
@@ -138,16 +162,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
             width[-1] = words - block * (blocks - 1)
             rng = np.random.Generator(np.random.PCG64([seed, rows["_source"][0].as_py(), rows["_shard"][0].as_py()]))
             order = rng.permutation(blocks)
-            if width[-1] < block:  # the short block comes last, so that quotas are whole blocks
-                order = np.append(order[order != blocks - 1], blocks - 1)
-            quota = min(quota, repeats * blocks)
-            copies += quota // blocks
-            copies[order[:quota % blocks]] += 1
+            copies += quota // words
+            filled = np.cumsum(width[order])
+            chosen = int(np.searchsorted(filled, quota % words, "right"))
+            copies[order[:chosen]] += 1
+            part = block * int(order[chosen])  # the next block gives its first words
+            missing = quota % words - (int(filled[chosen - 1]) if chosen else 0)
         before = np.concatenate([[0], np.cumsum(copies * width)])
 
         def taken_until(x: np.ndarray) -> np.ndarray:
-            whole = np.minimum(x // block, max(blocks - 1, 0))
-            return before[whole] + (x - whole * block) * (copies[whole] if blocks else 0)
+            if not blocks:
+                return np.zeros_like(x)
+            whole = np.minimum(x // block, blocks - 1)
+            return before[whole] + (x - whole * block) * copies[whole] + np.clip(x - part, 0, missing)
 
         got = pa.chunked_array([pa.array(taken_until(ends) - taken_until(ends - size))])
         return pa.table([got if c == "taken" else rows[c] for c in carried], names=carried)
@@ -157,8 +184,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
     carried = [*ours, *[f"_keep{k}" for k in range(len(keep))]]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"{c} {k}" for c, k in zip(carried, ["long", "long", "long", "double", "long", "string", *[kinds[c] for c in keep]]))
-    rows = sourced.join(shard_seats, ["_source", "_shard"]).withColumn("_order", F.xxhash64("doc_id", F.lit(seed + 1)))
-    mixed = rows.select("_source", "_shard", "_order", "seats", *[c for c in carried if c != "taken"]).groupBy(
+    rows = sourced.join(shard_seats, ["_source", "_shard"]).withColumn("_order", F.xxhash64("_row", "_piece", F.lit(seed + 1)))
+    mixed = rows.select("_source", "_shard", "_order", "_copies", "seats", *[c for c in carried if c != "taken"]).groupBy(
         "_source", "_shard").applyInArrow(take, schema)
     return mixed.select(*[c for c in ours if c not in keep], *[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)])
 

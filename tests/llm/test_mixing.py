@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrail.llm import mixing
 
@@ -54,3 +55,29 @@ def test_mix(spark):
         assert {r.source_size for r in by_source[s]} == {sum(r["size"] for r in by_source[s])}
         assert abs(sum(r.taken for r in by_source[s]) - t) <= 16 * 8
     assert mixing.mix(spark.createDataFrame([], docs.schema)).count() == 0
+
+
+def test_a_small_source_in_a_large_corpus_meets_its_target(spark):
+    rows = [(i, "ten words " * 5, "small") for i in range(60)] + [(i, "w " * (i % 23), "zbig") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for weights in ((5, 2), (1, 20), (1, 100)):
+        taken, target = {}, {}
+        for r in mixing.mix(docs, weights=weights, shard_docs=64).collect():
+            assert 0 <= r.taken <= 2 * r["size"]
+            taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        # half a block by the source's seats, and a word a shard
+        assert abs(taken["small"] - target["small"]) <= 17 and abs(taken["zbig"] - target["zbig"]) <= 16 + 94
+
+
+
+def test_rows_of_one_id_are_spread(spark):
+    rows = [(None, "the same text", "a")] * 3000 + [(None, f"text {i}", "a") for i in range(1000)] + [(None, None, "b")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sized = docs.select("doc_id", "source", mixing.word_count(docs.text).alias("size"), F.xxhash64("text").alias("_row"))
+    dealt = mixing._dealt(sized, 1 << 21, 64).collect()
+    assert sum(r._copies for r in dealt) == len(rows) and max(r._copies for r in dealt) <= 8
+    assert {r._row for r in dealt} == {r._row for r in sized.collect()}
+    got = sorted(map(str, mixing.mix(docs, shard_docs=64, keep=("text",)).collect()))
+    assert len(got) == len(rows) and got == sorted(map(str, mixing.mix(docs.repartition(7), shard_docs=64, keep=("text",)).collect()))
+    plan = mixing.mix(docs, shard_docs=64)
+    assert sum(r.taken for r in plan.collect() if r.source == "a") == pytest.approx(plan.filter("source = 'a'").first().target, abs=16 + 64)
