@@ -110,9 +110,13 @@ def _dealt(sized: DataFrame, shard_words: int, shard_docs: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(3, 2), repeats: int = 2,
         block: int = 32, shard_words: int = 1 << 21, shard_docs: int = 1 << 12, seed: int = 17,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
+        whole: bool = False) -> DataFrame:
     """Words the mix takes of every document, and the columns ``keep`` as they are.
 
+    With ``whole`` a shard's quota goes over its documents in seeded order instead of
+    over blocks: they are taken whole, and at most one of a shard in part.
+
     A null source is a source of its own, last in order; a null or empty text has
     size 0 and gives nothing; a null id is a document like others; repeated rows
     are documents of their own, next to each other in the seeded order of a shard; an empty
@@ -155,6 +159,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
         ends = np.cumsum(size)
         words = int(ends[-1])
         quota = min(rows["seats"][0].as_py(), repeats * words)
+        if whole:
+            full, rest = divmod(quota, words) if words else (0, 0)
+            return with_taken(rows, full * size + np.clip(rest - (ends - size), 0, size))
         blocks = -(-words // block)
         width = np.full(blocks, block, np.int64)
         copies = np.zeros(blocks, np.int64)
@@ -173,10 +180,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = F
         def taken_until(x: np.ndarray) -> np.ndarray:
             if not blocks:
                 return np.zeros_like(x)
-            whole = np.minimum(x // block, blocks - 1)
-            return before[whole] + (x - whole * block) * copies[whole] + np.clip(x - part, 0, missing)
+            at = np.minimum(x // block, blocks - 1)
+            return before[at] + (x - at * block) * copies[at] + np.clip(x - part, 0, missing)
+
+        return with_taken(rows, taken_until(ends) - taken_until(ends - size))
 
-        got = pa.chunked_array([pa.array(taken_until(ends) - taken_until(ends - size))])
+    def with_taken(rows: pa.Table, taken: np.ndarray) -> pa.Table:
+        got = pa.chunked_array([pa.array(taken)])
         return pa.table([got if c == "taken" else rows[c] for c in carried], names=carried)
 
     # the kept columns travel under numbers: they may be named as ours
