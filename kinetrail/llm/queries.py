@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import langid, lines, mixing, neighbours, packing, quality, repeats, simhash, topk, warc
+from kinetrail.llm import langid, lines, middle, mixing, neighbours, packing, quality, repeats, simhash, topk, warc
 from kinetrail.llm.common import crc_of_id, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,13 @@ def _(spark, d):
     return topk.top_products(table(spark, d, "embeddings"))
 
 
+@query("op13_fill_in_middle", middle.SQL)
+def _(spark, d):
+    return middle.fill_in_middle(table(spark, d, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
