@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import langid, lines, middle, mixing, neighbours, packing, quality, repeats, simhash, topk, warc
+from kinetrail.llm import langid, lines, middle, mixing, neighbours, packing, quality, repeats, sharding, simhash, topk, warc
 from kinetrail.llm.common import crc_of_id, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def _(spark, d):
         F.sha2(middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+@query("op12_sharding", sharding.sql())
+def _(spark, d):
+    return sharding.shard(table(spark, d, "documents"), shards=8, law="rows")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
