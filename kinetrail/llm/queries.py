@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import langid, lines, middle, mixing, neighbours, packing, quality, repeats, sharding, simhash, topk, warc
+from kinetrail.llm import langid, lines, middle, mixing, neighbours, packing, quality, repeats, sharding, simhash, topk, trie, warc
 from kinetrail.llm.common import crc_of_id, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,14 @@ def _(spark, d):
         F.sha2(middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+@query("op11_prefix_trie", trie.SQL)
+def _(spark, d):
+    made = trie.prefix_trie(trie.rebuild(trie.series(table(spark, d, "conversations"))))
+    return made.nodes.join(trie.ends_digest(made.ends), ["rep", "depth"], "left").select(
+        F.col("rep").alias("conv_id"), "depth", F.col("parent_rep").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 @query("op12_sharding", sharding.sql())
 def _(spark, d):
     return sharding.shard(table(spark, d, "documents"), shards=8, law="rows")
