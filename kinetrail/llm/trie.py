@@ -126,20 +126,21 @@ def rollup(nodes: DataFrame, paths: DataFrame, limit: int) -> DataFrame:
 
     ``nodes`` has (rep, depth, parent_rep, n_convs, below, leaves, saved), ``paths`` (conv_id, depth, rep).
     """
-    root = nodes.filter("depth = 0").select("rep").first()
+    root = nodes.filter("depth = 0").select("rep", "below").first()
     now = nodes.select(*NODE, "parent_rep", "n_convs", "below", "leaves", "saved").withColumns(
-        {"top_rep": F.lit(root[0] if root else None).cast("long"), "top_depth": F.lit(0).cast("long")})
+        {"top_rep": F.lit(root[0] if root else None).cast("long"), "top_depth": F.lit(0).cast("long"),
+         "whole": F.lit(root[1] if root else 0).cast("long")})
     done: list[DataFrame] = []
     small: list[DataFrame] = []
     while True:
-        whole = now.groupBy(*TOP).agg(F.max("below").alias("whole"))
-        sized = written(now.join(whole, TOP), "sized")
+        sized = written(now, "sized")
         small.append(sized.filter(F.col("whole") <= limit).drop("whole"))
         large = sized.filter(F.col("whole") > limit)
         if large.isEmpty():
             break
-        added, now = _split(large, paths)
+        added, split = _split(large, paths)
         done.append(added)
+        now = split.join(split.groupBy(*TOP).agg(F.max("below").alias("whole")), TOP)
     inside = _gather(small)
     bounded_batches(nodes.sparkSession)
     local = inside.repartition(*TOP).sortWithinPartitions(*TOP).select(
