@@ -138,10 +138,14 @@ def transfer(scores: DataFrame, capture: str, score: str = "h_rms") -> DataFrame
     The others' total is the grand total minus the own score, so no pair of
     captures is formed.
     """
-    total = scores.groupBy("param_id").agg(F.sum(score).alias("_all"))
-    others = salted_join(scores, total, ["param_id"], F.xxhash64(capture)).withColumn("_rest", F.col("_all") - F.col(score))
+    # an unusable pair has an infinite score: counted, not summed, so that it can be taken out again
+    bad = (F.col(score) == F.lit(float("inf"))).cast("int")
+    own = scores.withColumns({"_bad": bad, "_own": F.when(bad == 0, F.col(score)).otherwise(0.0)})
+    total = own.groupBy("param_id").agg(F.sum("_own").alias("_all"), F.sum("_bad").alias("_all_bad"))
+    others = salted_join(own, total, ["param_id"], F.xxhash64(capture)).withColumns(
+        {"_rest": F.col("_all") - F.col("_own"), "_rest_bad": F.col("_all_bad") - F.col("_bad")})
     return others.groupBy(capture).agg(
-        F.min_by(F.struct("param_id", score), F.struct("_rest", "param_id")).alias("_b"), F.min(score).alias("ceiling")
+        F.min_by(F.struct("param_id", score), F.struct("_rest_bad", "_rest", "param_id")).alias("_b"), F.min(score).alias("ceiling")
     ).select(capture, F.col("_b.param_id").alias("param_id"), F.col(f"_b.{score}").alias("transferred"), "ceiling")
 
 
