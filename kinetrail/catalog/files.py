@@ -294,7 +294,9 @@ def _(spark, d):
 def _(spark, d):
     from kinetrail.streaming import jobs
 
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     place = scratch(spark, "stream")
     source, late, close = landed(spark, d, place)
-    drained(jobs.stream_quality(source, ["user_id"], "1 day", late), place, close)
+    drained(jobs.stream_quality(source, ["user_id"], "1 day", late, slices=6), place, close)
     return spark.read.parquet(f"{place}/out").filter("user_id is not null").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

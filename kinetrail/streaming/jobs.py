@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -102,34 +103,125 @@ def stream_refractory(events: DataFrame, key: str, gap_ms: int, delay: str) -> D
         outputMode="Append", timeMode="EventTime")
 
 
+class _Slice(StatefulProcessor):
+    """Folds the samples of one (key, slice of time) to one row when the watermark passes the slice.
+
+    Spacing and runs depend on the order, so a slice's samples wait in a list
+    state, one entry each, until no earlier one can come.
+    """
+
+    def __init__(self, width_us: int, fields: list[str]):
+        self.width_us, self.fields = width_us, fields
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType([
+            T.StructField("us", T.LongType()), T.StructField("v", T.DoubleType())]))
+        self.asked = handle.getValueState("asked", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def _end(self, key) -> int:
+        return (int(key[-1]) + 1) * self.width_us
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ms = -(-self._end(key) // 1000)
+        if ms > timerValues.getCurrentWatermarkInMs():  # else the slice is closed: the row comes too late
+            for pdf in rows:
+                self.waiting.appendList([(int(us), None if v != v else float(v)) for us, v in zip(pdf["us"], pdf["v"])])
+            if not self.asked.exists():
+                self.asked.update((ms,))
+                self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        row = fold_slice(list(self.waiting.get()))
+        self.waiting.clear()
+        self.asked.clear()
+        yield pd.DataFrame([(*key[:-1], pd.Timestamp(self._end(key) - 1, unit="us"), *row)], columns=self.fields)
+
+    def close(self) -> None:
+        pass
+
+
+SLICE = ("n long, n_v long, s double, m2 double, top double, bottom double, first_us long, last_us long, dt double, dt2 double, "
+         "head_v double, head_n long, tail_v double, tail_n long, runs long, at_top long, at_bottom long")
+
+
+def fold_slice(samples: list[tuple[int, float | None]]) -> tuple:
+    """Samples (us, value) of a slice to the values named in ``SLICE``; such rows can be chained in order of time.
+
+    ``at_top`` and ``at_bottom`` count the samples in runs of two or more at the
+    slice's own extremes, without the first and the last run.  A sample without a value
+    is a run of its own, at no extreme.
+    """
+    samples = sorted(samples, key=lambda x: (x[0], x[1] is not None, x[1] or 0.0))
+    us = np.array([x[0] for x in samples], np.int64)
+    v = np.array([np.nan if x[1] is None else x[1] for x in samples])
+    known = v[~np.isnan(v)]
+    step = np.diff(us).astype(float)
+    starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    size, value = np.diff(np.r_[starts, len(v)]), v[starts]
+    top, bottom = (known.max(), known.min()) if len(known) else (None, None)
+    inner, long = slice(1, -1), size[1:-1] >= 2
+    count = [int(size[inner][long & (value[inner] == e)].sum()) if e is not None else 0 for e in (top, bottom)]
+
+    def some(x):
+        return None if np.isnan(x) else float(x)
+
+    return (len(v), len(known), float(known.sum()), float(((known - known.mean()) ** 2).sum()) if len(known) else 0.0, top, bottom,
+            int(us[0]), int(us[-1]), float(step.sum()), float((step * step).sum()), some(value[0]), int(size[0]),
+            some(value[-1]), int(size[-1]), len(size), *count)
+
+
 def stream_quality(samples: DataFrame, keys: Sequence[str], every: str, delay: str, ts: str = "ts",
-                   value: str = "value", uneven: float = 0.2) -> DataFrame:
+                   value: str = "value", uneven: float = 0.2, slices: int = 24) -> DataFrame:
     """Tumbling counts, spread, extremes, irregular sampling and clipped samples per key.
 
-    A window's samples are held until the watermark closes it; a row more than
-    ``delay`` behind the newest comes too late.  Clipped are the samples in runs
-    of two or more at the window's own extreme.
+    A window is cut in ``slices``.  Spark state keeps the samples of a (key, slice)
+    until the watermark has passed it and folds them to one row; a second
+    aggregation chains a window's at most ``slices`` rows in order of time.  So a key with
+    very many samples is spread over its slices, and no row grows with its samples.  A
+    row more than ``delay`` behind the newest comes too late.  Clipped are the samples
+    in runs of two or more at the window's own extreme.  Needs the RocksDB state store.
     """
-    held = samples.withWatermark(ts, delay).groupBy(*keys, F.window(ts, every)).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("spread"),
-        F.max(value).alias("top"), F.min(value).alias("bottom"),
-        F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("us"), F.col(value).alias("v")))).alias("_s"))
-    s, n = F.col("_s"), F.size("_s")
-    dt = F.zip_with(F.slice(s, 2, F.greatest(n - 1, F.lit(0))), F.slice(s, 1, F.greatest(n - 1, F.lit(0))),
-                    lambda b, a: (b["us"] - a["us"]).cast("double"))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    sums = F.aggregate(dt, zero, lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")))
-    mean = F.col("_d.s") / (n - 1)
-    spread = F.sqrt(F.greatest(F.col("_d.q") / (n - 1) - mean * mean, F.lit(0.0)))
-    irregular = F.coalesce(F.when((n > 1) & (mean > 0), spread / mean > uneven), F.lit(False))
-
-    def pinned(x, i):
-        """In a run of two at least, at the top or the bottom."""
-        before = F.get(s, i - 1)["v"] == x["v"]
-        after = F.get(s, i + 1)["v"] == x["v"]
-        edge = (x["v"] == F.col("top")) | (x["v"] == F.col("bottom"))
-        return edge & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
-
-    return held.withColumn("_d", sums).select(
-        *keys, F.col("window.start").alias("start"), "rows", "mean", "spread", "top", "bottom", irregular.alias("irregular"),
-        F.size(F.filter("_s", pinned)).cast("long").alias("clipped"))
+    width = int(pd.Timedelta(every) / pd.Timedelta(microseconds=1)) // slices
+    if width * slices != int(pd.Timedelta(every) / pd.Timedelta(microseconds=1)):
+        raise ValueError(f"{every} is not a multiple of {slices} slices in microseconds")
+    us = F.unix_micros(ts)
+    cut = samples.withWatermark(ts, delay).select(
+        *keys, F.floor(us / width).cast("long").alias("_slice"), us.alias("us"), F.col(value).cast("double").alias("v"), ts)
+    out = T.StructType([*(samples.schema[k] for k in keys), T.StructField("at", T.TimestampType()), *T.StructType.fromDDL(SLICE).fields])
+    folded = cut.groupBy(*keys, "_slice").transformWithStateInPandas(
+        statefulProcessor=_Slice(width, out.names), outputStructType=out, outputMode="Append", timeMode="EventTime", eventTimeColumnName="at")
+    window = folded.groupBy(*keys, F.window("at", every)).agg(
+        F.sum("n").alias("rows"), F.sum("n_v").alias("n_v"), F.sum("s").alias("s"), F.max("top").alias("top"), F.min("bottom").alias("bottom"),
+        F.array_sort(F.collect_list(F.struct("first_us", *[f.split()[0] for f in SLICE.split(", ") if f.split()[0] != "first_us"]))).alias("_s"))
+    mean = F.col("s") / F.col("n_v")
+
+    def clipped(v: Column, n: Column) -> Column:
+        return F.when((n >= 2) & ((v == F.col("top")) | (v == F.col("bottom"))), n).otherwise(F.lit(0).cast("long"))
+
+    def chain(acc: Column, x: Column) -> Column:
+        joined = F.coalesce(acc["v"] == x["head_v"], F.lit(False))
+        head = x["head_n"] + F.when(joined, acc["n"]).otherwise(F.lit(0))
+        before = F.when(joined, F.lit(0)).otherwise(clipped(acc["v"], acc["n"]))
+        gap = (x["first_us"] - acc["last"]).cast("double")
+        inside = clipped(x["head_v"], head) + F.when(x["top"] == F.col("top"), x["at_top"]).otherwise(F.lit(0)) + F.when(
+            x["bottom"] == F.col("bottom"), x["at_bottom"]).otherwise(F.lit(0))
+        one = x["runs"] == 1
+        return F.struct(
+            x["last_us"].alias("last"), (acc["dt"] + x["dt"] + F.coalesce(gap, F.lit(0.0))).alias("dt"),
+            (acc["dt2"] + x["dt2"] + F.coalesce(gap * gap, F.lit(0.0))).alias("dt2"),
+            F.when(one, x["head_v"]).otherwise(x["tail_v"]).alias("v"), F.when(one, head).otherwise(x["tail_n"]).alias("n"),
+            (acc["clipped"] + before + F.when(one, F.lit(0)).otherwise(inside)).alias("clipped"),
+            (acc["m2"] + F.coalesce(x["m2"] + x["n_v"] * F.pow(x["s"] / F.nullif(x["n_v"], F.lit(0)) - mean, F.lit(2.0)), F.lit(0.0))).alias("m2"))
+
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0.0).alias("dt"), F.lit(0.0).alias("dt2"), F.lit(None).cast("double").alias("v"),
+                    F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("clipped"), F.lit(0.0).alias("m2"))
+    d, n = F.col("_d"), F.col("rows")
+    step = d["dt"] / (n - 1)
+    uneven_by = F.sqrt(F.greatest(d["dt2"] / (n - 1) - step * step, F.lit(0.0))) / step
+    return window.withColumn("_d", F.aggregate("_s", none, chain)).select(
+        *keys, F.col("window.start").alias("start"), "rows", F.when(F.col("n_v") > 0, mean).alias("mean"),
+        F.when(F.col("n_v") > 0, F.sqrt(d["m2"] / F.col("n_v"))).alias("spread"), "top", "bottom",
+        F.coalesce(F.when((n > 1) & (d["dt"] > 0), uneven_by > uneven), F.lit(False)).alias("irregular"),
+        (d["clipped"] + clipped(d["v"], d["n"])).alias("clipped"))
