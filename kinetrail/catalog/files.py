@@ -115,14 +115,15 @@ def _(spark, d):
 _OWN_FOLDER = "regexp_extract(file, 'capture_id=([^/]+)', 1)"
 
 
-@query("s1_mixed_headers", "capture_id i phase", "t dt ax gz", """
-  SELECT capture_id::VARCHAR AS capture_id, i, CASE WHEN capture_id % 4 = 1 THEN phase END AS phase, t - min(t) OVER (PARTITION BY capture_id) AS t, dt, -ax*9.80665 AS ax, gz FROM samples""",
-       "samples", places=3)
-def _(spark, d):
+_MIXED = """
+  SELECT capture_id::VARCHAR AS capture_id, i, CASE WHEN capture_id % 4 = 1 THEN phase END AS phase, t - min(t) OVER (PARTITION BY capture_id) AS t, dt, -ax*9.80665 AS ax, gz FROM samples"""
+
+
+def mixed_files(spark, d, place: str) -> None:
     """Log files of four kinds: core columns, with a phase, with a gap in the phase, with dead columns."""
     from kinetrail.catalog.base import samples
 
-    place, kind = scratch(spark, "logs"), F.col("capture_id") % 4
+    kind = F.col("capture_id") % 4
     core = F.concat_ws(",", *[F.format_string("%.9g", F.col(c).cast("double")) for c in logs.CORE])
     extra = F.when(kind == 1, F.concat(F.lit(","), F.col("phase").cast("string"))).when(
         kind == 2, F.concat(F.lit(","), F.when(F.col("i") > 0, F.col("phase").cast("string")).otherwise(""))).when(kind == 3, F.lit(",,,,")).otherwise("")
@@ -132,9 +133,27 @@ def _(spark, d):
     head = s.select("capture_id").distinct().select("capture_id", F.lit(-1).cast("long").alias("i"), names.alias("value"))
     text = s.select("capture_id", "i", F.concat(core, extra).alias("value")).unionByName(head)
     text.repartition("capture_id").sortWithinPartitions("capture_id", "i").drop("i").write.partitionBy("capture_id").text(place)
+
+
+@query("s1_mixed_headers", "capture_id i phase", "t dt ax gz", _MIXED, "samples", places=3)
+def _(spark, d):
+    place = scratch(spark, "logs")
+    mixed_files(spark, d, place)
     return logs.load_logs(logs.read_logs(spark, place, F.expr(_OWN_FOLDER)))
 
 
+@query("x1_stream_ingest", "capture_id i phase", "t dt ax gz", _MIXED, "samples", places=3)
+def _(spark, d):
+    """The same files as a stream of several batches, which then starts over without its checkpoint."""
+    from kinetrail.streaming import jobs
+
+    place = scratch(spark, "landing")
+    mixed_files(spark, d, f"{place}/in")
+    for attempt in ("first", "again"):
+        jobs.ingest_files(spark, f"{place}/in", f"{place}/table", f"{place}/{attempt}", F.expr(_OWN_FOLDER), files_per_batch=64).awaitTermination()
+    return logs.load_logs(jobs.committed(spark, f"{place}/table"))
+
+
 @query("s3_track_text", "clip_id frames markers tracker", "fps top", """
   SELECT clip_id::VARCHAR AS clip_id, count(*) AS frames, max(CASE WHEN clip_id % 2 = 1 THEN n_markers END)::DOUBLE AS markers, 'plate' AS tracker, 30.0 AS fps, max(height) AS top
   FROM track GROUP BY clip_id""", "track")

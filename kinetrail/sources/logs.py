@@ -26,9 +26,18 @@ def read_logs(spark: SparkSession, path: str, key: Column | None = None) -> Data
     header, so files with different columns mix, and no list of files is formed.
     ``key`` names the capture (default: the file's stem).
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("text"),
-        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("line"))
+    return place_lines(lines_of(spark.read.text(path)), key)
+
+
+def lines_of(text: DataFrame) -> DataFrame:
+    """(file, text, at) of lines read as text: the file, the line, and where its split of the file begins."""
+    return text.select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("text"),
+                       F.col("_metadata.file_block_start").alias("at"))
+
+
+def place_lines(lines: DataFrame, key: Column | None = None) -> DataFrame:
+    """The rows of :func:`read_logs` from the lines of :func:`lines_of`; a batch of a stream will do if it holds whole files."""
+    lines = lines.select("file", "text", F.struct("at", F.monotonically_increasing_id().alias("row")).alias("line"))
     head = F.col("text").rlike(r"^t\s*,")
     names = lines.filter(head).groupBy("file").agg(F.min_by(F.split("text", r"\s*,\s*"), "line").alias("names"))
     body = lines.filter(~head & (F.col("text") != "")).join(names, "file")

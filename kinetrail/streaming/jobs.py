@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.streaming.query import StreamingQuery
 
 from kinetrail.functions.rules import stem
-from kinetrail.sources.logs import CORE, PHASE
+from kinetrail.sources.logs import CORE, DEAD, PHASE, lines_of, place_lines
 
 
 def ingest_logs(spark: SparkSession, landing: str, table: str, checkpoint: str, header: Sequence[str] = (*CORE, PHASE),
@@ -35,6 +36,46 @@ def ingest_logs(spark: SparkSession, landing: str, table: str, checkpoint: str,
         **(trigger or {"availableNow": True})).start()
 
 
+MANIFEST = "file string, part string"
+ROWS = ", ".join([*(f"{c} double" for c in (*CORE, PHASE, *DEAD)), "capture_id string", "line struct<at: bigint, row: bigint>", "part string"])
+
+
+def ingest_files(spark: SparkSession, landing: str, table: str, checkpoint: str, key: Column | None = None,
+                 files_per_batch: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Append the log files of a landing folder to a table, each file once, whatever its columns.
+
+    One stream reads lines; every file's lines are placed through its own header
+    (a file is never cut between batches), so files of any header mix.  A batch
+    first writes its rows as a part of their own, then commits it by one manifest
+    file that names the part and its files.  Readers (:func:`committed`) see
+    committed parts only.  A batch that runs again, with the stream's checkpoint or
+    without it, finds its files in the manifest and adds nothing; what a batch
+    wrote before it failed is a part that nobody reads.  ``table`` has one writer.
+    """
+    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{table}/manifest")
+    source = spark.readStream.option("recursiveFileLookup", True)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = batch.sparkSession.read.schema(MANIFEST).parquet(f"{table}/manifest").select("file")
+        fresh = batch.join(known, "file", "left_anti")
+        part = F.lit(f"{batch_id}-{uuid.uuid4().hex}").alias("part")
+        place_lines(fresh, key).withColumn("capture_id", F.col("capture_id").cast("string")).select("*", part).write.partitionBy(
+            "part").mode("append").parquet(f"{table}/rows")
+        # one task, one file: it appears whole or not at all
+        fresh.select("file").distinct().select("file", part).coalesce(1).write.mode("append").parquet(f"{table}/manifest")
+
+    return lines_of(source.text(landing)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
+
+
+def committed(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of all committed parts of :func:`ingest_files`, in the columns of :func:`~kinetrail.sources.logs.read_logs`."""
+    parts = spark.read.schema(MANIFEST).parquet(f"{table}/manifest").select("part").distinct()
+    return spark.read.schema(ROWS).parquet(f"{table}/rows").join(parts, "part", "left_semi").drop("part")
+
+
 class _Refractory(StatefulProcessor):
     """Accept an event when it is more than ``gap`` after the last accepted.
 

@@ -294,6 +294,29 @@ def test_streamed_files_arrive_once(spark, tmp_path):
         assert spark.read.parquet(out).count() == k
 
 
+def test_one_stream_takes_all_headers_and_replays_exactly(spark, tmp_path):
+    from kinetrail.sources.logs import CORE, DEAD, PHASE
+    from kinetrail.streaming.jobs import committed, ingest_files
+
+    land, table = tmp_path / "land", str(tmp_path / "table")
+    land.mkdir()
+    for k, names in enumerate([CORE, (*CORE, PHASE), (PHASE, *CORE[::-1], *DEAD)]):
+        row = [str(float(100 * k + (*CORE, PHASE, *DEAD).index(c))) for c in names]
+        head = ["t", *[c for c in names if c != "t"]]
+        by = dict(zip(names, row))
+        (land / f"bench_{k}.csv").write_text(",".join(head) + "\n" + ",".join(by[c] for c in head) + "\n")
+    for attempt in ("a", "a", "b"):  # again with its checkpoint, again without it
+        ingest_files(spark, str(land), table, str(tmp_path / attempt), files_per_batch=2).awaitTermination()
+    # a batch that failed after its rows and before its commit
+    committed(spark, table).withColumn("part", F.lit("lost")).write.partitionBy("part").mode("append").parquet(f"{table}/rows")
+    got = {r.capture_id: r for r in committed(spark, table).collect()}
+    assert sorted(got) == ["bench_0", "bench_1", "bench_2"] and committed(spark, table).count() == 3
+    for k in range(3):
+        r = got[f"bench_{k}"]
+        assert (r.t, r.gz) == (100.0 * k, 100.0 * k + 10)
+        assert r.phase == (None if k == 0 else 100.0 * k + 11) and r.rgz == (215.0 if k == 2 else None)
+
+
 @pytest.mark.parametrize("shape", ["ramp", "noise", "flat"])
 def test_thinned_peaks_cross_blocks(small_blocks, shape):
     from kinetrail.operators.peaks import thin_by_distance
