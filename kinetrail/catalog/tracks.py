@@ -16,7 +16,7 @@ def _(spark, d):
     return tk.strongest(detections(spark, d), 5)
 
 
-_STATIC = """samp AS (SELECT d.* FROM detections d JOIN (SELECT clip_id, greatest(1, (max(f)+1)//30) AS s FROM detections GROUP BY 1) m USING (clip_id) WHERE f % s = 0),
+_STATIC = """samp AS (SELECT * FROM detections),
   cel AS (SELECT clip_id, round_even(y/40.0, 0)::BIGINT AS cy, round_even(x/40.0, 0)::BIGINT AS cx, count(DISTINCT f) AS seen, avg(y) AS y, avg(x) AS x FROM samp GROUP BY 1, 2, 3),
   fixed AS (SELECT cel.* FROM cel JOIN (SELECT clip_id, count(DISTINCT f) AS fr FROM samp GROUP BY 1) USING (clip_id) WHERE seen::DOUBLE / fr > 0.4)"""
 
@@ -66,7 +66,7 @@ def _(spark, d):
     return tk.spread_members(detections(spark, d), ["clip_id"], 4, "strength")
 
 
-_TRI = f"""{_TOP.format(k=30)}, tri AS (SELECT a.clip_id, a.f, a.r AS ra, b.r AS rb, c.r AS rc, (a.y+b.y+c.y)/3 AS cy, (a.x+b.x+c.x)/3 AS cx, (a.strength+b.strength+c.strength)/3 AS br,
+_TRI = f"""{_TOP.format(k=1_000_000)}, tri AS (SELECT a.clip_id, a.f, a.r AS ra, b.r AS rb, c.r AS rc, (a.y+b.y+c.y)/3 AS cy, (a.x+b.x+c.x)/3 AS cx, (a.strength+b.strength+c.strength)/3 AS br,
     sqrt(pow(a.y-b.y,2)+pow(a.x-b.x,2)) AS ab, sqrt(pow(a.y-c.y,2)+pow(a.x-c.x,2)) AS ac, sqrt(pow(b.y-c.y,2)+pow(b.x-c.x,2)) AS bc,
     a.y AS ay, a.x AS ax, b.y AS y2, b.x AS x2, c.y AS y3, c.x AS x3
     FROM top a JOIN top b ON a.clip_id = b.clip_id AND a.f = b.f AND a.r < b.r JOIN top c ON a.clip_id = c.clip_id AND a.f = c.f AND b.r < c.r),
@@ -80,11 +80,11 @@ _TRI = f"""{_TOP.format(k=30)}, tri AS (SELECT a.clip_id, a.f, a.r AS ra, b.r AS
   WITH {_TRI} SELECT * FROM (SELECT *, regularity*br AS score, row_number() OVER (PARTITION BY clip_id, f ORDER BY regularity*br DESC, ra, rb, rc) AS k
     FROM hb WHERE hub_distance < 0.8*circumradius) WHERE k <= 20""", "detections")
 def _(spark, d):
-    return tk.triples(detections(spark, d), max_dets=30, top=20)
+    return tk.triples(detections(spark, d), top=20)
 
 
 @query("k3_circles_through_triples", "clip_id f ra rb rc inliers", "radius", f"""
-  WITH {_TOP.format(k=40)}, t AS (SELECT a.clip_id, a.f, a.r AS ra, b.r AS rb, c.r AS rc, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS y2, c.x AS cx, c.y AS cy,
+  WITH {_TOP.format(k=1_000_000)}, t AS (SELECT a.clip_id, a.f, a.r AS ra, b.r AS rb, c.r AS rc, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS y2, c.x AS cx, c.y AS cy,
     2*(a.x*(b.y-c.y)+b.x*(c.y-a.y)+c.x*(a.y-b.y)) AS d FROM top a JOIN top b ON a.clip_id = b.clip_id AND a.f = b.f AND a.r < b.r
     JOIN top c ON a.clip_id = c.clip_id AND a.f = c.f AND b.r < c.r),
   u AS (SELECT *, ((ax*ax+ay*ay)*(y2-cy)+(bx*bx+y2*y2)*(cy-ay)+(cx*cx+cy*cy)*(ay-y2))/d AS ux, ((ax*ax+ay*ay)*(cx-bx)+(bx*bx+y2*y2)*(ax-cx)+(cx*cx+cy*cy)*(bx-ax))/d AS uy
@@ -93,7 +93,7 @@ def _(spark, d):
   SELECT r.clip_id, r.f, ra, rb, rc, r.cy, r.cx, radius, count(*) AS inliers FROM r JOIN top p ON p.clip_id = r.clip_id AND p.f = r.f
     AND abs(sqrt(pow(p.y-r.cy,2)+pow(p.x-r.cx,2)) - radius) <= 10 WHERE radius BETWEEN 28 AND 150 GROUP BY ALL HAVING count(*) >= 5""", "detections")
 def _(spark, d):
-    return tk.circles(detections(spark, d), max_dets=40)
+    return tk.circles(detections(spark, d))
 
 
 @query("k4_ellipse_fits", "clip_id f points", "centre_y centre_x semi_major semi_minor angle", places=2)
@@ -115,7 +115,7 @@ def _(spark, d):
     avg(score)*count(DISTINCT f)*(1 + sqrt(pow(max(cy)-min(cy),2)+pow(max(cx)-min(cx),2))) AS merit
   FROM hy JOIN walk w ON w.clip_id = hy.clip_id AND hy.c <= w.head AND hy.c > 0.85*w.head GROUP BY 1, 2""", "detections", places=3)
 def _(spark, d):
-    return tk.score_groups(tk.size_groups(tk.triples(detections(spark, d), max_dets=30)))
+    return tk.score_groups(tk.size_groups(tk.triples(detections(spark, d))))
 
 
 @query("k6_track_merit", "clip_id", "full_share coverage merit", """

@@ -32,12 +32,15 @@ def strongest(dets: DataFrame, k: int | None = 200, ident: str = "event_id") ->
     return ranked if k is None else ranked.filter(F.col("r") < k)
 
 
-def static_points(dets: DataFrame, n_sample: int = 30, cell: float = 3.0, recur: float = 0.7) -> DataFrame:
-    """Grid cells hit in more than ``recur`` of the sampled frames, as centroids."""
-    last = dets.groupBy(*CLIP).agg((F.max("f") + 1).alias("_frames"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("_frames") / n_sample))
-    # one number per clip
-    sampled = dets.join(last, list(CLIP)).filter(F.col("f") % stride == 0)
+def static_points(dets: DataFrame, n_sample: int | None = None, cell: float = 3.0, recur: float = 0.7) -> DataFrame:
+    """Grid cells hit in more than ``recur`` of a clip's frames, as centroids; of about
+    ``n_sample`` evenly spaced frames, if given."""
+    sampled = dets
+    if n_sample is not None:
+        last = dets.groupBy(*CLIP).agg((F.max("f") + 1).alias("_frames"))
+        stride = F.greatest(F.lit(1), F.floor(F.col("_frames") / n_sample))
+        # one number per clip
+        sampled = dets.join(last, list(CLIP)).filter(F.col("f") % stride == 0)
     cells = sampled.groupBy(
         *CLIP, F.bround(F.col("y") / cell).cast("long").alias("cy"), F.bround(F.col("x") / cell).cast("long").alias("cx"), "f"
     ).agg(F.count(F.lit(1)).alias("_c"), F.sum("y").alias("_y"), F.sum("x").alias("_x"))
@@ -80,6 +83,36 @@ def merge_close_points(dets: DataFrame, merge_px: float = 3.0) -> DataFrame:
     return frames.withColumn("_k", F.explode(F.aggregate("_p", none, step))).select(*FRAME, "_k.*")
 
 
+def _cell(c: str, reach: float) -> Column:
+    return F.floor(F.col(c) / reach).cast("long")
+
+
+def near_points(left: DataFrame, y: str, x: str, points: DataFrame, tag: str, reach: float) -> DataFrame:
+    """Every row of ``left`` with the points of its frame in the nine cells around (``y``, ``x``).
+
+    Cells are ``reach`` wide, so no point within ``reach`` is left out, and a frame
+    of very many points is joined cell by cell.  The points' columns get ``tag`` behind
+    their names.
+    """
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    laid = left.withColumn("_n", around).withColumns({
+        "_row": _cell(y, reach) + F.col("_n.a"), "_col": _cell(x, reach) + F.col("_n.b")}).drop("_n")
+    named = points.select(*FRAME, _cell("y", reach).alias("_row"), _cell("x", reach).alias("_col"),
+                          *[F.col(c).alias(f"{c}{tag}") for c in points.columns if c not in FRAME])
+    return laid.join(named, [*FRAME, "_row", "_col"]).drop("_row", "_col")
+
+
+def _near_triples(p: DataFrame, shortest: float, longest: float, all_sides: bool) -> DataFrame:
+    """Triples ra < rb < rc of a frame's points whose sides from the first (or all sides) lie in the given bounds."""
+    def side(a: str, b: str) -> Column:
+        return F.hypot(F.col(f"y{a}") - F.col(f"y{b}"), F.col(f"x{a}") - F.col(f"x{b}"))
+
+    first = p.select(*FRAME, *[F.col(c).alias(f"{c}a") for c in p.columns if c not in FRAME])
+    pair = near_points(first, "ya", "xa", p, "b", longest).filter((F.col("ra") < F.col("rb")) & side("a", "b").between(shortest, longest))
+    tri = near_points(pair, "ya", "xa", p, "c", longest).filter((F.col("rb") < F.col("rc")) & side("a", "c").between(shortest, longest))
+    return tri.filter(side("b", "c").between(shortest, longest)) if all_sides else tri
+
+
 def triples(dets: DataFrame, band: tuple[float, float] = (28.0, 150.0), tol: float = 0.25, max_dets: int | None = None,
             hub_frac: float | None = 0.8, top: int | None = None) -> DataFrame:
     """Near-equilateral triples of a frame's points, with a hub unless ``hub_frac`` is None.
@@ -87,38 +120,31 @@ def triples(dets: DataFrame, band: tuple[float, float] = (28.0, 150.0), tol: flo
     ``max_dets`` and ``top`` keep the strongest points and the best triples of a
     frame; by default all are kept.
 
-    Side lengths of such a triple lie in a band, so the first join is already
-    bounded by distance; the second keeps triples whose sides agree.
+    Side lengths of such a triple lie in a band, so points meet by neighbouring
+    cells of its longest side; triples whose sides disagree go.
     """
     p = settle(strongest(dets, max_dets).select(*FRAME, "r", "y", "x", "strength"))
     shortest, longest = band[0] * math.sqrt(3) * (1 - tol), band[1] * math.sqrt(3) * (1 + tol)
-
-    def side(a: str, b: str) -> Column:
-        return F.hypot(F.col(f"{a}.y") - F.col(f"{b}.y"), F.col(f"{a}.x") - F.col(f"{b}.x"))
-
-    def same(a: str, b: str) -> Column:
-        return (F.col(f"{a}.clip_id") == F.col(f"{b}.clip_id")) & (F.col(f"{a}.f") == F.col(f"{b}.f"))
-
-    pair = p.alias("a").join(p.alias("b"), same("a", "b") & (F.col("a.r") < F.col("b.r"))
-                             & side("a", "b").between(shortest, longest))
-    tri = pair.join(p.alias("c"), same("a", "c") & (F.col("b.r") < F.col("c.r"))
-                    & side("a", "c").between(shortest, longest) & side("b", "c").between(shortest, longest))
-    ab, ac, bc = side("a", "b"), side("a", "c"), side("b", "c")
+    tri = _near_triples(p, shortest, longest, all_sides=True)
+    ab, ac, bc = (F.hypot(F.col(f"y{a}") - F.col(f"y{b}"), F.col(f"x{a}") - F.col(f"x{b}")) for a, b in ("ab", "ac", "bc"))
     tri = tri.select(
-        F.col("a.clip_id"), F.col("a.f"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb"), F.col("c.r").alias("rc"),
+        *FRAME, "ra", "rb", "rc",
         ((F.greatest(ab, ac, bc) - F.least(ab, ac, bc)) / ((ab + ac + bc) / 3)).alias("_spread"),
-        ((F.col("a.y") + F.col("b.y") + F.col("c.y")) / 3).alias("cy"),
-        ((F.col("a.x") + F.col("b.x") + F.col("c.x")) / 3).alias("cx"),
-        ((F.col("a.strength") + F.col("b.strength") + F.col("c.strength")) / 3).alias("_bright"),
-        *[F.col(f"{q}.{c}").alias(f"_{q}{c}") for q in "abc" for c in "yx"])
+        ((F.col("ya") + F.col("yb") + F.col("yc")) / 3).alias("cy"), ((F.col("xa") + F.col("xb") + F.col("xc")) / 3).alias("cx"),
+        ((F.col("strengtha") + F.col("strengthb") + F.col("strengthc")) / 3).alias("_bright"),
+        *[F.col(f"{c}{q}").alias(f"_{q}{c}") for q in "abc" for c in "yx"])
     circ = sum((F.hypot(F.col(f"_{q}y") - F.col("cy"), F.col(f"_{q}x") - F.col("cx")) for q in "abc"), F.lit(0.0)) / 3
     tri = tri.withColumns({"regularity": F.greatest(F.lit(0.0), 1 - F.col("_spread") / tol), "circumradius": circ}).filter(
         (F.col("regularity") > 0) & F.col("circumradius").between(*band))
     d = F.hypot(F.col("p.y") - F.col("t.cy"), F.col("p.x") - F.col("t.cx"))
-    cond = (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.f") == F.col("p.f")) & (d < (hub_frac or 0.0) * F.col("t.circumradius"))
     every = dets.select(*FRAME, "y", "x")
-    cond = cond if hub_frac is not None else (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.f") == F.col("p.f"))
-    hub = tri.alias("t").join(every.alias("p"), cond).groupBy(*[F.col(f"t.{c}") for c in tri.columns]).agg(F.min(d).alias("hub_distance"))
+    if hub_frac is None:
+        same = (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.f") == F.col("p.f"))
+        hub = tri.alias("t").join(every.alias("p"), same).groupBy(*[F.col(f"t.{c}") for c in tri.columns]).agg(F.min(d).alias("hub_distance"))
+    else:
+        gap = F.hypot(F.col("y_") - F.col("cy"), F.col("x_") - F.col("cx"))
+        hub = near_points(tri, "cy", "cx", every, "_", max(hub_frac * band[1], 1.0)).filter(
+            gap < hub_frac * F.col("circumradius")).groupBy(*tri.columns).agg(F.min(gap).alias("hub_distance"))
     scored = hub.withColumn("score", F.col("regularity") * F.col("_bright"))
     w = W.partitionBy(*FRAME).orderBy(F.desc("score"), "ra", "rb", "rc")
     ranked = scored.withColumn("rank", F.row_number().over(w))
@@ -129,28 +155,20 @@ def triples(dets: DataFrame, band: tuple[float, float] = (28.0, 150.0), tol: flo
 def circles(dets: DataFrame, band: tuple[float, float] = (28.0, 150.0), min_inliers: int = 5, tol_px: float = 10.0,
             max_dets: int | None = None) -> DataFrame:
     """Circle through every triple of a frame's points (the ``max_dets`` strongest,
-    if given) that enough points lie near.  The first two sides are bounded by the largest diameter."""
+    if given) that enough points lie near.  The first two sides are bounded by the
+    largest diameter; points and circles meet by neighbouring cells."""
     p = settle(strongest(dets, max_dets).select(*FRAME, "r", "y", "x"))
-
-    def same(a: str, b: str) -> Column:
-        return (F.col(f"{a}.clip_id") == F.col(f"{b}.clip_id")) & (F.col(f"{a}.f") == F.col(f"{b}.f"))
-
-    def side(a: str, b: str) -> Column:
-        return F.hypot(F.col(f"{a}.y") - F.col(f"{b}.y"), F.col(f"{a}.x") - F.col(f"{b}.x"))
-
-    tri = p.alias("a").join(p.alias("b"), same("a", "b") & (F.col("a.r") < F.col("b.r")) & (side("a", "b") <= 2 * band[1])).join(
-        p.alias("c"), same("a", "c") & (F.col("b.r") < F.col("c.r")) & (side("a", "c") <= 2 * band[1]))
-    ax, ay, bx, by, cx, cy = (F.col(n) for n in ("a.x", "a.y", "b.x", "b.y", "c.x", "c.y"))
+    tri = _near_triples(p, 0.0, 2 * band[1], all_sides=False)
+    ax, ay, bx, by, cx, cy = (F.col(n) for n in ("xa", "ya", "xb", "yb", "xc", "yc"))
     det = 2.0 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
     a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
     ok = F.abs(det) >= 1e-9
     ux = F.when(ok, (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / det)
     uy = F.when(ok, (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / det)
-    tri = tri.select(F.col("a.clip_id"), F.col("a.f"), F.col("a.r").alias("ra"), F.col("b.r").alias("rb"), F.col("c.r").alias("rc"),
-                     uy.alias("cy"), ux.alias("cx"), F.hypot(ay - uy, ax - ux).alias("radius")).filter(F.col("radius").between(*band))
-    near = F.abs(F.hypot(F.col("p.y") - F.col("t.cy"), F.col("p.x") - F.col("t.cx")) - F.col("t.radius")) <= tol_px
-    cond = (F.col("t.clip_id") == F.col("p.clip_id")) & (F.col("t.f") == F.col("p.f")) & near
-    return tri.alias("t").join(p.alias("p"), cond).groupBy(*[F.col(f"t.{c}") for c in tri.columns]).agg(
+    tri = tri.select(*FRAME, "ra", "rb", "rc", uy.alias("cy"), ux.alias("cx"), F.hypot(ay - uy, ax - ux).alias("radius")).filter(
+        F.col("radius").between(*band))
+    near = F.abs(F.hypot(F.col("y_") - F.col("cy"), F.col("x_") - F.col("cx")) - F.col("radius")) <= tol_px
+    return near_points(tri, "cy", "cx", p.select(*FRAME, "y", "x"), "_", band[1] + tol_px).filter(near).groupBy(*tri.columns).agg(
         F.count(F.lit(1)).alias("inliers")).filter(F.col("inliers") >= min_inliers)
 
 

@@ -317,6 +317,24 @@ def test_one_stream_takes_all_headers_and_replays_exactly(spark, tmp_path):
         assert r.phase == (None if k == 0 else 100.0 * k + 11) and r.rgz == (215.0 if k == 2 else None)
 
 
+def test_a_frame_of_very_many_points(spark):
+    """2,000 points in one frame: all triples and circles, none left out beyond the strongest."""
+    from itertools import combinations
+
+    from kinetrail.operators.tracks import circles, triples
+
+    rng = np.random.default_rng(9)
+    pts = [(float(y), float(x)) for y, x in rng.uniform(0, 14_000, (1988, 2))]
+    ring = [(20_000 + 60 * np.cos(a), 20_000 + 60 * np.sin(a)) for a in np.arange(6) * np.pi / 3 + 0.1]
+    pts += [(float(y), float(x)) for y, x in ring] + [(25_000.0, 25_000.0), (25_000.0, 25_080.0), (25_069.3, 25_040.0), (25_023.1, 25_040.0), (-700.0, -700.0), (-640.0, -700.0)]
+    df = spark.createDataFrame([(1, 0, k, y, x, 1.0 / (k + 1)) for k, (y, x) in enumerate(pts)], "clip_id long, f long, event_id long, y double, x double, strength double")
+    round_ = circles(df, min_inliers=6, tol_px=0.5).collect()
+    found = [tuple(sorted((r.ra, r.rb, r.rc))) for r in round_ if abs(r.radius - 60) < 1e-6]
+    assert sorted(found) == sorted(combinations(range(1988, 1994), 3)) and all(r.inliers == 6 for r in round_ if abs(r.radius - 60) < 1e-6)
+    best = triples(df, top=5).filter("regularity > 0.99").collect()
+    assert (1994, 1995, 1996) in {(r.ra, r.rb, r.rc) for r in triples(df).filter("regularity > 0.99").collect()} and len(best) <= 5
+
+
 @pytest.mark.parametrize("shape", ["ramp", "noise", "flat"])
 def test_thinned_peaks_cross_blocks(small_blocks, shape):
     from kinetrail.operators.peaks import thin_by_distance
