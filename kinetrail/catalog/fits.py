@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetrail.catalog.base import KEY, query, samples, track
-from kinetrail.catalog.repeats import bounds
+from kinetrail.catalog.repeats import _M5, bounds, scored
 from kinetrail.catalog.signals import _g0, _sql_rotate
 from kinetrail.operators import fit, whatif
 from kinetrail.plans.blocks import settle
@@ -83,3 +83,25 @@ def _(spark, d):
 def _(spark, d):
     return fit.bracket_search(refereed(spark, d), bounds(spark, d), KEY, {"bias_x": (0.0, 0.02)},
                               {"bias": ("bias_x", 0.0, 0.0)}, rounds=3, bias_frame=None)
+
+
+_CEILING = f"""{_M5}, e AS (SELECT capture_id, rep, tau / dur AS u, unnest([
+      struct_pack(axis := 'horizontal', e := wu - ru, p := pu - ru, r := ru), struct_pack(axis := 'vertical', e := wh - rhh, p := ph - rhh, r := rhh)]) AS a
+    FROM (SELECT cs.*, d.tau, d.dur FROM cs JOIN det d USING (capture_id, rep, i))),
+  fl AS (SELECT capture_id, rep, u, a.axis AS axis, a.e AS e, a.p AS p, a.r AS r FROM e),
+  co AS (SELECT capture_id, rep, axis, regr_slope(e, u) AS s, regr_intercept(e, u) AS c, regr_slope(u*u, u) AS qs, regr_intercept(u*u, u) AS qc FROM fl GROUP BY ALL),
+  rs AS (SELECT fl.*, e - s*u - c AS er, u*u - qs*u - qc AS q FROM fl JOIN co USING (capture_id, rep, axis)),
+  ceil_rep AS (SELECT capture_id, rep, axis, sqrt(avg(p*p))*100 AS shipped, sqrt(avg(r*r))*100 AS "null", stddev_pop(e)*100 AS order_0, sqrt(avg(er*er))*100 AS order_1,
+    sqrt(greatest(avg(er*er) - pow(sum(er*q), 2)/sum(q*q)/count(*), 0))*100 AS order_2 FROM rs GROUP BY ALL)"""
+
+
+@query("o9_ceiling_per_rep", "capture_id rep axis", "shipped order_0 order_1 order_2", f"WITH {_CEILING} SELECT * FROM ceil_rep", "samples reps track", places=2)
+def _(spark, d):
+    return fit.ceiling(scored(spark, d)[2], KEY)
+
+
+@query("o9_ceiling_table", "capture_id axis", "shipped order_1 order_2 headroom gain", f"""
+  WITH {_CEILING} SELECT capture_id, axis, median(shipped) AS shipped, median(order_1) AS order_1, median(order_2) AS order_2,
+    median(shipped) - median(order_1) AS headroom, median(order_1) - median(order_2) AS gain FROM ceil_rep GROUP BY ALL""", "samples reps track", places=2)
+def _(spark, d):
+    return fit.ceiling_table(settle(fit.ceiling(scored(spark, d)[2], KEY)), KEY)

@@ -128,3 +128,56 @@ def bracket_search(series: DataFrame, reps: DataFrame, keys: Sequence[str], axes
             *keys, "n", F.col("_b.n_compared").alias("n_compared"), *[F.col(f"_p.{a}").alias(a) for a in names],
             first.alias("start_h_rms"), F.col("_b.h_rms").alias("h_rms"), F.col("_b.null_h_rms").alias("null_h_rms")))
     return state.drop("n").withColumn("beats_null", F.col("null_h_rms") / F.col("h_rms"))
+
+
+AXES = {"horizontal": "u", "vertical": "h"}
+
+
+def ceiling(curves: DataFrame, keys: Sequence[str], order: int = 2) -> DataFrame:
+    """What no detrend of a family can beat, per rep and axis, beside what the path reached: centimetres rms.
+
+    ``curves`` are those of :func:`~kinetrail.operators.score.against_track`.
+    ``shipped`` is the corrected path's distance from the referee, ``null`` the
+    referee's own size, ``order_k`` what the best polynomial of that order in the
+    rep's own time leaves of the *uncorrected* path's error.  The models are nested, so
+    one matrix of moments a rep serves all: each order adds one column to its
+    triangular factor.  A rep too short, or without duration, for a column gains nothing by it.
+    """
+    keys = list(keys)
+    u = F.when(F.col("duration") > 0, F.col("tau") / F.col("duration")).otherwise(0.0)
+    rows = curves.select(*keys, "rep", u.alias("_u"), F.explode(F.array(*[F.struct(
+        F.lit(name).alias("axis"), (F.col(f"raw_{s}") - F.col(f"ref_{s}")).alias("e"),
+        (F.col(f"pipe_{s}") - F.col(f"ref_{s}")).alias("p"), F.col(f"ref_{s}").alias("r")) for name, s in AXES.items()])).alias("_a")).select(
+        *keys, "rep", "_u", "_a.*")
+    power = [F.lit(1.0)]
+    for _ in range(2 * order):
+        power.append(power[-1] * F.col("_u"))
+    m = rows.groupBy(*keys, "rep", "axis").agg(
+        *[F.sum(x).alias(f"_s{k}") for k, x in enumerate(power)], *[F.sum(F.col("e") * power[k]).alias(f"_m{k}") for k in range(order + 1)],
+        F.sum(F.col("e") ** 2).alias("_ee"), F.sum(F.col("p") ** 2).alias("_pp"), F.sum(F.col("r") ** 2).alias("_rr"))
+    n = F.col("_s0")
+    out = {"shipped": F.sqrt(F.col("_pp") / n) * 100, "null": F.sqrt(F.col("_rr") / n) * 100}
+    # row k of the factor: its products with the columns before, its pivot, its share of the error
+    left = F.col("_ee")
+    for k in range(order + 1):
+        entry = {}
+        for j in range(k):
+            have = F.col(f"_s{j + k}")
+            for i in range(j):
+                have = have - F.col(f"_l{j}_{i}") * entry[i]
+            entry[j] = F.when(F.col(f"_l{j}_{j}") > 0, have / F.col(f"_l{j}_{j}")).otherwise(0.0)
+        pivot, share = F.col(f"_s{2 * k}"), F.col(f"_m{k}")
+        for j in range(k):
+            pivot, share = pivot - entry[j] * entry[j], share - entry[j] * F.col(f"_y{j}")
+        m = m.withColumns({f"_l{k}_{j}": e for j, e in entry.items()}).withColumn(
+            f"_l{k}_{k}", F.when(pivot > 1e-12 * F.col(f"_s{2 * k}"), F.sqrt(pivot)).otherwise(0.0))
+        m = m.withColumn(f"_y{k}", F.when(F.col(f"_l{k}_{k}") > 0, share / F.col(f"_l{k}_{k}")).otherwise(0.0))
+        left = left - F.col(f"_y{k}") * F.col(f"_y{k}")
+        out[f"order_{k}"] = F.sqrt(F.greatest(left, F.lit(0.0)) / n) * 100
+    return m.select(*keys, "rep", "axis", *[v.alias(k) for k, v in out.items()])
+
+
+def ceiling_table(per_rep: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Medians over the reps, the ``headroom`` of the best line over what was reached, and the ``gain`` of the square term."""
+    med = exact_medians(per_rep, [*keys, "axis"], {c: c for c in ("shipped", "order_1", "order_2", "null")})
+    return med.withColumns({"headroom": F.col("shipped") - F.col("order_1"), "gain": F.col("order_1") - F.col("order_2")})
