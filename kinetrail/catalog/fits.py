@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinetrail.catalog.base import KEY, query, samples, track
 from kinetrail.catalog.repeats import _M5, bounds, scored
 from kinetrail.catalog.signals import _g0, _sql_rotate
-from kinetrail.operators import fit, whatif
+from kinetrail.operators import fit, studies, whatif
 from kinetrail.plans.blocks import settle
 
 BIAS, LEVER = (-0.02, 0.0, 0.02), (0.0, 0.09)
@@ -105,3 +105,27 @@ def _(spark, d):
     median(shipped) - median(order_1) AS headroom, median(order_1) - median(order_2) AS gain FROM ceil_rep GROUP BY ALL""", "samples reps track", places=2)
 def _(spark, d):
     return fit.ceiling_table(settle(fit.ceiling(scored(spark, d)[2], KEY)), KEY)
+
+
+_P = """list_sum(list_transform(range(hits, reps + 1), lambda j: 1.0 / factorial(j::INTEGER) * list_sum(list_transform(range(0, reps - j + 1),
+    lambda i: (CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END) / factorial(i::INTEGER)))))"""
+
+
+@query("m14_identification_p", "capture_id form reps hits", "p", f"""
+  WITH {_M5}, c AS (SELECT 'plain' AS form, capture_id, rep, j, pu AS a, ru AS b FROM cs
+    UNION ALL SELECT 'demeaned', capture_id, rep, j, pu - avg(pu) OVER w, ru - avg(ru) OVER w FROM cs WINDOW w AS (PARTITION BY capture_id, j)),
+  v AS (SELECT form, capture_id, rep, list(a ORDER BY j) AS a, list(b ORDER BY j) AS b FROM c GROUP BY ALL),
+  dd AS (SELECT p.form, p.capture_id, p.rep, q.rep AS other, list_distance(p.a, q.b) AS d FROM v p JOIN v q USING (form, capture_id)),
+  h AS (SELECT form, capture_id, count(*) AS reps, count(*) FILTER (near = rep) AS hits FROM (
+    SELECT form, capture_id, rep, arg_min(other, struct_pack(d := round(d, 9), o := other)) AS near FROM dd GROUP BY ALL) GROUP BY ALL)
+  SELECT *, {_P} AS p FROM h""", "samples reps track", places=6)
+def _(spark, d):
+    """Rebuilt reps against the referee's, as they are and with each capture's mean rep taken from both."""
+    curves = settle(scored(spark, d)[2].select(*KEY, "rep", "j", "pipe_u", "ref_u"))
+    both = curves.withColumn("form", F.lit("plain")).unionByName(
+        studies.demeaned(curves, KEY, "j", ["pipe_u", "ref_u"]).withColumn("form", F.lit("demeaned")))
+    each = [*KEY, "form"]
+
+    def curve(c):
+        return both.groupBy(*each, "rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", c))), lambda e: e[c]).alias("v"))
+    return studies.identification_table(studies.rep_identification(curve("pipe_u"), curve("ref_u"), each, "v"), each)

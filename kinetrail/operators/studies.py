@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -250,3 +251,34 @@ def rep_identification(grid: DataFrame, partner: DataFrame, keys: Sequence[str],
     return parts.groupBy(*keys, "rep").agg(
         F.min_by("_near", F.struct("_d", "_near")).alias("nearest"), F.min("_d").alias("distance")
     ).withColumn("identified", F.col("nearest") == F.col("rep"))
+
+
+def demeaned(rows: DataFrame, keys: Sequence[str], place: str, values: Sequence[str]) -> DataFrame:
+    """``values`` less their mean over the reps of a key at the same ``place``: what differs between reps."""
+    mean = rows.groupBy(*keys, place).agg(*[F.avg(v).alias(f"_m_{v}") for v in values])
+    x = salted_join(rows, mean, [*keys, place], F.col("rep"))
+    return x.withColumns({v: F.col(v) - F.col(f"_m_{v}") for v in values}).drop(*[f"_m_{v}" for v in values])
+
+
+def fixed_points_tail(n: Column, hits: Column) -> Column:
+    """Chance that a random permutation of ``n`` things leaves ``hits`` or more in place, in closed form.
+
+    Exactly j stay with chance 1/j! times the first n - j + 1 terms of exp(-1).
+    """
+    longest = 170  # 1/171! is 0 in double precision
+    inverse = F.array(*[F.lit(1.0 / math.factorial(j)) for j in range(longest + 1)])
+    partial, terms = 0.0, []
+    for i in range(26):  # later terms do not change a double
+        partial += (-1) ** i / math.factorial(i)
+        terms.append(F.lit(partial))
+    series = F.array(*terms)
+    upto = F.least(n, hits + 40, F.lit(longest))
+    few = F.when(hits <= upto, F.sequence(hits, upto)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(few, F.lit(0.0), lambda acc, j: acc + F.get(inverse, j.cast("int")) * F.get(series, F.least(n - j, F.lit(25)).cast("int")))
+
+
+def identification_table(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, reps, hits, p) from :func:`rep_identification`: how many reps find their own partner, and how
+    likely as many would by a random matching of that key's reps."""
+    hits = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("reps"), F.count_if("identified").alias("hits"))
+    return hits.withColumn("p", fixed_points_tail(F.col("reps"), F.col("hits")))

@@ -63,3 +63,17 @@ def test_objective_is_the_score_against_the_track(spark):
     want = {c: float(np.median([np.sqrt(np.mean(v)) * 100 for (k, _), v in per.items() if k == c])) for c in (1, 2)}
     got = fit.objective(whatif.rebuild(fit.with_referee(series, track, KEYS), KEYS, {}, bias_frame=None), reps, KEYS)
     assert {r.capture_id: r.h_rms for r in got.collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_fixed_points_against_all_permutations(spark):
+    from itertools import permutations
+
+    from kinetrail.operators.studies import fixed_points_tail
+
+    rows = [(n, k) for n in range(1, 7) for k in range(n + 1)] + [(5000, 0), (5000, 3), (300, 250)]
+    got = {(r.n, r.k): r.p for r in spark.createDataFrame(rows, "n long, k long").withColumn("p", fixed_points_tail(F.col("n"), F.col("k"))).collect()}
+    for n in range(1, 7):
+        fixed = [sum(a == b for a, b in enumerate(p)) for p in permutations(range(n))]
+        for k in range(n + 1):
+            assert got[n, k] == pytest.approx(sum(x >= k for x in fixed) / len(fixed), abs=1e-12)
+    assert got[5000, 0] == pytest.approx(1) and got[5000, 3] == pytest.approx(1 - 2.5 / math.e) and got[300, 250] < 1e-300
