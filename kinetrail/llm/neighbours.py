@@ -59,16 +59,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
 
     Rows with a null label, id or vector, a zero vector, or null or non-finite
     components link with nothing, and so do vectors of different lengths; such
-    rows are kept.  Repeated rows link with each other; an empty table gives no
-    rows; other columns are not read.
+    rows are kept.  Repeated rows link with each other; rows that share an id but not
+    label and vector are vectors of their own; an empty table gives no rows; other
+    columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"),
+    width = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(width).alias("v"),
                           F.col(label_col).alias("label"))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")) & F.coalesce(
         F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     classes = written(rows.filter("fit").groupBy("label", "v").agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")), "classes")
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")).withColumn(
+        "id", F.monotonically_increasing_id()), "classes")  # the written number names a class
     most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(most, threshold, recall)
 
@@ -86,8 +89,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
                 yield from part.to_batches()
 
     kind = dict(classes.dtypes)["label"]
-    coded = written(classes.mapInArrow(
-        code, f"label {kind}, v array<double>, id long, copies long, dim int, codes array<int>"), "coded")
+    coded = written(classes.drop("least").mapInArrow(
+        code, f"label {kind}, v {width}, copies long, dim int, id long, codes array<int>"), "coded")
     key = ["label", "dim", "t", "code"]
     shared = coded.select("label", "dim", F.posexplode("codes").alias("t", "code")).groupBy(*key).agg(
         F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("tiles", F.ceil(F.col("members") / tile).cast("int")).drop("members")
@@ -95,7 +98,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
     dealt = (coded.select("*", F.posexplode("codes").alias("t", "code")).join(shared, key)
              .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .select("dim", "t", F.xxhash64(*key).alias("h"), "label", "code", F.least("own", "other").alias("p"),
-                     F.greatest("own", "other").alias("q"), "own", "id", "copies", "codes", "v"))
+                     F.greatest("own", "other").alias("q"), "own", "id", "copies",
+                     F.slice("codes", 1, F.col("t")).alias("codes"), "v"))  # the codes of earlier tables
     # a tile meets itself once: rows with own = other appear once, others once per other tile
     group = ["label", "dim", "t", "code", "p", "q"]
 
@@ -104,7 +108,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
             dim, t, p, q = (g[c][0].as_py() for c in ("dim", "t", "p", "q"))
             g = g.combine_chunks()
             x, ids, copies, own_tile = _unit(matrix(g["v"], dim)), g["id"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
-            codes = matrix(g["codes"], tables)
+            codes = matrix(g["codes"], t)
             linked = x @ x.T >= threshold
             np.fill_diagonal(linked, False)
             if p != q:
@@ -130,9 +134,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
         compare, "id long, links long, other long"), "linked")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = classes.select("label", "v", "id", "copies").join(counts, "id", "left").join(component, "id", "left").select(
+    reached = component.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("reached"))
+    known = classes.select("label", "v", "id", "copies", "least").join(counts, "id", "left").join(component, "id", "left").join(
+        reached, "component", "left").select(
         "label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"))
+        F.coalesce("reached", "least").alias("component_id"))
     fitting = rows.filter("fit").join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return fitting.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

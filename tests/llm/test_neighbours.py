@@ -51,3 +51,23 @@ def test_given_table_recall(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_vectors(df).collect()}
     assert got == plain(rows)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_rows_that_share_an_id(spark, kind):
+    """Links belong to rows: a row of the same id with another vector or label has its own."""
+    e1, near, e2 = [1.0] + [0.0] * 7, [1.0, 0.0625] + [0.0] * 6, [0.0, 1.0] + [0.0] * 6
+    rows = [(1, e1, 1), (1, e2, 1), (1, e1, 2), (2, near, 1), (2, near, 1), (3, e2, 2)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_vectors(df).collect())
+    assert got == [(1, 0, 1), (1, 0, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
+def test_a_third_of_rows_on_one_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(7 if n % 3 == 0 else 1000 + n, rng.standard_normal(8).tolist(), n % 2) for n in range(300)]
+    rows += [(r[0] + 5000, r[1], r[2]) for r in rows[:90]]
+    got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.vec_id in (5007, *range(6000, 6090))} <= {7, *range(1000, 1090)}
+    assert sum(r.n_links for r in got) >= 180
