@@ -50,19 +50,19 @@ def products(q: np.ndarray, x: np.ndarray, top: float) -> np.ndarray:
 class Shard:
     """M-tree over some vectors: inner nodes over leaves over entries."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, top: float):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, top: float):
         self.top = top  # M^2
         lift = np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))
         point = np.column_stack([x, lift])
         order = np.argsort(ids, kind="stable")
-        ids, x, point = ids[order], x[order], point[order]
+        ids, rows, x, point = ids[order], rows[order], x[order], point[order]
         leaf_of, leaf_at = self._nearest(point, -(-len(ids) // (LEAF // 2)))
         by = np.argsort(leaf_of, kind="stable")
         # leaves that are too full (equal vectors) become several pages round one pivot
         page = np.concatenate([np.arange(n) // LEAF for n in np.bincount(leaf_of, minlength=len(leaf_at)) if n]) if len(by) else by
         cut = np.flatnonzero(np.r_[True, (leaf_of[by][1:] != leaf_of[by][:-1]) | (page[1:] != page[:-1])])
         self.begin, self.end = cut, np.r_[cut[1:], len(by)]
-        self.ids, self.x = ids[by], x[by]
+        self.ids, self.rows, self.x = ids[by], rows[by], x[by]
         center = point[leaf_at[leaf_of[by][cut]]]
         self.to_leaf = self._distance(point[by], np.repeat(center, self.end - self.begin, axis=0))
         self.leaf_x, self.leaf_lift = center[:, :-1], center[:, -1]
@@ -84,7 +84,7 @@ class Shard:
         norm = (point[at] ** 2).sum(axis=1)
         return (norm[None, :] - 2 * point @ point[at].T).argmin(axis=1), at
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    def search(self, query_rows: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
         """(query row, vec_id, score) of the k best of each query that are not below ``floor``."""
         n = len(q)
         norm = (q * q).sum(axis=1)
@@ -134,9 +134,9 @@ class Shard:
                 useful = (best_score(nearest, rows) >= need[rows][:, None]).any(axis=0)
                 if not useful.any():
                     continue
-                ids = self.ids[a:b][useful]
+                ids, own = self.ids[a:b][useful], self.rows[a:b][useful]
                 score = products(q[rows], self.x[a:b][useful], self.top)
-                score = np.where(ids[None, :] == query_ids[rows][:, None], -np.inf, score)
+                score = np.where(own[None, :] == query_rows[rows][:, None], -np.inf, score)
                 both = np.concatenate([top_score[rows], score], axis=1)
                 both_id = np.concatenate([top_id[rows], np.broadcast_to(ids, score.shape)], axis=1)
                 by = np.stack([sorted(range(len(s)), key=lambda c, s=s, i=i: (-s[c], i[c]))[:k] for s, i in zip(both, both_id)]) if (
@@ -156,13 +156,12 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, page: int = 81
 
     Vectors that are null, empty or hold null or non-finite components, and rows
     with a null id, take no part; vectors of different lengths are never compared;
-    rows that share an id are candidates of their own, never of each other, and
-    one query if they are equal; an empty table gives no rows; other columns are
-    not read.
+    rows that share an id, equal or not, are queries and candidates of their own,
+    each other's too; an empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     rows = written(vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col)).alias("v")).withColumn("dim", F.size("v")), "vectors")
+        F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col)).alias("v")).withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")  # the written number names a row
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     sizes = {r.dim: (r.n, r.top) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("top")).collect()}
     # pivots: a bounded sample by hash, MAX_PIVOTS at most for a length
@@ -188,15 +187,15 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, page: int = 81
                 part = part.append_column("pivot", pa.array(near.astype(np.int32))).append_column("far", pa.array(far))
                 yield from part.to_batches()
 
-    routed = written(rows.select("vec_id", "v", "dim").mapInArrow(
-        route, "vec_id long, v array<double>, dim int, pivot int, far double"), "routed")
+    routed = written(rows.select("vec_id", "v", "dim", "row").mapInArrow(
+        route, "vec_id long, v array<double>, dim int, row long, pivot int, far double"), "routed")
     pivot_rows = routed.groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
     balls = {(r.dim, r.pivot): r.radius for r in pivot_rows.collect()}  # MAX_PIVOTS rows at most for a length
     parts = pivot_rows.select("dim", "pivot", F.ceil(F.col("n") / page).cast("int").alias("parts"))
     shards = routed.join(F.broadcast(parts), ["dim", "pivot"]).select(
-        "dim", "pivot", F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), "parts").cast("int").alias("part"),
-        F.lit(0).alias("role"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
-    queries = routed.filter(F.col("vec_id") % every == 0).select("dim", "pivot", "vec_id", "v").dropDuplicates(["vec_id", "v"])
+        "dim", "pivot", F.pmod(F.xxhash64("row", F.lit(seed + 1)), "parts").cast("int").alias("part"),
+        F.lit(0).alias("role"), "vec_id", "v", F.lit(None).cast("double").alias("floor"), "row")
+    queries = routed.filter(F.col("vec_id") % every == 0).select("dim", "pivot", "vec_id", "v", "row")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a shard, then its queries, which stream through the built tree."""
@@ -213,40 +212,40 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, page: int = 81
                 if here != key:
                     key, held, shard = here, [], None
                 part = batch.slice(a, b - a)
-                ids, x = part.column(4).to_numpy(), matrix(part.column(5), dim)
+                ids, x, own = part.column(4).to_numpy(), matrix(part.column(5), dim), part.column(7).to_numpy()
                 if role == 0:
-                    held.append((ids, x))
+                    held.append((ids, own, x))
                     continue
                 if shard is None and held:
-                    shard = Shard(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), sizes[dim][1])
+                    shard = Shard(*(np.concatenate([h[k] for h in held]) for k in range(3)), sizes[dim][1])
                     held = []
                 if shard is not None:
                     floor = np.nan_to_num(part.column(6).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
-                    row, found, score = shard.search(ids, x, floor, k)
+                    row, found, score = shard.search(own, x, floor, k)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[row]), pa.array(found, pa.int64()), pa.array([int(s) for s in score], pa.int64())],
-                        names=["query_id", "vec_id", "score"])
+                        [pa.array(ids[row]), pa.array(own[row]), pa.array(found, pa.int64()), pa.array([int(s) for s in score], pa.int64())],
+                        names=["query_id", "query_row", "vec_id", "score"])
 
     def visits(asked: DataFrame) -> DataFrame:
         """Queries sent to every page of the pivots they name."""
         sent = asked.join(F.broadcast(parts), ["dim", "pivot"]).select(
-            "dim", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "vec_id", "v", "floor")
+            "dim", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "vec_id", "v", "floor", "row")
         order = ["dim", "pivot", "part", "role"]
         return shards.unionAll(sent).repartition("dim", "pivot", "part").sortWithinPartitions(*order).mapInArrow(
-            search, "query_id long, vec_id long, score long")
+            search, "query_id long, query_row long, vec_id long, score long")
 
-    ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
 
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
     home = written(visits(queries.withColumn("floor", F.lit(None).cast("double"))), "home")
-    floors = best(home).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    floors = best(home).filter(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query once per other pivot whose ball may hold a product not below its floor."""
         for batch in batches:
-            for dim, pivot, one, v, floor in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for dim, pivot, one, v, floor, own in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 top = sizes[dim][1]
                 x = np.array(v)
                 norm = x @ x
@@ -258,9 +257,9 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, page: int = 81
                 if len(go):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(go), dim, np.int32)), pa.array(go.astype(np.int32)), pa.array(np.full(len(go), one)),
-                        pa.array([v] * len(go), pa.list_(pa.float64())), pa.array([floor] * len(go), pa.float64())],
-                        names=["dim", "pivot", "vec_id", "v", "floor"])
+                        pa.array([v] * len(go), pa.list_(pa.float64())), pa.array([floor] * len(go), pa.float64()),
+                        pa.array(np.full(len(go), own))], names=["dim", "pivot", "vec_id", "v", "floor", "row"])
 
-    others = queries.join(floors, "vec_id", "left").select("dim", "pivot", "vec_id", "v", "floor").mapInArrow(
-        spread, "dim int, pivot int, vec_id long, v array<double>, floor double")
+    others = queries.join(floors, "row", "left").select("dim", "pivot", "vec_id", "v", "floor", "row").mapInArrow(
+        spread, "dim int, pivot int, vec_id long, v array<double>, floor double, row long")
     return best(home.unionAll(visits(others))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -41,3 +41,24 @@ def test_large_components(spark):
     rows = [(n, (rng.standard_normal(4) * 1e6).tolist()) for n in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.top_products(df).collect())) == plain(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """Every row of a query's id asks for itself and is a candidate of the others."""
+    rows = [(50, [1.0, 0.5]), (50, [1.0, 0.5]), (50, [-1.0, 2.0]), (51, [0.25, 0.25]), (51, [0.5, 0.25]), (52, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [[math.floor(256 * x) for x in v] for _, v in rows]
+    want = []
+    for a, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(whole[a], whole[b])), i) for b, (i, _) in enumerate(rows) if b != a)[:3]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, topk.top_products(df, k=3).collect())) == sorted(want)
+
+
+def test_a_third_of_rows_on_one_id(spark):
+    rows = [(100 if n % 3 == 0 else n, [float(n % 7), float(n % 11)]) for n in range(1, 601)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_products(df, k=2, page=50, per_pivot=40).groupBy("query_id").count().collect()
+    asked = [i for i, _ in rows if i % 50 == 0]
+    assert {r.query_id: r["count"] for r in got} == {i: 2 * asked.count(i) for i in asked}
