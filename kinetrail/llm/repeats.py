@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 2048, id_col:
     kinds = written(again.groupBy(*alike).agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start")).alias("first")), "kinds")
     copied = again.join(kinds.filter("copies > 1").select(*alike), alike, "left_semi").select(
-        "key", "start", (F.col("start") + F.col("windows") + length - 1).alias("stop"))
+        "key", "start", (F.col("start") + F.col("windows") + length - 1).alias("stop")).distinct()  # equal rows share spans
 
     several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     wanted = kinds.join(several, "name").groupBy("first.key").agg(F.collect_list(F.struct(
@@ -287,6 +287,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 2048, id_col:
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if held and row[:3] == held[-1][:3]:  # the same body of an equal row
+                    continue
                 if size > _TEXT and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
@@ -295,7 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 2048, id_col:
         yield solve(held)
 
     few = bodies.filter(F.col("kinds") <= most).select("name", "key", "start", "body", "copied").repartition(
-        "name").sortWithinPartitions("name").mapInArrow(transform, "key long, start long, stop long")
+        "name").sortWithinPartitions("name", "key", "start").mapInArrow(transform, "key long, start long, stop long")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

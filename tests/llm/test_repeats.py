@@ -85,3 +85,19 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id, bytes(r.kept)) for r in repeats.remove_repeats(docs).collect())
     assert got == [(1, b""), (1, b""), (2, b"")]
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [2048, 0])
+def test_many_equal_rows(spark, most):
+    """A third of the rows equal in id and text: their spans stay few, results stay those of every row."""
+    rng = random.Random(11)
+    long = "".join(rng.choices("abcdefgh ", k=3000))
+    rows = [(7, long)] * 300 + [(1000 + n, "".join(rng.choices("abcdefgh ", k=300)) + (f"#{long[200:450]}" if n % 50 == 0 else "")) for n in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = repeats.remove_repeats(df, most=most).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id == 7:
+            assert [tuple(s) for s in r.spans] == [(0, 3000)] and r.kept == b""
+        else:
+            assert [s.stop - s.start for s in r.spans] == ([250] if (r.doc_id - 1000) % 50 == 0 else [])
