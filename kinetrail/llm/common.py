@@ -76,7 +76,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, per_stratum: int, seed: i
     ``labels`` has (doc_id, label).  Ids are picked by a filter on a hash,
     ``per_stratum`` expected of each label and all if there are fewer, so no label
     meets in one task; the picked ids, at most twice the expected number, find
-    their texts by a broadcast of known size.
+    their texts by a broadcast of known size.  Of rows that share a picked id, the
+    least text counts.
     """
     spark = docs.sparkSession
     labels = labels.filter("label is not null and doc_id is not null").distinct()
@@ -89,8 +90,10 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, per_stratum: int, seed: i
     ids = labels.filter(place < chance[F.col("label")]).orderBy(place, "doc_id", "label").limit(2 * per_stratum * len(sizes)).collect()
     picked = spark.createDataFrame([(r.doc_id, r.label, k) for k, r in enumerate(ids)], labels.select("doc_id", "label").withColumn(
         "_place", F.lit(0)).schema)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: (r["_place"], r["text"] or ""))
+    # one row of a picked id, however many carry it
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").groupBy(
+        "doc_id", "label", "_place").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["_place"])
     return [(r["text"] or "", r["label"], sizes[r["label"]]) for r in rows]
 
 

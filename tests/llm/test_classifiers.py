@@ -108,3 +108,18 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert langid.predict(empty, *langid.train(empty)).count() == 0
     assert quality.score_quality(empty, quality.train(empty, labels.limit(0))).count() == 0
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    """A third of all rows on one labelled id: the sample stays within twice its number of ids."""
+    from pyspark.sql import functions as F
+
+    from kinetrail.llm.common import bounded_sample
+
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("long").alias("doc_id"),
+                                    F.concat(F.lit("text "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    found = bounded_sample(docs, labels, 20, 1)
+    assert 0 < len(found) <= 80 and len({f[0] for f in found}) == len(found)
+    everything = bounded_sample(docs, labels, 5000, 1)
+    assert len(everything) == 2001 and ("text 00000", 0, 1001) in everything
