@@ -6,7 +6,7 @@ turns it into ``queries()`` and ``oracle_sql()``.
 
 from importlib import import_module
 
-MODULES = ("signals", "events", "repeats", "tracks", "files", "studies", "fits")
+MODULES = ("signals", "events", "repeats", "tracks", "files", "studies", "fits", "reports")
 
 
 def load() -> None:
