@@ -1,10 +1,13 @@
 """Line dedup by content-defined chunks of lines (DataFrame functions only).
 
-A chunk ends after a line where a rolling hash over that line and the one before
-is 0 modulo ``cut``.  The boundary depends on those lines alone, so an insertion
-elsewhere does not shift it, and a passage in two documents is cut alike inside.
-Chunks of at least ``min_lines`` lines that occur more than once anywhere are
-found by hash, then compared by their bytes; the first occurrence stays.
+Two neighbouring lines are an anchor where a rolling hash over their hashes is 0
+modulo ``cut``, or where they are long together.  That depends on the two lines
+alone, so an insertion elsewhere does not shift it.  Every line opens a chunk that
+ends with the first anchor behind it and closes one that begins with the last
+anchor before it, so a passage that holds an anchor is covered by chunks of its
+own lines, whatever stands around it.  Chunks of two lines or more that occur more
+than once anywhere are found by hash, then compared by their bytes; the first
+occurrence stays.  Blank lines belong to the line before them and are not compared.
 
 Chunking stays inside a row; only hashes are counted over the whole corpus, and
 only chunks whose hash repeats are shuffled with their text.  A chunk in a third
@@ -14,13 +17,15 @@ of the repeated chunk in sort-merge joins that adaptive execution can split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrail.plans.stage import written
 
-CUT = 3
+CUT = 2
 MIX = 7  # weight of the line before in the rolling hash
+LONG = 120  # characters of two neighbouring lines that make them an anchor whatever their hash
+MOST = 16  # lines of a chunk at most: without an anchor it ends there
 
 
 def _let(value: Column, body) -> Column:
@@ -28,62 +33,96 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _chunks(text: Column, cut: int) -> Column:
-    """Array of (n lines, text) whose texts joined by line feeds are the text."""
+def _solid(line: Column) -> Column:
+    return line.rlike("[^ \\t\\r]")
 
-    def hashed(lines: Column) -> Column:
-        return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 7), 16, 10).cast("long"))
 
-    def ends(hashes: Column) -> Column:
-        """Numbers of the lines after which a chunk ends; the last line always does."""
-        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, 1, F.size(hashes) - 1))
-        rolled = F.zip_with(hashes, before, lambda a, b: a + MIX * b)
-        return F.filter(F.transform(rolled, lambda r, i: F.when((r % cut == 0) | (i == F.size(hashes) - 1), i + 1)),
-                        lambda e: e.isNotNull())
+def _body(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, _solid), "\n")
 
-    def spans(e: Column) -> Column:
-        return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)), e,
-                          lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    def cut_up(lines: Column) -> Column:
-        return F.transform(_let(_let(hashed(lines), ends), spans), lambda s: F.struct(
-            (s["b"] - s["a"]).alias("n"), F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), "\n").alias("text")))
+def _chunks(lines: Column, cut: int, long: int, most: int) -> Column:
+    """Array of (h, start, stop): the chunks' hashes and their places among the lines."""
 
-    return _let(F.split(text, "\n", -1), cut_up)
+    def anchors(solid: Column) -> Column:
+        """For each line but the last, whether it and the next are an anchor."""
+        hashed = F.transform(solid, lambda x: F.struct(
+            F.conv(F.substring(F.md5(x["line"].cast("binary")), 1, 7), 16, 10).cast("long").alias("h"),
+            F.length(x["line"]).alias("n")))
+        return _let(hashed, lambda hs: F.zip_with(
+            F.slice(hs, 1, F.greatest(F.size(hs) - 1, F.lit(0))), F.slice(hs, 2, F.size(hs)),
+            lambda a, b: ((b["h"] + MIX * a["h"]) % cut == 0) | (a["n"] + b["n"] >= long)))
 
+    def spans(n: Column, flags: Column) -> Column:
+        def ahead(i: Column) -> Column:  # stop of the chunk that line i opens
+            return _let(F.array_position(F.slice(flags, i + 1, F.lit(most - 1)), True).cast("int"), lambda p: F.struct(
+                i.alias("a"), F.when(p > 0, i + p + 1).otherwise(F.least(i + most, n)).alias("b")))
 
-def dedup_lines(docs: DataFrame, cut: int = CUT, min_lines: int = 2, id_col: str = "doc_id",
+        def back(j: Column) -> Column:  # start of the chunk that line j closes; an anchor's own pair is known from ahead
+            first = F.greatest(j - (most - 1), F.lit(0))
+            return _let(F.array_position(F.reverse(F.slice(flags, first + 1, j - first)), True).cast("int"), lambda p: F.struct(
+                F.when(p > 0, j - p).otherwise(first).alias("a"), F.when(p != 1, j + 1).alias("b")))
+
+        return F.concat(F.transform(F.sequence(F.lit(0), n - 2), ahead),
+                        F.filter(F.transform(F.sequence(F.lit(1), n - 1), back), lambda s: s["b"].isNotNull()))
+
+    def all_of(solid: Column) -> Column:
+        """``solid``: (line, number) of every line that is not blank."""
+        def at(u: Column) -> Column:  # line number of solid line u; behind the last, the number of lines
+            return F.when(u < F.size(solid), F.get(solid, u)["i"]).otherwise(F.size(lines))
+
+        found = _let(anchors(solid), lambda flags: spans(F.size(solid), flags))
+        return F.when(F.size(solid) > 1, F.transform(found, lambda s: F.struct(
+            F.xxhash64(F.array_join(F.transform(F.slice(solid, s["a"] + 1, s["b"] - s["a"]), lambda x: x["line"]), "\n")).alias("h"),
+            at(s["a"]).alias("start"), at(s["b"]).alias("stop"))))
+
+    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+    return _let(F.filter(numbered, lambda x: _solid(x["line"])), all_of)
+
+
+def dedup_lines(docs: DataFrame, cut: int = CUT, long: int = LONG, most: int = MOST, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """The documents with later occurrences of repeated chunks removed.
 
     Occurrences are ordered by (id, place); a null id comes first, and rows that
-    share an id follow the order they are stored in.  A null text stays null; an
-    empty text is one empty line and stays; a document of removed chunks only
-    becomes empty; repeated rows are documents of their own, so the later copy
-    loses its repeated chunks; an empty table gives no rows.  All columns are
-    kept; ``_n_removed`` (lines removed) is added.
+    share an id follow the order they are stored in.  Chunks may overlap: a removed
+    line always remains at an earlier place, and a line repeated many times in a
+    row stays once.  A removed line takes the blank lines behind it along; blank
+    lines alone never go.  A null text stays null; an empty text is one blank line
+    and stays; a document of removed chunks only becomes empty; repeated rows are
+    documents of their own, so the later copy loses its repeated chunks; an empty
+    table gives no rows.  All columns are kept; ``_n_removed`` (lines removed,
+    blank ones included) is added.
     """
     own = F.struct(*[F.col(c) for c in docs.columns if c != text_col])  # one column: no clash with ours
     base = written(docs.select(
         own.alias("own"), F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-        F.transform(_chunks(F.col(text_col), cut), lambda c: F.struct(
-            F.when(c["n"] >= min_lines, F.xxhash64(c["text"])).alias("h"), c["n"].alias("n"), c["text"].alias("text"))).alias("chunks")),
-        "chunks")
-    repeated = base.select(F.explode("chunks.h").alias("h")).filter("h is not null").groupBy("h").count().filter(
-        "count > 1").select("h")
-    rows = base.select("id", "rid", F.posexplode("chunks").alias("k", "c")).select(
-        "id", "rid", "k", F.col("c.h").alias("h"), F.col("c.text").alias("body")).filter("h is not null")
-    candidates = written(rows.join(repeated, "h"), "candidates")
+        F.split(F.col(text_col), "\n", -1).alias("lines")).withColumn(
+            "chunks", _chunks(F.col("lines"), cut, long, most)), "chunks")
+    repeated = base.select(F.explode("chunks.h").alias("h")).groupBy("h").count().filter("count > 1").select("h")
+    places = base.select("rid", F.explode("chunks").alias("c")).select("rid", "c.*")
+    wanted = places.join(repeated, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "start", "stop")).alias("spans"))
+    bodies = F.transform("spans", lambda s: F.struct(
+        s["h"].alias("h"), s["start"].alias("start"), s["stop"].alias("stop"),
+        _body(F.slice("lines", s["start"] + 1, s["stop"] - s["start"])).alias("body")))
+    candidates = written(base.select("id", "rid", "lines").join(wanted, "rid").select(
+        "id", "rid", F.explode(bodies).alias("c")).select("id", "rid", "c.*"), "candidates")
     first = candidates.groupBy("h", "body").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rid", "k")).alias("first")).filter("n > 1")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rid", "start")).alias("first")).filter("n > 1")
     later = candidates.alias("c").join(first.alias("f"), (F.col("c.h") == F.col("f.h")) & (F.col("c.body") == F.col("f.body"))).filter(
-        (F.col("c.rid") != F.col("f.first.rid")) | (F.col("c.k") != F.col("f.first.k")))
-    gone = later.groupBy("c.rid").agg(F.collect_list("c.k").alias("gone"))
-    none = F.array().cast("array<int>")
-    joined = base.join(gone, "rid", "left").withColumn("gone", F.coalesce("gone", none))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
-    removed = F.aggregate("chunks", F.lit(0), lambda s, c: s + c["n"]) - F.aggregate(kept, F.lit(0), lambda s, c: s + c["n"])
-    text = F.array_join(F.transform(kept, lambda c: c["text"]), "\n")
+        (F.col("c.rid") != F.col("f.first.rid")) | (F.col("c.start") != F.col("f.first.start"))).select("c.rid", "c.start", "c.stop")
+    # overlapping and touching spans of a document become one
+    so_far = Window.partitionBy("rid").orderBy("start", "stop")
+    opens = (F.col("start") > F.max("stop").over(so_far.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    runs = later.withColumn("_opens", F.coalesce(opens, F.lit(1))).withColumn("run", F.sum("_opens").over(
+        so_far.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rid", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"))
+    gone = runs.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    joined = base.drop("chunks").join(gone, "rid", "left")
+    kept = F.zip_with(F.concat(F.array(F.lit(0)), F.col("gone.stop")), F.concat(F.col("gone.start"), F.array(F.size("lines"))),
+                      lambda a, b: F.slice("lines", a + 1, b - a))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.flatten(kept)), "\n")
+    removed = F.aggregate("gone", F.lit(0), lambda s, g: s + g["stop"] - g["start"])
     return joined.select(
         *[text.alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in docs.columns],
         F.coalesce(removed, F.lit(0)).alias("_n_removed"))
@@ -91,17 +130,33 @@ def dedup_lines(docs: DataFrame, cut: int = CUT, min_lines: int = 2, id_col: str
 
 #: The same in DuckDB, over table ``documents``: CTE ``deduped`` (doc_id, text, n_removed).
 SQL_CTES = f"""lines AS (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM {{docs}}),
-  rolled AS (
-    SELECT doc_id, line, i, h + {MIX} * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) AS r
-    FROM (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines)),
-  cut AS (
-    SELECT doc_id, line, i, coalesce(sum((r % {CUT} = 0)::INTEGER) OVER (
-      PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM rolled),
-  chunks AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM cut GROUP BY doc_id, k),
-  marked AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, k) > 1 AS gone FROM chunks),
+    SELECT doc_id, len(string_split(text, chr(10))) AS n, unnest(string_split(text, chr(10))) AS line,
+      unnest(range(len(string_split(text, chr(10))))) AS i FROM {{docs}}),
+  solid AS (
+    SELECT doc_id, line, i, row_number() OVER w - 1 AS u, coalesce(lead(i) OVER w, n) AS after,
+      ('0x' || substr(md5(line), 1, 7))::BIGINT AS h
+    FROM lines WHERE regexp_matches(line, '[^ \t\r]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  flagged AS (
+    SELECT *, (lead(h) OVER w + {MIX} * h) % {CUT} = 0 OR length(line) + lead(length(line)) OVER w >= {LONG} AS anchor,
+      count(*) OVER (PARTITION BY doc_id) AS nu FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY u)),
+  near AS (
+    SELECT doc_id, u, nu, min(CASE WHEN anchor THEN u END) OVER (
+        PARTITION BY doc_id ORDER BY u ROWS BETWEEN CURRENT ROW AND {MOST - 2} FOLLOWING) AS ahead,
+      max(CASE WHEN anchor THEN u END) OVER (
+        PARTITION BY doc_id ORDER BY u ROWS BETWEEN {MOST - 1} PRECEDING AND 1 PRECEDING) AS back FROM flagged),
+  spans AS (
+    SELECT doc_id, u AS a, coalesce(ahead + 2, least(u + {MOST}, nu)) AS b FROM near WHERE u < nu - 1
+    UNION SELECT doc_id, coalesce(back, greatest(u - {MOST - 1}, 0)), u + 1 FROM near WHERE u > 0),
+  listed AS (
+    SELECT doc_id, list(line ORDER BY u) AS solid_lines, list(i ORDER BY u) AS starts, list(after ORDER BY u) AS stops
+    FROM solid GROUP BY doc_id),
+  bodies AS (
+    SELECT doc_id, a, starts[a + 1] AS start, stops[b] AS stop, array_to_string(solid_lines[a + 1:b], chr(10)) AS body
+    FROM spans JOIN listed USING (doc_id)),
+  marked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) > 1 AS gone FROM bodies),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS i, true AS gone FROM marked WHERE gone),
   deduped AS (
     SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(m.body, '') END AS text, coalesce(m.n_removed, 0) AS n_removed
     FROM {{docs}} d LEFT JOIN (
-      SELECT doc_id, string_agg(body, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS body,
-        coalesce(sum(n) FILTER (WHERE gone), 0)::INTEGER AS n_removed FROM marked GROUP BY doc_id) m USING (doc_id))"""
+      SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone IS NULL) AS body,
+        (count(*) FILTER (WHERE gone))::INTEGER AS n_removed FROM lines LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id) m USING (doc_id))"""

@@ -6,32 +6,36 @@ import random
 from kinetrail.llm import lines
 
 
-def plain(rows, cut=lines.CUT):
-    def chunks(text):
-        out, now, before = [], [], 0
-        for line in text.split("\n"):
-            h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
-            now.append(line)
-            if (h + lines.MIX * before) % cut == 0:
-                out.append(now)
-                now = []
-            before = h
-        return out + [now] if now else out
+def plain(rows, cut=lines.CUT, long=lines.LONG, most=lines.MOST):
+    def spans(text):
+        """(start, stop, body) of every chunk of a text."""
+        every = text.split("\n")
+        at = [k for k, line in enumerate(every) if line.strip(" \t\r")]
+        solid, at = [every[k] for k in at], at + [len(every)]
+        h = [int(hashlib.md5(line.encode()).hexdigest()[:7], 16) for line in solid]
+        anchor = [(h[k + 1] + lines.MIX * h[k]) % cut == 0 or len(solid[k] + solid[k + 1]) >= long for k in range(len(solid) - 1)]
+        found = set()
+        for u in range(len(solid)):
+            b = u + 1
+            while b < len(solid) and b < u + most and not (b > u + 1 and anchor[b - 2]):
+                b += 1
+            a = u
+            while a > 0 and a > u + 1 - most and not (a < u and anchor[a]):
+                a -= 1
+            found |= {(u, b), (a, u + 1)}
+        return [(at[a], at[b], "\n".join(solid[a:b])) for a, b in sorted(found) if b - a > 1]
 
-    seen, result = set(), {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
+    seen, result = {}, {}
+    rows = sorted(rows, key=lambda r: r[0])
+    for i, text in rows:
         if text is None:
             result[i] = (None, 0)
             continue
-        keep, gone = [], 0
-        for c in chunks(text):
-            body = "\n".join(c)
-            if len(c) >= 2 and body in seen:
-                gone += len(c)
-            else:
-                seen.add(body)
-                keep.append(body)
-        result[i] = ("\n".join(keep), gone)
+        every, gone = text.split("\n"), set()
+        for start, stop, body in spans(text):
+            if seen.setdefault(body, (i, start)) != (i, start):
+                gone.update(range(start, stop))
+        result[i] = ("\n".join(x for k, x in enumerate(every) if k not in gone), len(gone))
     return result
 
 
@@ -70,3 +74,28 @@ def test_sql_agrees(spark):
     names = [c[0] for c in rel.description]
     got = QUERIES["op3_line_dedup"](spark, d)
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, rel.fetchall())
+
+
+def test_passages_go_whole(spark):
+    """Passages between foreign lines: of over 50 words whole, however few their lines; of ten short lines nearly always."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = [[line(60 // m) for _ in range(m)] for m in (2, 3, 4) for _ in range(20)] + [[line(3) for _ in range(10)] for _ in range(40)]
+    rows = [(2 * k + copy, "\n".join([line(4), line(5), "", *p, "", "", line(6), line(3)])) for k, p in enumerate(passages) for copy in (0, 1)]
+    got = {r.doc_id: r.text.split("\n") for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("\n".join(got[2 * k]) == rows[2 * k][1] for k in range(len(passages)))
+    left = [sum(x in got[2 * k + 1] for x in p) for k, p in enumerate(passages)]
+    assert not any(left[:60]) and sum(n == 0 for n in left[60:]) >= 38
+    assert all(len(got[2 * k + 1]) >= 5 for k in range(len(passages)))  # foreign lines and the blank line before the passage stay
+
+
+def test_runs_without_an_anchor(spark):
+    """Thousands of lines of which no two are an anchor: chunks end after ``most`` lines; every line of the copy goes."""
+    pool = [str(k) for k in range(200)]
+    odd = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:7], 16) % 2
+    x, y = next(p for p in pool if odd(p)), next(p for p in pool if not odd(p))
+    text = "\n".join([x, y] * 10_000)
+    rows = [(1, text), (2, text), (3, "x\n\n\n\ny"), (4, "z\n\n\n\nw")]
+    got = {r.doc_id: (r.text, r._n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows) and got[2] == ("", 20_000) and got[4] == (rows[3][1], 0)
