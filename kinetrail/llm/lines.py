@@ -9,10 +9,11 @@ own lines, whatever stands around it.  Chunks of two lines or more that occur mo
 than once anywhere are found by hash, then compared by their bytes; the first
 occurrence stays.  Blank lines belong to the line before them and are not compared.
 
-Chunking stays inside a row; only hashes are counted over the whole corpus, and
-only chunks whose hash repeats are shuffled with their text.  A chunk in a third
-of all documents is counted by partial aggregates, and its rows meet the one row
-of the repeated chunk in sort-merge joins that adaptive execution can split.
+Texts are moved once, into a table bucketed by row.  Chunking stays inside a row;
+only hashes are counted over the whole corpus, and only chunks whose hash repeats
+are shuffled with their text, once.  A hash in a third of all documents is counted
+by partial aggregates and dealt to groups of bounded size; only the groups' firsts
+meet again.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrail.plans.stage import written
+from kinetrail.plans.stage import fresh_path, written
 
 CUT = 2
 MIX = 7  # weight of the line before in the rolling hash
 LONG = 120  # characters of two neighbouring lines that make them an anchor whatever their hash
+GROUP = 512  # about so many chunks of one hash are compared in one group
 MOST = 16  # lines of a chunk at most: without an anchor it ends there
 
 
@@ -33,6 +35,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _bucketed(df: DataFrame, key: str, make) -> DataFrame:
+    """``make(df)`` as a table in the shared folder, bucketed by ``key``: joins on it move no text again."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "chunks")
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), "chunks_" + path.rsplit("-", 1)[1]
+    make(df.repartition(n, key)).write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(
+        name, format="parquet")
+    return spark.table(name)
+
+
 def _solid(line: Column) -> Column:
     return line.rlike("[^ \\t\\r]")
 
@@ -93,24 +104,33 @@ def dedup_lines(docs: DataFrame, cut: int = CUT, long: int = LONG, most: int = M
     documents of their own, so the later copy loses its repeated chunks; an empty
     table gives no rows.  All columns are kept; ``_n_removed`` (lines removed,
     blank ones included) is added.
+
+    Rows are numbered before they are dealt to buckets, so a repeated task must read
+    its rows in the same order: pass a table, as the query and the pipeline do.
     """
     own = F.struct(*[F.col(c) for c in docs.columns if c != text_col])  # one column: no clash with ours
-    base = written(docs.select(
+    base = _bucketed(docs.select(
         own.alias("own"), F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-        F.split(F.col(text_col), "\n", -1).alias("lines")).withColumn(
-            "chunks", _chunks(F.col("lines"), cut, long, most)), "chunks")
-    repeated = base.select(F.explode("chunks.h").alias("h")).groupBy("h").count().filter("count > 1").select("h")
+        F.split(F.col(text_col), "\n", -1).alias("lines")), "rid", lambda df: df.withColumn(
+            "chunks", _chunks(F.col("lines"), cut, long, most)))
+    repeated = base.select(F.explode("chunks.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     places = base.select("rid", F.explode("chunks").alias("c")).select("rid", "c.*")
-    wanted = places.join(repeated, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "start", "stop")).alias("spans"))
+    # a hash of very many chunks is dealt to several groups
+    share = F.pmod(F.xxhash64("rid", "start"), F.floor(F.col("n") / GROUP) + 1)
+    # a set: in a text without an anchor a chunk may be both opened and closed
+    wanted = places.join(repeated, "h").groupBy("rid").agg(F.collect_set(F.struct(
+        "h", share.alias("share"), (F.col("n") >= GROUP).alias("hot"), "start", "stop")).alias("spans"))
     bodies = F.transform("spans", lambda s: F.struct(
-        s["h"].alias("h"), s["start"].alias("start"), s["stop"].alias("stop"),
-        _body(F.slice("lines", s["start"] + 1, s["stop"] - s["start"])).alias("body")))
-    candidates = written(base.select("id", "rid", "lines").join(wanted, "rid").select(
-        "id", "rid", F.explode(bodies).alias("c")).select("id", "rid", "c.*"), "candidates")
-    first = candidates.groupBy("h", "body").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rid", "start")).alias("first")).filter("n > 1")
-    later = candidates.alias("c").join(first.alias("f"), (F.col("c.h") == F.col("f.h")) & (F.col("c.body") == F.col("f.body"))).filter(
-        (F.col("c.rid") != F.col("f.first.rid")) | (F.col("c.start") != F.col("f.first.start"))).select("c.rid", "c.start", "c.stop")
+        s.alias("s"), _body(F.slice("lines", s["start"] + 1, s["stop"] - s["start"])).alias("body")))
+    candidates = base.select("id", "rid", "lines").join(wanted, "rid").select(
+        "id", "rid", F.explode(bodies).alias("c")).select("id", "rid", "c.s.*", "c.body")
+    # equal bytes are ranked in their group; only the first of a group of a hot hash has to meet the other groups' firsts
+    place = F.row_number().over(Window.partitionBy("h", "share", "body").orderBy("id", "rid", "start"))
+    ranked = written(candidates.withColumn("_place", place).withColumn(
+        "body", F.when(F.col("hot") & (F.col("_place") == 1), F.col("body"))), "candidates")
+    among = F.row_number().over(Window.partitionBy("h", "body").orderBy("id", "rid", "start"))
+    firsts = ranked.filter("hot and _place = 1").withColumn("_among", among).filter("_among > 1")
+    later = ranked.filter("_place > 1").select("rid", "start", "stop").unionAll(firsts.select("rid", "start", "stop"))
     # overlapping and touching spans of a document become one
     so_far = Window.partitionBy("rid").orderBy("start", "stop")
     opens = (F.col("start") > F.max("stop").over(so_far.rowsBetween(Window.unboundedPreceding, -1))).cast("int")

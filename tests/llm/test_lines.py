@@ -99,3 +99,12 @@ def test_runs_without_an_anchor(spark):
     rows = [(1, text), (2, text), (3, "x\n\n\n\ny"), (4, "z\n\n\n\nw")]
     got = {r.doc_id: (r.text, r._n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain(rows) and got[2] == ("", 20_000) and got[4] == (rows[3][1], 0)
+
+
+def test_hot_chunk(spark, monkeypatch):
+    """One passage in all documents, dealt to many groups: it stays in the first document only."""
+    monkeypatch.setattr(lines, "GROUP", 4)
+    passage = ["a passage of " * 6, "three long lines that " * 4, "everyone quotes " * 5]
+    rows = [(k, "\n".join([f"own {k}", *passage, f"end {k}"])) for k in range(300)]
+    got = {r.doc_id: (r.text, r._n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == plain(rows) and got[0][1] == 0 and all(got[k][1] == 3 for k in range(1, 300))
