@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from kinetrail.functions import geometry as geo
 from kinetrail.operators.motion import ACCEL, GYRO, magnitude
 from kinetrail.operators.windows import (
-    AROUND, _scaled, frame_rows, local_maxima, rolling_mean, rolling_variance, widest, windowed_scaled,
+    AROUND, _scaled, frame_rows, local_maxima, rolling_mean, rolling_variance, wide_sums, widest,
+    windowed_scaled,
 )
 from kinetrail.plans.blocks import BLOCK, block_rows, lookup, neighbours, per_key, settle, windowed
 from kinetrail.plans.joins import time_range_join
@@ -68,7 +69,13 @@ def rest_scores(series: DataFrame, keys: Sequence[str], window_s: float = 0.05,
         frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*AROUND)
         return {"mean_mag": F.avg("_mag").over(frame)}
 
-    near = settle(windowed_scaled(x, keys, build, halo, halo, rows).drop("_w", "_u"))
+    if halo > rows:
+        around = wide_sums(x, keys, {"_total": F.col("_mag"), "_count": F.col("_mag").isNotNull().cast("double")},
+                           F.col("i") - F.col("_w"), F.col("i") + F.col("_w") - 1)
+        near = around.withColumn("mean_mag", F.when(F.col("_count") > 0, F.col("_total") / F.col("_count"))).drop("_total", "_count", "_w")
+    else:
+        near = windowed_scaled(x, keys, build, halo, halo, rows).drop("_w", "_u")
+    near = settle(near)
     med = per_key(series, keys).join(
         exact_medians(near, keys, {"_ma": "_av", "_mg": "_gv"}), list(keys))
     scored = lookup(near, keys, med)

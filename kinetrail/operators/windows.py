@@ -1,5 +1,7 @@
 """Ordered operators on a blocked series: rolling statistics, smoothing,
-gradients, quiet windows, runs and lobes."""
+gradients, quiet windows, runs and lobes.
+
+A window wider than a block is summed from running totals (:func:`wide_sums`)."""
 
 from __future__ import annotations
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinetrail.operators.motion import GYRO, magnitude
 from kinetrail.plans.blocks import (
-    BLOCK, block_rows, lookup, neighbours, ordinal, per_key, prefix, reblock, runs, windowed,
+    BLOCK, block_rows, lookup, neighbours, ordinal, per_key, prefix, reblock, runs, settle, windowed,
 )
 
 _SCALE = 1 << 20   # window lengths are measured in units of 1 / _SCALE
@@ -32,10 +34,59 @@ def frame_rows(seconds: float, least: int, fs: Column | str = "fs") -> Column:
 
 def widest(series: DataFrame, width: Column) -> int:
     """Rows of the widest window of the data (one number); they border a block."""
-    rows = series.agg(F.max(width)).first()[0] or 1
-    if rows > block_rows(series.sparkSession):
-        raise ValueError(f"a window of {rows} rows is wider than a block; raise kinetrail.blockRows")
-    return int(rows)
+    return int(series.agg(F.max(width)).first()[0] or 1)
+
+
+def wide_sums(x: DataFrame, keys: Sequence[str], sums: dict[str, Column], lo: Column, hi: Column) -> DataFrame:
+    """Sums over the rows ``lo`` to ``hi`` of the key (clipped), for windows wider than a block.
+
+    A window is the running total at its last row less the one before its first;
+    both are met by position, so its width neither copies rows nor costs time.
+    Nulls count as nothing.  A window that holds a NaN or an infinity gives NaN, and
+    others are not touched by it.  A window beyond the key's rows sums what is there.
+    """
+    totals: dict[str, tuple[str, Column]] = {}
+    for o, c in sums.items():
+        odd = F.isnan(c) | (F.abs(c) == float("inf"))
+        totals[f"_sum_{o}"] = ("sum", F.when(~odd, c))
+        totals[f"_odd_{o}"] = ("sum", odd.cast("long"))
+    first, last = F.greatest(lo, F.lit(0)).cast("long"), F.least(hi, F.col("n") - 1).cast("long")
+    run = settle(prefix(x.withColumns({"_first": first, "_last": last}), keys, totals))
+    ends = run.select(*keys, "i", F.struct(*[F.coalesce(F.col(o).cast("double"), F.lit(0.0)).alias(o) for o in totals]).alias("_c"))
+    at_last = ends.select(*keys, F.col("i").alias("_last"), F.col("_c").alias("_up"))
+    before = ends.select(*keys, (F.col("i") + 1).alias("_first"), F.col("_c").alias("_down"))
+    met = run.drop(*totals).join(at_last, [*keys, "_last"], "left").join(before, [*keys, "_first"], "left")
+
+    def between(name: str) -> Column:
+        return F.col(f"_up.{name}") - F.coalesce(F.col(f"_down.{name}"), F.lit(0.0))
+
+    return met.withColumns({o: F.when(between(f"_odd_{o}") > 0, float("nan")).otherwise(between(f"_sum_{o}")) for o in sums}).drop(
+        "_first", "_last", "_up", "_down")
+
+
+def _wide_variance(x: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """:func:`rolling_variance` of ``_x_*`` by :func:`wide_sums`, taken from the key's first value."""
+    ends = per_key(x, keys, *[f(F.col(f"_x_{o}"), F.col("i")).alias(f"_{t}_{o}") for o in values for f, t in (
+        (F.min_by, "a"), (F.max_by, "b"))])
+    met = lookup(x, keys, ends)
+    pad = F.floor(F.col("_w") / 2)
+    sums, out = {}, {}
+    left = F.greatest(pad - F.col("i"), F.lit(0))
+    right = F.greatest(F.col("i") + F.col("_w") - pad - F.col("n"), F.lit(0))
+    for o in values:
+        a, b = F.col(f"_a_{o}"), F.col(f"_b_{o}")
+        shift = F.when(a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")), a).otherwise(0.0)
+        sums[f"_s1_{o}"] = F.col(f"_x_{o}") - shift
+        sums[f"_s2_{o}"] = sums[f"_s1_{o}"] * sums[f"_s1_{o}"]
+        # beyond the key's ends the end values repeat; an end counts only where it does
+        s1, s2 = F.col(f"_s1_{o}"), F.col(f"_s2_{o}")
+        for times, end in ((left, a - shift), (right, b - shift)):
+            s1 = s1 + F.when(times > 0, times * end).otherwise(0.0)
+            s2 = s2 + F.when(times > 0, times * end * end).otherwise(0.0)
+        mean = s1 / F.col("_w")
+        out[o] = F.greatest(s2 / F.col("_w") - mean * mean, F.lit(0.0))
+    got = wide_sums(met, keys, sums, F.col("i") - pad, F.col("i") - pad + F.col("_w") - 1).withColumns(out)
+    return got.drop(*sums, *[f"_{t}_{o}" for o in values for t in "ab"])
 
 
 def _scaled(series: DataFrame, width: Column) -> DataFrame:
@@ -62,6 +113,8 @@ def rolling_variance(
     rows = block_rows(series.sparkSession)
     halo = widest(series, width) if halo is None else halo
     x = _scaled(series.withColumns({f"_x_{o}": c for o, c in values.items()}), width)
+    if halo > rows:
+        return _wide_variance(x, keys, list(values)).drop("_w", *[f"_x_{o}" for o in values])
 
     def build(w):
         frame = W.partitionBy(*keys, BLOCK).orderBy("_u").rangeBetween(*CENTRED)
@@ -202,8 +255,13 @@ def stillest_window(
         mean = F.sum("_x").over(frame) / F.col("_w")
         return {"_var": F.sum(F.col("_x") * F.col("_x")).over(frame) / F.col("_w") - mean * mean}
 
-    scored = windowed_scaled(x, keys, build, 0, halo, rows).filter(
-        F.col("i") <= F.col("_end") - F.col("_w"))
+    if halo > rows:
+        mean = F.col("_s1") / F.col("_w")
+        scored = wide_sums(x, keys, {"_s1": F.col("_x"), "_s2": F.col("_x") * F.col("_x")}, F.col("i"), F.col("i") + F.col("_w") - 1).withColumn(
+            "_var", F.col("_s2") / F.col("_w") - mean * mean)
+    else:
+        scored = windowed_scaled(x, keys, build, 0, halo, rows)
+    scored = scored.filter(F.col("i") <= F.col("_end") - F.col("_w"))
     best = scored.groupBy(*keys).agg(F.min_by("i", F.struct("_var", "i")).alias("_best"))
     short = F.col("_end") <= F.col("_len")
     start = F.when(short, F.lit(0)).otherwise(F.col("_best"))
@@ -239,7 +297,11 @@ def hold_windows(
         frame = W.partitionBy(*part, BLOCK).orderBy("_u").rangeBetween(*FORWARD)
         return {"_score": F.sum("_x").over(frame) / F.col("_w")}
 
-    scored = windowed_scaled(x, part, build, 0, halo, rows)
+    if halo > rows:
+        scored = wide_sums(x, part, {"_sum": F.col("_x")}, F.col("i"), F.col("i") + F.col("_w") - 1).withColumn(
+            "_score", F.col("_sum") / F.col("_w")).drop("_sum")
+    else:
+        scored = windowed_scaled(x, part, build, 0, halo, rows)
     best = scored.filter(F.col("i") <= F.col("n") - F.col("_w")).groupBy(*part).agg(
         F.max("n").alias("n"), F.min_by("i", F.struct("_score", "i")).alias("start_k"))
     picked = lookup(scored.drop("_score", "_u", "_x"), part, best, "inner").filter(

@@ -348,3 +348,30 @@ def test_thinned_peaks_cross_blocks(small_blocks, shape):
         if all(abs(at[p] - k) >= 9 for k in kept):
             kept.append(at[p])
     assert sorted(r["i"] for r in thin_by_distance(df, KEY, "h", 9).collect()) == sorted(kept)
+
+
+def test_windows_wider_than_a_block_agree_with_frames(small_blocks):
+    """NaN at a key's ends and inside, an infinity, a large offset, keys shorter than their window."""
+    from kinetrail.operators.windows import rolling_variance
+
+    rng = np.random.default_rng(8)
+    odd = {(1, 60): float("nan"), (1, 150): float("inf"), (4, 0): float("nan"), (4, 99): float("nan")}
+    rows = [(k, float(i), odd.get((k, i), float(i % 7 + 1e6 + rng.random()))) for k, n in ((1, 200), (2, 5), (3, 1), (4, 100)) for i in range(n)]
+    df = small_blocks.createDataFrame(rows, "key long, t double, x double")
+    got = {}
+    for blocks in ("7", "500"):
+        small_blocks.conf.set("kinetrail.blockRows", blocks)
+        s = index_series(df, KEY, ["t"])
+        width = F.when(F.col("key") == 1, 20).otherwise(9).cast("long")
+        got[blocks] = rolling_variance(s, KEY, {"vx": F.col("x")}, width).toPandas().sort_values(["key", "i"])
+    wide, plain = got["7"], got["500"]
+    assert len(wide) == len(rows) and list(wide["key"]) == list(plain["key"])
+    x = np.array([r[2] for r in rows])
+    for (_, g), at in zip(wide.groupby("key"), (slice(0, 200), slice(200, 205), slice(205, 206), slice(206, 306))):
+        v, w = x[at], 20 if g["key"].iloc[0] == 1 else 9
+        for i, have in zip(g["i"], g["vx"]):
+            part = v[np.clip(np.arange(i - w // 2, i - w // 2 + w), 0, len(v) - 1)]
+            if np.isfinite(part).all():
+                assert abs(have - part.var()) < 1e-6
+            else:
+                assert np.isnan(have)

@@ -16,7 +16,7 @@ QUICK = ("w1_spacing w2_double_integral w2_exact_final p2_rotations p4_world_acc
          "m1_resample_reps k2_triple_hypotheses s8_pair_clip").split()
 # these look across block borders in every way the layout allows
 BORDERS = ("w1_spacing w2_double_integral w2_exact_final w3_rolling_variance w4_smooth w5_stillest_window w6_hold_windows w8_runs "
-           "w9_sign_lobes w12_refractory_events w15_gradient v16_stationary_mask j1_interval_join c4_knot_detrend "
+           "w9_sign_lobes w12_refractory_events w13_rest_instants w15_gradient v16_stationary_mask j1_interval_join c4_knot_detrend "
            "j12_lag_correlation g2_impact_cycles").split()
 
 
@@ -33,6 +33,13 @@ def test_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", BORDERS)
 def test_matches_sql_with_tiny_blocks(small_blocks, con, name):
-    small_blocks.conf.set("kinetrail.blockRows", "1100" if "w3" in name or "w5" in name or "w6" in name or "v16" in name else "7")
+    ok, message, _ = compare(small_blocks, con, name, CATALOG[name], SF)
+    assert ok, message
+
+
+@pytest.mark.parametrize("name", "w3_rolling_variance w5_stillest_window w6_hold_windows v16_stationary_mask".split())
+def test_windows_within_a_block(small_blocks, con, name):
+    """The same by frames over copied border rows; seven rows a block take the way by running totals."""
+    small_blocks.conf.set("kinetrail.blockRows", "1100")
     ok, message, _ = compare(small_blocks, con, name, CATALOG[name], SF)
     assert ok, message
