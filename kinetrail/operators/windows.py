@@ -65,17 +65,19 @@ def wide_sums(x: DataFrame, keys: Sequence[str], sums: dict[str, Column], lo: Co
 
 
 def _wide_variance(x: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """:func:`rolling_variance` of ``_x_*`` by :func:`wide_sums`, taken from the key's first value."""
-    ends = per_key(x, keys, *[f(F.col(f"_x_{o}"), F.col("i")).alias(f"_{t}_{o}") for o in values for f, t in (
-        (F.min_by, "a"), (F.max_by, "b"))])
+    """:func:`rolling_variance` of ``_x_*`` by :func:`wide_sums`, taken from the key's first finite value."""
+    def plain(v: Column) -> Column:
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+    ends = per_key(x, keys, *[f(F.col(f"_x_{o}"), at).alias(f"_{t}_{o}") for o in values for f, at, t in (
+        (F.min_by, F.col("i"), "a"), (F.max_by, F.col("i"), "b"), (F.min_by, F.when(plain(F.col(f"_x_{o}")), F.col("i")), "c"))])
     met = lookup(x, keys, ends)
     pad = F.floor(F.col("_w") / 2)
     sums, out = {}, {}
     left = F.greatest(pad - F.col("i"), F.lit(0))
     right = F.greatest(F.col("i") + F.col("_w") - pad - F.col("n"), F.lit(0))
     for o in values:
-        a, b = F.col(f"_a_{o}"), F.col(f"_b_{o}")
-        shift = F.when(a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")), a).otherwise(0.0)
+        a, b, shift = F.col(f"_a_{o}"), F.col(f"_b_{o}"), F.coalesce(F.col(f"_c_{o}"), F.lit(0.0))
         sums[f"_s1_{o}"] = F.col(f"_x_{o}") - shift
         sums[f"_s2_{o}"] = sums[f"_s1_{o}"] * sums[f"_s1_{o}"]
         # beyond the key's ends the end values repeat; an end counts only where it does
@@ -86,7 +88,7 @@ def _wide_variance(x: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
         mean = s1 / F.col("_w")
         out[o] = F.greatest(s2 / F.col("_w") - mean * mean, F.lit(0.0))
     got = wide_sums(met, keys, sums, F.col("i") - pad, F.col("i") - pad + F.col("_w") - 1).withColumns(out)
-    return got.drop(*sums, *[f"_{t}_{o}" for o in values for t in "ab"])
+    return got.drop(*sums, *[f"_{t}_{o}" for o in values for t in "abc"])
 
 
 def _scaled(series: DataFrame, width: Column) -> DataFrame:
