@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -68,19 +70,48 @@ def suppress(dets: DataFrame, fixed: DataFrame, radius: float = 3.0) -> DataFram
 def merge_close_points(dets: DataFrame, merge_px: float = 3.0) -> DataFrame:
     """Of points closer than ``merge_px`` keep the stronger, strongest first.
 
-    The points of a frame are folded in one array; compose :func:`strongest` to
-    look at fewer.
+    Chosen in rounds over cells so small that points of one cell exclude each other:
+    only a cell's strongest open point can be kept, and it is kept if no stronger
+    open point of the cells around lies within ``merge_px``; then open points near a
+    kept one go.  A point meets at most one candidate a cell, so a frame of very many
+    points is spread over its cells.  Rounds follow the longest chain of neighbours
+    of falling strength.  Points without finite coordinates are near to nothing and stay.
     """
-    top = strongest(dets, None)
-    item = F.struct("r", "y", "x", "event_id", "strength")
-    frames = top.groupBy(*FRAME).agg(F.array_sort(F.collect_list(item)).alias("_p"))
-
-    def step(kept, p):
-        clash = F.exists(kept, lambda q: F.hypot(q["y"] - p["y"], q["x"] - p["x"]) <= merge_px)
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(p)))
-
-    none = F.slice("_p", 1, 0)
-    return frames.withColumn("_k", F.explode(F.aggregate("_p", none, step))).select(*FRAME, "_k.*")
+    top = settle(strongest(dets, None).select(*FRAME, "r", "y", "x", "event_id", "strength"))
+    if merge_px <= 0:
+        same = W.partitionBy(*FRAME, "y", "x").orderBy("r")
+        first = (F.row_number().over(same) == 1) | ~_placed() if merge_px == 0 else F.lit(True)
+        return top.withColumn("_first", first).filter("_first").drop("_first")
+    side = 0.7 * merge_px
+    open_points = top.filter(_placed()).select(*FRAME, "r", "y", "x", _cell("y", side).alias("_row"), _cell("x", side).alias("_col"))
+    kept = [top.filter(~_placed()).select(*FRAME, "r")]
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)]))
+    at = [*FRAME, "_row", "_col"]
+    near = F.hypot(F.col("y") - F.col("_y"), F.col("x") - F.col("_x")) <= merge_px
+
+    def around(points: DataFrame) -> DataFrame:
+        laid = points.withColumn("_s", steps)
+        return laid.select(*FRAME, F.col("r").alias("_r"), F.col("y").alias("_y"), F.col("x").alias("_x"),
+                           (F.col("_row") + F.col("_s.a")).alias("_row"), (F.col("_col") + F.col("_s.b")).alias("_col"))
+
+    while not open_points.isEmpty():
+        best = settle(open_points.groupBy(*at).agg(F.min_by(F.struct("r", "y", "x"), "r").alias("_b")).select(*at, "_b.*"))
+        beaten = open_points.join(around(best), at).filter(near & (F.col("r") < F.col("_r"))).select(
+            *FRAME, F.col("_r").alias("r")).distinct()
+        chosen = settle(best.join(beaten, [*FRAME, "r"], "left_anti"))
+        kept.append(chosen.select(*FRAME, "r"))
+        if len(kept) > 16:
+            kept = [settle(reduce(DataFrame.unionByName, kept))]
+        o, c = open_points.alias("o"), around(chosen).alias("c")
+        same_cell = reduce(and_, [F.col(f"o.{k}") == F.col(f"c.{k}") for k in at])
+        open_points = settle(o.join(c, same_cell & near, "left_anti"))
+    return top.join(reduce(DataFrame.unionByName, kept), [*FRAME, "r"], "left_semi")
+
+
+def _placed() -> Column:
+    """Both coordinates are finite numbers."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("y", "x")]
+    return finite[0] & finite[1]
 
 
 def _cell(c: str, reach: float) -> Column:

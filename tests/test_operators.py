@@ -375,3 +375,34 @@ def test_windows_wider_than_a_block_agree_with_frames(small_blocks):
                 assert abs(have - part.var()) < 1e-6
             else:
                 assert np.isnan(have)
+
+
+def test_close_points_merge_strongest_first_in_any_crowd(spark):
+    """A crowd in few cells, a chain of falling strength, ties, lost coordinates, a frame of 100,000 points."""
+    from kinetrail.operators.tracks import merge_close_points
+
+    rng = np.random.default_rng(6)
+    frames = {1: [(*map(float, rng.random(2) * 30), float(rng.integers(5))) for _ in range(400)],
+              2: [(0.0, 2.0 * k, 100.0 - k) for k in range(40)],
+              3: [(1.0, 1.0, 5.0)] * 50 + [(float("nan"), 1.0, 9.0), (None, 1.0, 8.0), (1.0, float("inf"), 7.0)]}
+    rows = [("c", f, k, *p) for f, points in frames.items() for k, p in enumerate(points)]
+    schema = "clip_id string, f long, event_id long, y double, x double, strength double"
+    want = set()
+    for f, points in frames.items():
+        chosen = []
+        for k in sorted(range(len(points)), key=lambda k: (-points[k][2], k)):
+            y, x, _ = points[k]
+            if y is None or not any(q[0] is not None and math.hypot(y - q[0], x - q[1]) <= 3.0 for q in chosen):
+                chosen.append(points[k])
+                want.add((f, k))
+    dets = spark.createDataFrame(rows, schema)
+    assert {(r.f, r.event_id) for r in merge_close_points(dets, 3.0).collect()} == want
+    assert merge_close_points(dets.filter("f = 3"), 0.0).count() == 4 and merge_close_points(dets.limit(0), 3.0).count() == 0
+    many = spark.range(100_000).selectExpr("'c' clip_id", "7L f", "id event_id", "rand(1) * 300 y", "rand(2) * 300 x", "rand(3) strength").persist()
+    left = merge_close_points(many, 3.0).toPandas()
+    cells = {}
+    for y, x in zip(left.y, left.x):
+        assert not any(math.hypot(y - q, x - p) <= 3.0 for a in (-1, 0, 1) for b in (-1, 0, 1)
+                       for q, p in cells.get((int(y // 3) + a, int(x // 3) + b), ()))
+        cells.setdefault((int(y // 3), int(x // 3)), []).append((y, x))
+    assert len(left) > 3000
