@@ -5,7 +5,7 @@ request and a metadata record, tied by ``WARC-Concurrent-To``.  Archives are
 written by Spark's text sink, whose line end is the record end (two CRLF), so
 they go wherever Spark can write; a file holds ``records_per_file`` records at
 most.  They are read as binary files and cut by Content-Length, one record
-after the other, and captures are assembled by equi-joins on record ids.
+after the other as they are inflated, and captures are assembled by equi-joins on record ids.
 """
 
 from __future__ import annotations
@@ -86,34 +86,64 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 # ---------------------------------------------------------------- reading ---
 
 
-def inflate(data: bytes) -> bytes:
-    """Plain bytes of a gzip file of one or many members; other files as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data.lstrip(b"\x00")
-    return b"".join(out)
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """Plain bytes of a gzip file of one or many members, ``step`` at most at once; other files as they are."""
+    view = memoryview(data)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[k:k + step]) for k in range(0, len(view), step))
+        return
+    at, z = 0, zlib.decompressobj(31)
+    while at < len(view) or z.unconsumed_tail or z.unused_data:
+        if z.eof:  # the next member, behind padding
+            at -= len(z.unused_data)
+            while at < len(view) and view[at] == 0:
+                at += 1
+            if at == len(view):
+                return
+            z = zlib.decompressobj(31)
+        more = z.unconsumed_tail
+        if not more:
+            more = view[at:at + step]
+            at += len(more)
+        yield z.decompress(more, step)
+    yield z.flush()
+
+
+def records_in(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record of an archive that comes in
+    parts; no more than a record and a part are held."""
+    parts, held, at, gone = iter(parts), bytearray(), 0, 0
+
+    def more() -> bool:
+        nonlocal at, gone
+        part = next(parts, None)
+        if part is None:
+            return False
+        gone += at
+        del held[:at]
+        at = 0
+        held.extend(part)
+        return True
 
-
-def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of an archive."""
-    at = 0
     while True:
-        while data[at:at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        while held[at:at + 2] == CRLF.encode() or (len(held) - at < 2 and more()):
+            at += 2 if held[at:at + 2] == CRLF.encode() else 0
+        if at >= len(held):
             return
-        end = data.find(b"\r\n\r\n", at)
-        head = data[at:end].decode("utf-8", "replace").split(CRLF)
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", at + seen)) < 0:
+            seen = max(len(held) - at - 3, 0)
+            if not more():
+                break
+        head = held[at:max(end, at)].decode("utf-8", "replace").split(CRLF)
         if end < 0 or not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {gone + at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head[1:])}
-        size = int(fields["content-length"])
-        yield fields, data[end + 4:end + 4 + size]
-        at = end + 4 + size
+        size, start = int(fields["content-length"]), end + 4 - at
+        while len(held) - at < start + size and more():
+            pass
+        yield fields, bytes(held[at + start:at + start + size])
+        at += start + size
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -131,7 +161,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for f, block in records_in(inflate(content.as_py())):
+                for f, block in records_in(inflated(content.as_buffer())):
                     payload = block.partition(b"\r\n\r\n")[2] if f.get("content-type", "").startswith("application/http") else block
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     rows.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-concurrent-to"), f.get("warc-refers-to"),

@@ -4,14 +4,33 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from kinetrail.llm import warc
 
 
 def test_records_of_gzip_members():
     one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nab\r\n\r\ncd\n\r\n\r\n"
     data = gzip.compress(one) + gzip.compress(one)
-    assert [b for _, b in warc.records_in(warc.inflate(data))] == [b"ab\r\n\r\ncd\n"] * 2
-    assert list(warc.records_in(b"")) == []
+    for step in (1, 2, 7, 1 << 20):  # parts that end anywhere
+        for archive in (data, one + one, gzip.compress(one) + b"\0" * 9 + gzip.compress(one) + b"\0"):
+            assert [b for _, b in warc.records_in(warc.inflated(archive, step))] == [b"ab\r\n\r\ncd\n"] * 2
+    assert list(warc.records_in(warc.inflated(b""))) == [] == list(warc.records_in(warc.inflated(gzip.compress(b""))))
+    with pytest.raises(ValueError):
+        list(warc.records_in(warc.inflated(one + b"no record")))
+
+
+def test_inflation_holds_a_record_at_most():
+    """64 records of 1 MB that compress to little: the peak stays at a few records."""
+    import tracemalloc
+
+    one = b"WARC/1.1\r\nContent-Length: 1000000\r\n\r\n" + b"a" * 1_000_000 + b"\r\n\r\n"
+    data = gzip.compress(one * 64)
+    tracemalloc.start()
+    assert sum(len(b) for _, b in warc.records_in(warc.inflated(data))) == 64_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
 
 
 def test_round_trip(spark):
