@@ -1,10 +1,14 @@
 """Exact quantiles for groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one
-task.  Here a mergeable sketch first brackets the wanted rank; only values
-inside the bracket are then ranked, and the number below it is a plain count.
+task.  Here groups of at most a block of rows are ranked as they are; in a larger
+one a mergeable sketch first brackets the wanted rank, only values inside the
+bracket are then ranked, and the number below it is a plain count.
 The answer is exact (linear interpolation between order statistics) because
 the sketch's rank error is bounded and the bracket is wider than that bound.
+
+The values are written once before any of this: a mean computed again, its rows
+added in another order, may differ in the last bit from the bracket it belongs to.
 """
 
 from __future__ import annotations
@@ -15,8 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetrail.plans.blocks import settle
+
 ACCURACY = 100_000
 SALTS = 64
+WHOLE = 65_536   # rows of a group that is ranked without a sketch
 
 
 def exact_quantiles(
@@ -24,6 +31,7 @@ def exact_quantiles(
     keys: Sequence[str],
     wanted: dict[str, tuple[Column | str, float]],
     accuracy: int = ACCURACY,
+    whole: int = WHOLE,
 ) -> DataFrame:
     """One row per key with a column per entry of ``wanted``: name -> (value, q)."""
     names = list(wanted)
@@ -35,10 +43,39 @@ def exact_quantiles(
         for name, (v, q) in wanted.items()
     ]
     long = df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
-    long = long.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    long = settle(long.filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
     group = [*keys, "_name"]
+    found = _whole_groups(long, group, None)
+    large = settle(long.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole).select(*group))
+    # a null key meets no large group and stays with the small ones
+    if not large.isEmpty():
+        found = _whole_groups(long, group, large).unionByName(
+            _bracketed(long.join(large, group, "left_semi"), group, sorted({float(q) for _, q in wanted.values()}), accuracy))
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_name") == n, F.col("_val"))).alias(n) for n in names]
+    )
+
+
+def _value(a: Column, b: Column, rank: Column) -> Column:
+    return a + (b - a) * (rank - F.floor(rank))
 
-    qs = sorted({float(q) for _, q in wanted.values()})
+
+def _whole_groups(long: DataFrame, group: Sequence[str], without: DataFrame | None) -> DataFrame:
+    """``_val`` of every group, or of those that are not in ``without``."""
+    if without is not None:
+        long = long.join(without, list(group), "left_anti")
+    by_group = W.partitionBy(*group)
+    rank = F.col("_q") * (F.col("_n") - 1)
+    ranked = long.withColumns({
+        "_r": F.row_number().over(by_group.orderBy("_v")) - 1, "_n": F.count(F.lit(1)).over(by_group)})
+    return ranked.groupBy(*group).agg(
+        F.max(F.when(F.col("_r") == F.floor(rank), F.col("_v"))).alias("_a"),
+        F.max(F.when(F.col("_r") == F.ceil(rank), F.col("_v"))).alias("_b"), F.max(rank).alias("_rank"),
+    ).select(*group, _value(F.col("_a"), F.col("_b"), F.col("_rank")).alias("_val"))
+
+
+def _bracketed(long: DataFrame, group: Sequence[str], qs: Sequence[float], accuracy: int) -> DataFrame:
+    """``_val`` of large groups, whose values many tasks share."""
     slack = 4.0 / accuracy
     # a rank is met for certain at the sketch's error plus two rows: the nearest
     # of a few fixed distances that is as far, up to the extremes of the group
@@ -94,11 +131,9 @@ def exact_quantiles(
         F.max("_rank").alias("_rank"),
     ).withColumn(
         "_val", F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a quantile's bracket missed its rank")).cast("double"))
-        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank")))
-    )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_val"))).alias(n) for n in names]
+        .otherwise(_value(F.col("_a"), F.col("_b"), F.col("_rank")))
     )
+    return picked.select(*group, "_val")
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column | str]) -> DataFrame:
