@@ -320,7 +320,7 @@ def _(spark, d):
 _STILL = """still AS (
   SELECT capture_id, CASE WHEN e <= w THEN 0 ELSE best END AS start_i, CASE WHEN e <= w THEN greatest(e, w) ELSE best + w END AS stop_i
   FROM (SELECT capture_id, count(*) FILTER (WHERE t < 3.0) AS e, greatest(round_even(1.0*max(fs), 0)::BIGINT, 5) AS w FROM rated GROUP BY 1) k
-  LEFT JOIN (SELECT capture_id, arg_min(i, struct_pack(var := var, i := i)) AS best FROM (
+  LEFT JOIN (SELECT capture_id, arg_min(i, struct_pack(var := round(var, 9) + 0.0, i := i)) AS best FROM (
     SELECT a.capture_id, a.i, avg(b.m*b.m) - avg(b.m)*avg(b.m) AS var FROM
       (SELECT *, greatest(round_even(1.0*fs, 0)::BIGINT, 5) AS w, count(*) FILTER (WHERE t < 3.0) OVER (PARTITION BY capture_id) AS e FROM rated) a
       JOIN (SELECT capture_id, i, sqrt(gx*gx+gy*gy+gz*gz) AS m FROM samples) b
@@ -334,7 +334,7 @@ def _(spark, d):
 
 
 _HOLDS = """holds AS (
-  SELECT capture_id, hold, arg_min(k, struct_pack(s := s, k := k)) AS start_k, max(len) AS len FROM (
+  SELECT capture_id, hold, arg_min(k, struct_pack(s := round(s, 9) + 0.0, k := k)) AS start_k, max(len) AS len FROM (
     SELECT a.capture_id, a.hold, a.k, a.len, avg(b.m) AS s FROM ranked a JOIN ranked b
       ON a.capture_id = b.capture_id AND a.hold = b.hold AND b.k >= a.k AND b.k < a.k + a.len
     WHERE a.size >= a.len + 2 AND a.k <= a.size - a.len GROUP BY ALL) GROUP BY 1, 2),
@@ -351,10 +351,10 @@ def _(spark, d):
 
 
 @query("w7_quietest_slide", "capture_id", "start_t spread", """
-  SELECT capture_id, arg_min(lo, struct_pack(s := s, lo := lo)) AS start_t, min(s) AS spread FROM (
+  SELECT capture_id, arg_min(lo, struct_pack(s := round(s*s, 9) + 0.0, lo := lo)) AS start_t, min(s) AS spread FROM (
     SELECT a.capture_id, lo, stddev_pop(sqrt(gx*gx+gy*gy+gz*gz)) AS s FROM
       (SELECT capture_id, max(t) AS tend FROM samples GROUP BY 1) a,
-      LATERAL (SELECT unnest(range(0, 200)) * 0.5 AS lo) g
+      LATERAL (SELECT unnest(range(0, (2*greatest(tend - 8.0, 0.1))::BIGINT + 2)) * 0.5 AS lo) g
       JOIN samples b ON b.capture_id = a.capture_id AND b.t >= lo AND b.t < lo + 8.0
     WHERE lo < greatest(tend - 8.0, 0.1) GROUP BY 1, 2 HAVING count(*) >= 10) GROUP BY capture_id""", "samples")
 def _(spark, d):

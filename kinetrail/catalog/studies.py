@@ -189,9 +189,9 @@ def _(spark, d):
 
 
 @query("m26_attitude_drift", "capture_id", "drift_deg", """
-  WITH spot AS (SELECT capture_id, arg_min(lo, struct_pack(s := s, lo := lo)) AS lo FROM (
+  WITH spot AS (SELECT capture_id, arg_min(lo, struct_pack(s := round(s*s, 9) + 0.0, lo := lo)) AS lo FROM (
     SELECT a.capture_id, lo, stddev_pop(sqrt(gx*gx+gy*gy+gz*gz)) AS s FROM (SELECT capture_id, max(t) AS tend FROM samples GROUP BY 1) a,
-      LATERAL (SELECT unnest(range(0, 200)) * 0.5 AS lo) g JOIN samples b ON b.capture_id = a.capture_id AND b.t >= lo AND b.t < lo + 8.0
+      LATERAL (SELECT unnest(range(0, (2*greatest(tend - 8.0, 0.1))::BIGINT + 2)) * 0.5 AS lo) g JOIN samples b ON b.capture_id = a.capture_id AND b.t >= lo AND b.t < lo + 8.0
     WHERE lo < greatest(tend - 8.0, 0.1) GROUP BY 1, 2 HAVING count(*) >= 10) GROUP BY 1),
   e AS (SELECT s.capture_id, arg_min(0.01*event_id, i) AS a, arg_max(0.01*event_id, i) AS b FROM samples s JOIN spot USING (capture_id) WHERE t >= lo AND t < lo + 8.0 GROUP BY 1)
   SELECT capture_id, degrees(2*acos(least(1, abs(cos(b - a))))) AS drift_deg FROM e""", "samples", places=2)   # the attitudes turn about one axis

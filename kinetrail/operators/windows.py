@@ -37,6 +37,11 @@ def widest(series: DataFrame, width: Column) -> int:
     return int(series.agg(F.max(width)).first()[0] or 1)
 
 
+def _ranked(score: Column | str) -> Column:
+    """A score as it is compared: nine places, so that the order in which a sum was added decides nothing."""
+    return F.round(score, 9) + F.lit(0.0)
+
+
 def wide_sums(x: DataFrame, keys: Sequence[str], sums: dict[str, Column], lo: Column, hi: Column) -> DataFrame:
     """Sums over the rows ``lo`` to ``hi`` of the key (clipped), for windows wider than a block.
 
@@ -238,7 +243,8 @@ def stillest_window(
     series: DataFrame, keys: Sequence[str], search_s: float = 3.0, window_s: float = 1.0,
     least: int = 5, value: Column | None = None,
 ) -> DataFrame:
-    """``[start_i, stop_i)`` of lowest variance in the opening ``search_s``."""
+    """``[start_i, stop_i)`` of lowest variance in the opening ``search_s``; the
+    earliest of those equal to nine places."""
     rows = block_rows(series.sparkSession)
     mag = magnitude(GYRO) if value is None else value
     base = per_key(
@@ -264,7 +270,7 @@ def stillest_window(
     else:
         scored = windowed_scaled(x, keys, build, 0, halo, rows)
     scored = scored.filter(F.col("i") <= F.col("_end") - F.col("_w"))
-    best = scored.groupBy(*keys).agg(F.min_by("i", F.struct("_var", "i")).alias("_best"))
+    best = scored.groupBy(*keys).agg(F.min_by("i", F.struct(_ranked("_var"), "i")).alias("_best"))
     short = F.col("_end") <= F.col("_len")
     start = F.when(short, F.lit(0)).otherwise(F.col("_best"))
     return base.join(best, list(keys), "left").select(
@@ -276,7 +282,7 @@ def stillest_window(
 def hold_windows(
     series: DataFrame, keys: Sequence[str], span_s: float = 1.5,
 ) -> DataFrame:
-    """Quietest ``span_s`` inside the opening (0) and closing (2) phase.
+    """Quietest ``span_s`` inside the opening (0) and closing (2) phase, the earliest of those equal to nine places.
 
     Rows of the chosen windows, with ``hold`` (open/close), ``rank`` in the
     phase, ``start_k`` and ``len``.  Absent or short phases give no rows.
@@ -305,7 +311,7 @@ def hold_windows(
     else:
         scored = windowed_scaled(x, part, build, 0, halo, rows)
     best = scored.filter(F.col("i") <= F.col("n") - F.col("_w")).groupBy(*part).agg(
-        F.max("n").alias("n"), F.min_by("i", F.struct("_score", "i")).alias("start_k"))
+        F.max("n").alias("n"), F.min_by("i", F.struct(_ranked("_score"), "i")).alias("start_k"))
     picked = lookup(scored.drop("_score", "_u", "_x"), part, best, "inner").filter(
         (F.col("i") >= F.col("start_k")) & (F.col("i") < F.col("start_k") + F.col("_w")))
     return picked.withColumn("rank", F.col("i")).withColumn("i", F.col("_i")).withColumn(
@@ -316,7 +322,8 @@ def quietest_slide(
     series: DataFrame, keys: Sequence[str], value: Column, span_s: float = 8.0, slide_s: float = 0.5,
     least: int = 10,
 ) -> DataFrame:
-    """Start of the quietest ``span_s`` over starts every ``slide_s``.
+    """Start of the quietest ``span_s`` over starts every ``slide_s``, the earliest of those
+    whose variance is equal to nine places.
 
     Each row is added to the few windows that contain it, so the sliding
     statistic is one grouped aggregate.
@@ -330,7 +337,7 @@ def quietest_slide(
     scored = laid.groupBy(*keys, "_k").agg(
         F.stddev_pop("_x").alias("_s"), F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= least)
     return scored.groupBy(*keys).agg(
-        (F.min_by("_k", F.struct("_s", "_k")) * slide_s).alias("start_t"), F.min("_s").alias("spread"))
+        (F.min_by("_k", F.struct(_ranked(F.col("_s") * F.col("_s")), "_k")) * slide_s).alias("start_t"), F.min("_s").alias("spread"))
 
 
 def drop_short(series: DataFrame, keys: Sequence[str], mask: Column, shortest: Column, out: str) -> DataFrame:
