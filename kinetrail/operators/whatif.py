@@ -196,16 +196,25 @@ def fibonacci_directions(spark: SparkSession, count: int = 60) -> DataFrame:
 
 def lever_sweep(series: DataFrame, reps: DataFrame, keys: Sequence[str], directions: DataFrame,
                 length: float = 0.14) -> DataFrame:
-    """Per direction of the lever arm the median horizontal sweep over reps."""
+    """Per direction of the lever arm the median horizontal sweep over reps.
+
+    Turning and detrending are linear, so samples carry the six horizontal parts of
+    the three unit arms, and a direction is a sum of them: no sample is copied per
+    direction, a rep is folded to its extremes in all directions at once.
+    """
     from kinetrail.plans.quantiles import exact_medians
 
-    keys = [*keys, "param_id"]
-    x = with_params(series, directions)
-    arm = geo.rotate(geo.unit(geo.cols(*QUAT)), tuple(F.col(f"dir_{a}") * length for a in "xyz"))
-    x = x.withColumns(dict(zip(POSITION, arm))).drop("dir_x", "dir_y", "dir_z")
-    ids = directions.select("param_id")
-    spread = with_params(reps.select(*keys[:-1], "rep", "start_i", "stop_i"), ids)
-    path = detrend(x, spread, keys, from_origin=False)
-    size = F.sqrt(F.col("px") ** 2 + F.col("py") ** 2)
-    per = path.groupBy(*keys, "rep").agg((F.max(size) - F.min(size)).alias("sweep"))
-    return exact_medians(per, keys, {"sweep": "sweep"})
+    keys, units = list(keys), {}
+    for k, axis in enumerate("xyz"):
+        arm = geo.rotate(geo.unit(geo.cols(*QUAT)), tuple(F.lit(length if j == k else 0.0) for j in range(3)))
+        units |= {f"_x{axis}": arm[0], f"_y{axis}": arm[1]}
+    x = series.select(*keys, "i", BLOCK, "t", *[c.alias(n) for n, c in units.items()])
+    path = detrend(x, reps, keys, list(units), axes=range(len(units)), from_origin=False)
+    ends, sweeps = [], []
+    for row in directions.collect():          # the caller's own short parameter table
+        px, py = (sum((F.col(f"_{h}{a}") * row[f"dir_{a}"] for a in "yz"), F.col(f"_{h}x") * row["dir_x"]) for h in "xy")
+        size, p = px * px + py * py, row["param_id"]
+        ends += [F.max(size).alias(f"_b{p}"), F.min(size).alias(f"_a{p}")]
+        sweeps.append(F.struct(F.lit(p).alias("param_id"), (F.sqrt(f"_b{p}") - F.sqrt(f"_a{p}")).alias("sweep")))
+    per = path.groupBy(*keys, "rep").agg(*ends).select(*keys, F.explode(F.array(*sweeps)).alias("_s")).select(*keys, "_s.*")
+    return exact_medians(per, [*keys, "param_id"], {"sweep": "sweep"})
