@@ -158,7 +158,6 @@ class _Slice(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", T.StructType([
             T.StructField("us", T.LongType()), T.StructField("v", T.DoubleType())]))
-        self.asked = handle.getValueState("asked", T.StructType([T.StructField("ms", T.LongType())]))
 
     def _end(self, key) -> int:
         return (int(key[-1]) + 1) * self.width_us
@@ -168,15 +167,12 @@ class _Slice(StatefulProcessor):
         if ms > timerValues.getCurrentWatermarkInMs():  # else the slice is closed: the row comes too late
             for pdf in rows:
                 self.waiting.appendList([(int(us), None if v != v else float(v)) for us, v in zip(pdf["us"], pdf["v"])])
-            if not self.asked.exists():
-                self.asked.update((ms,))
-                self.handle.registerTimer(ms)
+            self.handle.registerTimer(ms)  # a timer of the slice that is there already stays one
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         row = fold_slice(list(self.waiting.get()))
         self.waiting.clear()
-        self.asked.clear()
         yield pd.DataFrame([(*key[:-1], pd.Timestamp(self._end(key) - 1, unit="us"), *row)], columns=self.fields)
 
     def close(self) -> None:
