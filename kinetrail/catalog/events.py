@@ -235,7 +235,7 @@ def _(spark, d):
     arg_min(b.vec_id, struct_pack(d := -list_dot_product(a.e, b.e), v := b.vec_id)) AS best_id, max(list_dot_product(a.e, b.e)) AS best
   FROM u a LEFT JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2""")
 def _(spark, d):
-    return tile_products(unit_vectors(spark, d), ["label"], "vec_id", "e", 0.2, tile=64)
+    return tile_products(unit_vectors(spark, d), ["label"], "vec_id", "e", 0.2)
 
 
 def unit_vectors(spark, d):
@@ -475,7 +475,7 @@ def _(spark, d):
   SELECT a.label, a.vec_id, count(*) FILTER (WHERE a.vec_id = b.vec_id OR list_dot_product(a.e, b.e) > 0.1) AS members
   FROM u a JOIN u b USING (label) GROUP BY 1, 2""")
 def _(spark, d):
-    got = tile_products(unit_vectors(spark, d), ["label"], "vec_id", "e", 0.1, tile=64)
+    got = tile_products(unit_vectors(spark, d), ["label"], "vec_id", "e", 0.1)
     return got.withColumn("members", F.col("hits") + 1)
 
 
