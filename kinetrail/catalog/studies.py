@@ -17,10 +17,10 @@ from kinetrail.plans.quantiles import exact_medians
 
 
 @query("w10_prominent_peaks", "capture_id i", "peak prominence", """
-  WITH y AS (SELECT capture_id, i, value AS v, lag(value) OVER w AS l, lead(value) OVER w AS r FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY i)),
-  p AS (SELECT capture_id, i, v FROM y WHERE v > l AND v > r),
+  WITH y AS (SELECT capture_id, i, n, value AS v, lag(value) OVER w AS l, lead(value) OVER w AS r FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY i)),
+  p AS (SELECT capture_id, i, n, v FROM y WHERE v > l AND v > r),
   b AS (SELECT p.*, coalesce((SELECT max(i) FROM samples s WHERE s.capture_id = p.capture_id AND s.i < p.i AND s.value > p.v), -1) AS lo,
-    coalesce((SELECT min(i) FROM samples s WHERE s.capture_id = p.capture_id AND s.i > p.i AND s.value > p.v), 1000000) AS hi FROM p)
+    coalesce((SELECT min(i) FROM samples s WHERE s.capture_id = p.capture_id AND s.i > p.i AND s.value > p.v), p.n) AS hi FROM p)
   SELECT capture_id, i, v AS peak, v - greatest((SELECT min(value) FROM samples s WHERE s.capture_id = b.capture_id AND s.i > lo AND s.i <= b.i),
     (SELECT min(value) FROM samples s WHERE s.capture_id = b.capture_id AND s.i >= b.i AND s.i < hi)) AS prominence FROM b""", "samples")
 def _(spark, d):

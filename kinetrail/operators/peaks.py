@@ -70,11 +70,11 @@ def thin_by_distance(peaks: DataFrame, keys: Sequence[str], value: str, distance
 
 
 def _base(peaks: DataFrame, keys: list[str], side: int, count: int) -> DataFrame:
-    """Lowest value on the way from each peak to the first higher one on one
+    """Lowest value on the way from each wanted peak to the first higher one on one
     side (``side`` -1 left, 1 right), by doubling over the peak sequence.
 
-    ``peaks``: k, h and ``v``, the valley between the peak and its neighbour on
-    that side.
+    ``peaks``: k, h, ``_wanted`` and ``v``, the valley between the peak and its
+    neighbour on that side.
     """
     level = settle(peaks.select(*keys, "k", F.col("h").alias("_mx"), F.col("v").alias("_mn")))
     levels = [level]
@@ -83,7 +83,7 @@ def _base(peaks: DataFrame, keys: list[str], side: int, count: int) -> DataFrame
         far = levels[-1].select(*keys, (F.col("k") - side * step).alias("k"), F.col("_mx").alias("_x2"), F.col("_mn").alias("_n2"))
         levels.append(settle(levels[-1].join(far, [*keys, "k"]).select(
             *keys, "k", F.greatest("_mx", "_x2").alias("_mx"), F.least("_mn", "_n2").alias("_mn"))))
-    state = peaks.select(*keys, F.col("k").alias("_s"), (F.col("k") + side).alias("k"), "h", F.col("v").alias("_low"))
+    state = peaks.filter("_wanted").select(*keys, F.col("k").alias("_s"), (F.col("k") + side).alias("k"), "h", F.col("v").alias("_low"))
     for p in range(len(levels) - 1, -1, -1):
         step = levels[p].withColumnsRenamed({"_mx": "_x2", "_mn": "_n2"})
         pass_ = F.col("_x2").isNotNull() & (F.col("_x2") <= F.col("h"))
@@ -97,6 +97,8 @@ def find_peaks(series: DataFrame, keys: Sequence[str], value: str, distance: Col
                padded: bool = False) -> DataFrame:
     """Strict local maxima thinned by ``distance``, with their prominence.
 
+    The way to a base ends at the first higher row, which need not be a peak left by
+    the thinning or a strict one: every row that no neighbour exceeds is a stop on it.
     ``padded`` treats the ends as falling away (so end rows can be peaks and
     the outer bases lie one range below the minimum).
     """
@@ -108,15 +110,19 @@ def find_peaks(series: DataFrame, keys: Sequence[str], value: str, distance: Col
         F.col("_r").isNull(), end).otherwise(F.col("_y") > F.col("_r"))
     carried = [*keys, "i", "n", BLOCK, "_y", *[c for c in ("t",) if c in series.columns]]
     found = thin_by_distance(x.filter(top).select(*carried), keys, "_y", distance)
-    found = settle(ordinal(found, keys, "k"))
-    # valley before each peak, and the one after the last
-    marked = x.join(found.select(*keys, "i", F.lit(1).alias("_one")), [*keys, "i"], "left")
+    # flat tops count once, by their first row
+    stop = (F.col("_l").isNull() | (F.col("_y") > F.col("_l"))) & (F.col("_r").isNull() | (F.col("_y") >= F.col("_r")))
+    stops = x.filter(F.col("_y").isNotNull() & stop).select(*keys, "i", BLOCK, "_y").join(
+        found.select(*keys, "i", F.lit(True).alias("_wanted")), [*keys, "i"], "left")
+    stops = settle(ordinal(stops.withColumn("_wanted", F.coalesce("_wanted", F.lit(False))), keys, "k"))
+    # valley before each stop, and the one after the last
+    marked = x.join(stops.select(*keys, "i", F.lit(1).alias("_one")), [*keys, "i"], "left")
     slot = prefix(marked, keys, {"_slot": ("sum", F.coalesce("_one", F.lit(0)))}, inclusive=False)
     low = settle(slot.groupBy(*keys, F.coalesce("_slot", F.lit(0)).alias("k")).agg(F.min("_y").alias("v")))
     span = x.groupBy(*keys).agg((2 * F.min("_y") - F.max("_y")).alias("_pad"))
-    count = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+    count = stops.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
     longest = count.agg(F.max("_count")).first()[0] or 0          # one number
-    base = found.select(*keys, "k", F.col("_y").alias("h")).join(count, keys).join(span, keys)
+    base = stops.select(*keys, "k", "_wanted", F.col("_y").alias("h")).join(count, keys).join(span, keys)
     pad = F.col("_pad") if padded else F.lit(float("inf"))
     left = base.join(low, [*keys, "k"]).withColumn("v", F.when(F.col("k") == 0, F.least("v", pad)).otherwise(F.col("v")))
     after = low.withColumn("k", F.col("k") - 1)
@@ -124,7 +130,8 @@ def find_peaks(series: DataFrame, keys: Sequence[str], value: str, distance: Col
     right = right.withColumn("v", F.when(F.col("k") == F.col("_count") - 1, F.least("v", pad)).otherwise(F.col("v")))
     a = _base(settle(left), keys, -1, longest)
     b = _base(settle(right), keys, 1, longest)
-    got = found.join(a, [*keys, "k"]).join(b, [*keys, "k"])
+    at = stops.filter("_wanted").select(*keys, "i", "k")
+    got = found.join(at.join(a, [*keys, "k"]).join(b, [*keys, "k"]).drop("k"), [*keys, "i"])
     return got.withColumn("prominence", F.col("_y") - F.greatest("_base-1", "_base1")).drop("_base-1", "_base1").withColumnRenamed("_y", "peak")
 
 
