@@ -8,24 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.functions.rules import stem
+from kinetrail.plans.joins import salted_join
 from kinetrail.sources.track_files import tracker_of
 
 TRACKERS = ("markers", "plate")
+SALTS = 64   # tasks that captures of one prefix are spread over
 
 
 def pair_captures(captures: DataFrame, clips: DataFrame, capture: str = "path", clip: str = "clip_path") -> DataFrame:
     """Longest clip stem that begins the capture's stem, same dataset; a miss
     keeps the capture with a null clip.
 
-    A stem has few prefixes that end at a token, but any prefix may match, so
-    each capture emits its prefixes (its own length, tens of characters) and
-    meets clips by equality instead of a prefix join.
+    Any prefix may match, so each capture emits its prefixes (tens of characters) of
+    the lengths that the clips of its dataset have, and meets clips by equality instead
+    of a prefix join.  Many captures share a prefix; they are spread over ``SALTS`` tasks.
     """
     c = captures.withColumn("_stem", stem(F.col(capture)))
-    prefixes = c.withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_stem")))).withColumn(
-        "_pre", F.substring(F.col("_stem"), F.lit(1), F.col("_len")))
     named = clips.select("dataset", F.col(clip), stem(F.col(clip)).alias("_pre"))
-    hit = prefixes.join(named, ["dataset", "_pre"]).groupBy("dataset", F.col(capture)).agg(
+    # one row per dataset
+    lengths = named.groupBy("dataset").agg(F.collect_set(F.length("_pre")).alias("_lens"))
+    prefixes = c.select("dataset", capture, "_stem").join(F.broadcast(lengths), "dataset").withColumn("_len", F.explode("_lens")).filter(
+        F.col("_len").between(1, F.length("_stem"))).withColumn("_pre", F.substring(F.col("_stem"), F.lit(1), F.col("_len"))).drop("_stem", "_lens")
+    met = salted_join(prefixes, named, ["dataset", "_pre"], F.xxhash64(capture), SALTS)
+    hit = met.groupBy("dataset", F.col(capture)).agg(
         F.max_by(clip, F.struct("_len", clip)).alias(clip))
     return c.drop("_stem").join(hit, ["dataset", capture], "left")
 
