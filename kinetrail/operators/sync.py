@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetrail.operators.windows import gradient, smooth
 from kinetrail.plans.blocks import BLOCK, block_rows, lookup, ordinal, per_key, reblock, settle, windowed
-from kinetrail.plans.scans import zero_phase_band
+from kinetrail.plans.scans import each_group, numbers, zero_phase_band
 
 # fixed values of the lag search
 SYNC_FS, SYNC_LO, SYNC_HI = 200.0, 0.15, 5.0
@@ -96,30 +96,43 @@ def lag_curve(left: DataFrame, right: DataFrame, keys: Sequence[str], value_left
     schema = T.StructType([
         *[left.schema[k] for k in keys], T.StructField("lag", T.LongType()),
         *[T.StructField(s, T.DoubleType()) for s in sums]])
-
-    def correlate(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if l.empty or r.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
-        g0, g1 = int(l["_g"].min()), int(l["_g"].max())
-        width = g1 - g0 + 1
-        h0, span = g0 - max_lag, width + 2 * max_lag
-        x, mx = np.zeros(width), np.zeros(width)
-        y, my = np.zeros(span), np.zeros(span)
-        x[l["_g"].to_numpy() - g0], mx[l["_g"].to_numpy() - g0] = l["_v"].to_numpy(), 1.0
-        ok = (r["_g"].to_numpy() >= h0) & (r["_g"].to_numpy() < h0 + span)
-        at = r["_g"].to_numpy()[ok] - h0
-        y[at], my[at] = r["_v"].to_numpy()[ok], 1.0
-        size = 1 << int(np.ceil(np.log2(span + width)))
-
-        def slide(p, q):      # sum_g p[g] q[g + lag]
-            return np.fft.irfft(np.conj(np.fft.rfft(p, size)) * np.fft.rfft(q, size), size)[: 2 * max_lag + 1]
-
-        got = [np.rint(slide(mx, my)), slide(x, my), slide(mx, y), slide(x, y), slide(x * x, my), slide(mx, y * y)]
-        out = {k: l[k].iloc[0] for k in keys}
-        table = pd.DataFrame({**out, "lag": np.arange(-max_lag, max_lag + 1), **dict(zip(sums, got))})
-        return table[table["_n"] > 0]
-
-    parts = a.groupBy(*keys, BLOCK).cogroup(b.groupBy(*keys, BLOCK)).applyInPandas(correlate, schema)
+    lags = np.arange(-max_lag, max_lag + 1)
+
+    def correlate(table: pa.Table, cuts: np.ndarray) -> pa.Table:
+        side, g, v = table.column("_side").to_numpy(), table.column("_g").to_numpy(), numbers(table, "_v")
+        rows, which, got = [], [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            if mid in (lo, hi):
+                continue
+            width = int(g[mid - 1] - g[lo]) + 1
+            h0, span = g[lo] - max_lag, width + 2 * max_lag
+            p, q = np.zeros((3, width)), np.zeros((3, span))    # present, value, square
+            at = g[lo:mid] - g[lo]
+            p[:, at] = np.stack([np.ones(len(at)), v[lo:mid], v[lo:mid] ** 2])
+            ok = (g[mid:hi] >= h0) & (g[mid:hi] < h0 + span)
+            at, y = (g[mid:hi] - h0)[ok], v[mid:hi][ok]
+            q[:, at] = np.stack([np.ones(len(y)), y, y**2])
+            size = 1 << int(np.ceil(np.log2(span + width)))
+            fp, fq = np.conj(np.fft.rfft(p, size)), np.fft.rfft(q, size)
+            # sum_g p[g] q[g + lag]
+            s = np.fft.irfft(fp[[0, 1, 0, 1, 2, 0]] * fq[[0, 0, 1, 1, 0, 2]], size)[:, :2 * max_lag + 1]
+            s[0] = np.rint(s[0])
+            keep = s[0] > 0
+            rows.append(np.full(int(keep.sum()), lo))
+            which.append(lags[keep])
+            got.append(s[:, keep])
+        if not rows:
+            return pa.table({f.name: table.column(f.name).slice(0, 0) if f.name in keys else pa.array(
+                [], pa.int64() if f.name == "lag" else pa.float64()) for f in schema})
+        found = table.select(keys).take(pa.array(np.concatenate(rows))).append_column("lag", pa.array(np.concatenate(which)))
+        for name, x in zip(sums, np.concatenate(got, axis=1)):
+            found = found.append_column(name, pa.array(x))
+        return found
+
+    # both sides of a block as one run of rows, the left one first
+    both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
+    parts = each_group(both, [*keys, BLOCK], ["_side", "_g"], correlate, schema)
     total = parts.groupBy(*keys, "lag").agg(*[F.sum(s).alias(s) for s in sums])
     n = F.col("_n")
     cov = F.col("_ab") - F.col("_a") * F.col("_b") / n
@@ -145,12 +158,13 @@ def motion_signals(track: DataFrame, series: DataFrame, keys: Sequence[str], hei
     dense = lookup(dense, keys, count.withColumn("m", F.col("n"))).withColumnRenamed("m", "n")
     clip = uniform_grid(dense, keys, ["_h"], rate)
     clip = gradient(clip, keys, "_h", "_dv").withColumn("_fs", F.lit(rate))
+    phase = clip.groupBy(*keys).agg(F.min("t").alias("_origin"))
     clip = zero_phase_band(clip, keys, "_dv", "signal", SYNC_LO, SYNC_HI, "_fs")
     log = uniform_grid(series, keys, [velocity], rate).withColumn("_fs", F.lit(rate))
-    log = zero_phase_band(log, keys, velocity, "_b", SYNC_LO, SYNC_HI, "_fs")
-    phase = clip.groupBy(*keys).agg(F.min("t").alias("_origin"))
     n = per_key(log, keys).join(phase, list(keys))
-    log = lookup(log, keys, n, "inner").select(*keys, "i", "n", BLOCK, "t", "_b", "_origin")
+    log = zero_phase_band(log, keys, velocity, "_b", SYNC_LO, SYNC_HI, "_fs")
+    # read several times by the second grid: written once
+    log = settle(lookup(log, keys, n, "inner").select(*keys, "i", "n", BLOCK, "t", "_b", "_origin"))
     on_phase = uniform_grid(log, keys, ["_b"], rate, origin="_origin").withColumnRenamed("_b", "signal")
     return clip.select(*keys, "i", F.col("i").alias("k"), "n", BLOCK, "t", "signal"), on_phase
 
