@@ -340,7 +340,7 @@ def _(spark, d):
 def _(spark, d):
     p = settle(paths(spark, d))
     lengths = p.filter("j = 0").select(*KEY, "rep", "duration")
-    return score.dispersion(settle(score.resample_reps(p, KEY, XYZ)), lengths, KEY, XYZ)
+    return score.dispersion(score.resample_reps(p, KEY, XYZ, once=True), lengths, KEY, XYZ)
 
 
 @query("t4_worst_rep", "capture_id rep", "spread", f"""

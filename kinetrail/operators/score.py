@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.operators.motion import POSITION
-from kinetrail.plans.blocks import BLOCK, lookup, neighbours, per_key, reblock, windowed
+from kinetrail.plans.blocks import BLOCK, lookup, neighbours, per_key, reblock, settle, windowed
 from kinetrail.plans.joins import interpolate, interval_join, salted_join
 from kinetrail.plans.quantiles import exact_medians, exact_quantiles
 
@@ -64,14 +64,27 @@ def with_next(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
     return rows.join(ahead, [*keys, "rep", "i"], "left")
 
 
-def resample_reps(rows: DataFrame, keys: Sequence[str], values: Sequence[str] = POSITION, points: int = 100) -> DataFrame:
+def resample_reps(rows: DataFrame, keys: Sequence[str], values: Sequence[str] = POSITION, points: int = 100,
+                  once: bool = False) -> DataFrame:
+    """:func:`resample` of rows with their successors.  ``once`` writes those rows, not the points that they
+    give: points are laid out again wherever they are read."""
+    if once:
+        rows = with_next(rows.select(*keys, "rep", "i", "j", "start_i", "stop_i", *values), keys, values)
+        # neighbouring reps lie together, so that means over reps are added up before they are sent
+        rows = settle(rows.repartition(*keys, F.floor(F.col("rep") / 64)))
+        return resample(rows, {v: f"next_{v}" for v in values}, keys, points)
     return resample(with_next(rows, keys, values), {v: f"next_{v}" for v in values}, keys, points)
 
 
 def deviations(grid: DataFrame, keys: Sequence[str], values: Sequence[str] = POSITION) -> DataFrame:
-    """Distance of every resampled point from the mean rep."""
-    mean = grid.groupBy(*keys, "g").agg(*[F.avg(v).alias(f"_m_{v}") for v in values])
-    x = salted_join(grid, mean, [*keys, "g"], F.col("rep"))
+    """Distance of every resampled point from the mean rep.
+
+    A mean goes to as many salts as the reps of its key take, 64 neighbouring reps sharing one.
+    """
+    salt = F.pmod(F.floor(F.col("rep") / 64), F.lit(16)).cast("int")
+    mean = grid.groupBy(*keys, "g").agg(*[F.avg(v).alias(f"_m_{v}") for v in values], F.collect_set(salt).alias("_salts"))
+    mean = mean.withColumn("_salt", F.explode("_salts")).drop("_salts")
+    x = grid.withColumn("_salt", salt).join(mean, [*keys, "g", "_salt"]).drop("_salt")
     d = x.withColumns({f"d_{v}": F.col(v) - F.col(f"_m_{v}") for v in values}).drop(*[f"_m_{v}" for v in values])
     return d.withColumns({
         "horizontal": F.sqrt(F.col(f"d_{values[0]}") ** 2 + F.col(f"d_{values[1]}") ** 2),
@@ -86,14 +99,20 @@ def dispersion(grid: DataFrame, durations: DataFrame, keys: Sequence[str],
     """
     keys = list(keys)
     dev = deviations(grid, keys, values)
-    base = dev.groupBy(*keys).agg(
-        F.countDistinct("rep").alias("n_reps"),
-        (F.sqrt(F.avg(F.col("horizontal") ** 2)) * 100).alias("horizontal_rms"),
-        (F.sqrt(F.avg(F.col("vertical") ** 2)) * 100).alias("vertical_rms"),
-        *[(F.sqrt(F.avg(F.col(f"d_{v}") ** 2)) * 100).alias(f"rms_{v}") for v in values])
+    parts = {"horizontal": "horizontal", "vertical": "vertical", **{v: f"d_{v}" for v in values}}
+    # points are gathered by rep once; all but the quantiles follows from a row per rep
+    per_rep = settle(dev.groupBy(*keys, "rep").agg(
+        F.avg("horizontal").alias("spread"),
+        *[F.struct(F.sum(F.col(c) ** 2).alias("s"), F.count(c).alias("n")).alias(f"_{p}") for p, c in parts.items()]))
+
+    def root(part: str) -> Column:
+        return F.sqrt(F.sum(f"_{part}.s") / F.sum(f"_{part}.n")) * 100
+
+    base = per_rep.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_reps"), root("horizontal").alias("horizontal_rms"), root("vertical").alias("vertical_rms"),
+        *[root(v).alias(f"rms_{v}") for v in values])
     p95 = exact_quantiles(dev, keys, {"_h": ("horizontal", 0.95), "_v": ("vertical", 0.95)}).select(
         *keys, (F.col("_h") * 100).alias("horizontal_p95"), (F.col("_v") * 100).alias("vertical_p95"))
-    per_rep = dev.groupBy(*keys, "rep").agg(F.avg("horizontal").alias("spread"))
     worst = per_rep.groupBy(*keys).agg(F.max_by("rep", F.struct("spread", -F.col("rep"))).alias("worst_rep"))
     med = exact_medians(durations, keys, {"_md": "duration"})
     tempo = per_rep.join(durations, [*keys, "rep"])
