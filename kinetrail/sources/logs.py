@@ -11,6 +11,7 @@ from kinetrail.functions import geometry as geo
 from kinetrail.functions.rules import stem
 from kinetrail.operators.motion import spacing
 from kinetrail.plans.blocks import index_series, lookup, per_key
+from kinetrail.sources.packed import pack, unpack, with_head
 
 # fixed values: the file format
 CORE = ("t", "qw", "qx", "qy", "qz", "ax", "ay", "az", "gx", "gy", "gz")
@@ -37,7 +38,18 @@ def lines_of(text: DataFrame) -> DataFrame:
 
 def place_lines(lines: DataFrame, key: Column | None = None) -> DataFrame:
     """The rows of :func:`read_logs` from the lines of :func:`lines_of`; a batch of a stream will do if it holds whole files."""
-    lines = lines.select("file", "text", F.struct("at", F.monotonically_increasing_id().alias("row")).alias("line"))
+    return _placed(lines.select("file", "text", F.struct("at", F.monotonically_increasing_id().alias("row")).alias("line")),
+                   stem(F.col("file")) if key is None else key)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of :func:`read_logs` from recordings in packed files; the capture is the name each was packed under."""
+    lines = unpack(spark, path).select("file", F.trim("text").alias("text"), F.struct(
+        F.lit(0).cast("long").alias("at"), F.col("number").alias("row")).alias("line"))
+    return _placed(lines, F.col("file"))
+
+
+def _placed(lines: DataFrame, key: Column) -> DataFrame:
     head = F.col("text").rlike(r"^t\s*,")
     names = lines.filter(head).groupBy("file").agg(F.min_by(F.split("text", r"\s*,\s*"), "line").alias("names"))
     body = lines.filter(~head & (F.col("text") != "")).join(names, "file")
@@ -46,7 +58,7 @@ def place_lines(lines: DataFrame, key: Column | None = None) -> DataFrame:
     placed = body.withColumn("_m", found)
     return placed.select(
         *[F.expr(f"try_cast(_m['{c}'] as double)").alias(c) for c in (*CORE, PHASE, *DEAD)],
-        (stem(F.col("file")) if key is None else key).alias("capture_id"), "line")
+        key.alias("capture_id"), "line")
 
 
 def load_logs(raw: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
@@ -76,3 +88,9 @@ def save_logs(rows: DataFrame, path: str, key: str = "capture_id", order: str =
                        F.col(order).alias("_o"))
     (text.repartitionByRange(F.col(key), F.col("_o")).sortWithinPartitions(key, "_o").drop("_o")
      .write.mode("overwrite").partitionBy(key).option("header", True).csv(path))
+
+
+def save_packed(rows: DataFrame, path: str, key: str = "capture_id") -> None:
+    """The recordings of :func:`save_logs` in packed files; ``i`` is the row's position in its recording."""
+    core = F.concat_ws(",", *[F.coalesce(F.format_string("%.9g", F.col(c).cast("double")), F.lit("")) for c in CORE])
+    pack(with_head(rows.withColumn("file", F.col(key).cast("string")), "i", core, [F.lit(",".join(CORE))]), path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrail.functions.rules import CAMERA_SIDE, lift_of, stem
+from kinetrail.sources.packed import unpack
 
 # fixed values: the file format
 FRAME_COLUMNS = ("t", "x", "height", "score", "n_markers", "residual_px", "m_per_px_t", "circumradius_px",
@@ -24,7 +25,16 @@ def read_tracks(spark: SparkSession, path: str, key: Column | None = None) -> tu
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"),
         F.monotonically_increasing_id().alias("pos"))
-    lines = lines.withColumn("clip_id", stem(F.col("file")) if key is None else key)
+    return _clips_and_frames(lines.withColumn("clip_id", stem(F.col("file")) if key is None else key))
+
+
+def read_packed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same from tracks in packed files; the clip is the name each was packed under."""
+    return _clips_and_frames(unpack(spark, path).select(
+        F.trim("text").alias("line"), F.col("number").alias("pos"), F.col("file").alias("clip_id")))
+
+
+def _clips_and_frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     head = lines.filter(F.col("line").startswith("#") & F.col("line").contains("=")).select(
         "clip_id", F.trim(F.regexp_extract("line", r"^#\s*([^=]*?)\s*=", 1)).alias("k"),
         F.trim(F.regexp_extract("line", r"^#[^=]*=\s*(.*)$", 1)).alias("v"))
