@@ -8,6 +8,7 @@ from kinetrail.catalog.base import KEY, query, samples, track
 from kinetrail.catalog.repeats import _M5, bounds, scored
 from kinetrail.catalog.signals import _g0, _sql_rotate
 from kinetrail.operators import fit, studies, whatif
+from kinetrail.operators.motion import ACCEL, QUAT
 from kinetrail.plans.blocks import settle
 
 BIAS, LEVER = (-0.02, 0.0, 0.02), (0.0, 0.09)
@@ -46,15 +47,15 @@ _OBJECTIVE = f"""grid AS (SELECT row_number() OVER (ORDER BY b, l) - 1 AS param_
 
 
 def refereed(spark, d):
-    """Samples with the referee of the same capture."""
-    return settle(fit.with_referee(samples(spark, d), track(spark, d).withColumnRenamed("clip_id", "capture_id"), KEY))
+    """What a rebuild reads of the samples, with the referee of the same capture."""
+    s = samples(spark, d).select(*KEY, "i", "n", "t", "dt", *QUAT, *ACCEL)
+    return settle(fit.with_referee(s, track(spark, d).withColumnRenamed("clip_id", "capture_id"), KEY))
 
 
 def grid_scores(spark, d):
-    grid = whatif.parameter_grid(spark, {"bias_x": BIAS, "lever_x": LEVER})
-    each = [*KEY, "param_id"]
-    rebuilt = whatif.rebuild(settle(whatif.with_params(refereed(spark, d), grid)), each, TERMS, bias_frame=None)
-    return settle(fit.objective(rebuilt, whatif.with_params(bounds(spark, d), grid.select("param_id")), each))
+    own = whatif.grid_candidates({"bias_x": BIAS, "lever_x": LEVER}, TERMS)
+    paths = whatif.rebuild_each(refereed(spark, d), KEY, own, [fit.REFEREE], bias_frame=None)
+    return settle(fit.score_moments(fit.each_moments(paths, bounds(spark, d), KEY, len(own)), [*KEY, "param_id"]))
 
 
 @query("o2_objective_grid", "capture_id param_id n_compared", "h_rms null_h_rms", f"WITH {_OBJECTIVE} SELECT * FROM scores", "samples reps track", places=2)

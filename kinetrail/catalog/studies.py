@@ -279,14 +279,15 @@ def _(spark, d):
 
 @query("o1_rebuild_grid", "param_id capture_id", "h_rms", places=3)
 def _(spark, d):
-    grid = whatif.parameter_grid(spark, {"bias_x": [-0.02, 0.0, 0.02], "lever_x": [0.0, 0.09]})
-    s = settle(whatif.with_params(samples(spark, d), grid))
-    keys = [*KEY, "param_id"]
-    x = whatif.rebuild(s, keys, {"bias": ("bias_x", 0.0, 0.0), "lever": ("lever_x", 0.0, 0.0)})
-    spread = whatif.with_params(bounds(spark, d), grid.select("param_id"))
-    path = correct.detrend(settle(x), spread, keys)
-    per = path.groupBy(*keys, "rep").agg((F.sqrt(F.avg(F.col("px") ** 2 + F.col("py") ** 2)) * 100).alias("v"))
-    return exact_medians(per, keys, {"h_rms": "v"})
+    own = whatif.grid_candidates({"bias_x": [-0.02, 0.0, 0.02], "lever_x": [0.0, 0.09]}, {"bias": ("bias_x", 0.0, 0.0), "lever": ("lever_x", 0.0, 0.0)})
+    flat = [f"{p}_{k}" for k in range(len(own)) for p in ("px", "py")]
+    x = whatif.rebuild_each(samples(spark, d), KEY, own)
+    path = correct.detrend(x.select(*KEY, "i", "n", BLOCK, "t", *flat), bounds(spark, d), KEY, flat, axes=range(len(flat)))
+    per = path.groupBy(*KEY, "rep").agg(*[
+        (F.sqrt(F.avg(F.col(f"px_{k}") ** 2 + F.col(f"py_{k}") ** 2)) * 100).alias(f"v_{k}") for k in range(len(own))])
+    long = per.select(*KEY, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("param_id"), F.col(f"v_{k}").alias("v")) for k in range(len(own))])).alias("_e")).select(*KEY, "_e.*")
+    return exact_medians(long, [*KEY, "param_id"], {"h_rms": "v"})
 
 
 @query("o8_lever_directions", "capture_id param_id", "sweep")

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.operators.correct import detrend
-from kinetrail.operators.whatif import rebuild
-from kinetrail.plans.blocks import lookup, per_key, reblock, settle
+from kinetrail.operators.whatif import rebuild, rebuild_each
+from kinetrail.plans.blocks import BLOCK, lookup, per_key, reblock, settle
 from kinetrail.plans.joins import interpolate, salted_join
 from kinetrail.plans.quantiles import exact_medians
 
@@ -23,10 +23,13 @@ def with_referee(series: DataFrame, track: DataFrame, keys: Sequence[str], x: st
     """The series with the referee's horizontal place at each row's time, null outside the track's span.
 
     It does not depend on any parameter, so it is interpolated once and carried
-    through every rebuild.
+    through every rebuild.  Only positions and times take part in that; the
+    other columns of the series meet the result once.
     """
     ref = track.filter(F.col(x).isNotNull()).select(*keys, "t", F.col(x).alias(REFEREE))
-    return reblock(interpolate(series, ref, keys, "t", [REFEREE], outside="null"))
+    at = interpolate(series.select(*keys, "i", "t"), ref, keys, "t", [REFEREE], outside="null").select(*keys, "i", REFEREE)
+    own = reblock(series)
+    return own.join(reblock(at), [*keys, BLOCK, "i"]).select(*own.columns, REFEREE)
 
 
 def rep_moments(rebuilt: DataFrame, reps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,6 +46,24 @@ def rep_moments(rebuilt: DataFrame, reps: DataFrame, keys: Sequence[str]) -> Dat
         *[F.sum(v).alias(f"s_{k}") for k, v in sums.items()])
 
 
+def each_moments(paths: DataFrame, reps: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
+    """The rows of :func:`rep_moments` with ``param_id``, from ``count`` paths side by side
+    (:func:`~kinetrail.operators.whatif.rebuild_each`) and reps that all of them share."""
+    flat = [f"{p}_{k}" for k in range(count) for p in ("px", "py")]
+    path = detrend(paths.select(*keys, "i", "n", BLOCK, "t", REFEREE, *flat), reps, keys, (*flat, REFEREE), axes=range(len(flat)))
+    r, sums = F.col(REFEREE), {}
+    for k in range(count):
+        x, y = F.col(f"px_{k}"), F.col(f"py_{k}")
+        sums |= {f"x_{k}": x, f"y_{k}": y, f"xx_{k}": x * x, f"yy_{k}": y * y, f"xy_{k}": x * y, f"xr_{k}": x * r, f"yr_{k}": y * r}
+    per = path.groupBy(*keys, "rep").agg(
+        F.count(F.lit(1)).alias("m"), (F.count(r) == F.count(F.lit(1))).alias("covered"),
+        F.sum(r).alias("s_r"), F.sum(r * r).alias("s_rr"), *[F.sum(v).alias(f"s_{n}") for n, v in sums.items()])
+    own = [F.struct(F.lit(k).alias("param_id"), *[F.col(f"s_{c}_{k}").alias(f"s_{c}") for c in ("x", "y", "xx", "yy", "xy", "xr", "yr")])
+           for k in range(count)]
+    return per.select(*keys, "rep", "m", "covered", "s_r", "s_rr", F.explode(F.array(*own)).alias("_o")).select(
+        *keys, "rep", "m", "covered", "s_r", "s_rr", "_o.*")
+
+
 def objective(rebuilt: DataFrame, reps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n_compared, h_rms, null_h_rms): median over the covered reps of the horizontal rms in centimetres.
 
@@ -51,8 +72,13 @@ def objective(rebuilt: DataFrame, reps: DataFrame, keys: Sequence[str]) -> DataF
     all reps of a key.  A key that cannot be scored has an infinite ``h_rms``;
     one without any rep is absent.
     """
+    return score_moments(rep_moments(rebuilt, reps, list(keys)), keys)
+
+
+def score_moments(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`objective` from the rows of :func:`rep_moments`."""
     keys = list(keys)
-    m = settle(rep_moments(rebuilt, reps, keys))
+    m = settle(moments)
     total = m.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("m", "s_x", "s_y", "s_xx", "s_yy", "s_xy")])
     n, x, y = F.col("m"), F.col("s_x"), F.col("s_y")
@@ -114,9 +140,16 @@ def bracket_search(series: DataFrame, reps: DataFrame, keys: Sequence[str], axes
             (F.col(a) + o * axes[a][1] * shrink**k).alias(a) for a, o in zip(names, step)]) for p, step in enumerate(steps)])
         asked = settle(state.select(*keys, "n", grid.alias("grid")))
         each = [*keys, "param_id"]
-        rebuilt = rebuild(settle(each_candidate(series, asked, keys)), each, params, **how)
-        spans = each_candidate(reps.select(*keys, "rep", "start_i", "stop_i"), asked, keys, F.col("rep")).drop(*names)
-        scores = settle(objective(rebuilt, spans, each))
+        spans = reps.select(*keys, "rep", "start_i", "stop_i")
+        if how.get("bias_frame", "world") in ("world", None):
+            value = {(a, p): F.col("_g")[p][a].alias(f"{a}_{p}") for p in range(len(steps)) for a in names}
+            laid = lookup(series, keys, asked.select(*keys, "n", F.col("grid").alias("_g")), "inner").select(*series.columns, *value.values())
+            own = [{term: tuple(f"{v}_{p}" if v in names else v for v in vector) for term, vector in params.items()} for p in range(len(steps))]
+            moments = each_moments(rebuild_each(laid, keys, own, [REFEREE], **how), spans, keys, len(steps))
+        else:
+            moments = rep_moments(rebuild(each_candidate(series, asked, keys), each, params, **how),
+                                  each_candidate(spans, asked, keys, F.col("rep")).drop(*names), each)
+        scores = settle(score_moments(moments, each))
         best = scores.groupBy(*keys).agg(
             F.min_by(F.struct("param_id", "n_compared", "h_rms", "null_h_rms"), F.struct(
                 "h_rms", F.abs(F.col("param_id") - middle), "param_id")).alias("_b"),

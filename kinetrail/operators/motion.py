@@ -198,6 +198,38 @@ def error_model(series: DataFrame, params: dict[str, Sequence[str | float]],
     return got.drop("_ax", "_ay", "_az", "_mw", "_mx", "_my", "_mz")
 
 
+def error_models(series: DataFrame, candidates: Sequence[dict[str, Sequence[str | float]]],
+                 out: Sequence[Sequence[str]]) -> DataFrame:
+    """:func:`error_model` under several candidates side by side, ``out[k]`` for candidate ``k``.
+
+    What no candidate changes (attitude, gravity in the sensor's frame) is worked
+    out once a row, in columns that the candidates share.
+    """
+    q, g = ("_mw", "_mx", "_my", "_mz"), ("_gx", "_gy", "_gz")
+    x = series.withColumns(dict(zip(q, geo.unit(geo.cols(*QUAT)))))
+    x = x.withColumns({**dict(zip(g, geo.rotate(geo.inverse(geo.cols(*q)), geo.lit3(geo.GRAVITY)))),
+                       **dict(zip(("_uw", "_ux", "_uy", "_uz"), geo.unit(geo.cols(*q)))), "_size": geo.norm(geo.cols(*ACCEL))})
+    worlds = {}
+    for params, names in zip(candidates, out):
+        def vec(name):
+            return tuple(F.col(v) if isinstance(v, str) else F.lit(float(v)) for v in params[name])
+
+        a = geo.cols(*ACCEL)
+        if "scale" in params:
+            a = tuple(v * (1.0 + s) for v, s in zip(a, vec("scale")))
+        if "bias" in params:
+            a = geo.add(a, vec("bias"))
+        turn = geo.exponential(vec("tilt")) if "tilt" in params else None
+        if "gravref" in params:
+            per_row = geo.exponential(geo.scale(vec("gravref"), F.col("_size")))
+            turn = per_row if turn is None else geo.multiply(per_row, turn)
+        facing = geo.cols("_uw", "_ux", "_uy", "_uz")
+        if turn is not None:
+            facing = geo.unit(geo.multiply(turn, geo.cols(*q)))
+        worlds |= dict(zip(names, geo.add(geo.rotate(facing, geo.sub(a, geo.cols(*g))), geo.lit3(geo.GRAVITY))))
+    return x.withColumns(worlds).drop(*q, *g, "_uw", "_ux", "_uy", "_uz", "_size")
+
+
 def unwrap(series: DataFrame, keys: Sequence[str], angle: str, out: str = "unwrapped") -> DataFrame:
     """Continuous angle: first value plus the sum of wrapped differences."""
     stepped = windowed(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,9 @@ from kinetrail.functions.rules import MODEL_LADDER, PLAUSIBLE, TERM_SIZE
 from kinetrail.operators.calibrate import body_frame_bias, remove_accel_bias, split_bias
 from kinetrail.operators.correct import cut, detrend
 from kinetrail.operators.motion import (
-    POSITION, QUAT, VELOCITY, WORLD, apply_offset, double_integral, error_model,
+    POSITION, QUAT, VELOCITY, WORLD, apply_offset, double_integral, error_model, error_models,
 )
-from kinetrail.plans.blocks import BLOCK, block_rows, lookup, per_key
+from kinetrail.plans.blocks import BLOCK, block_rows, lookup, per_key, settle
 from kinetrail.plans.joins import salted_join
 
 
@@ -99,6 +100,39 @@ def rebuild(series: DataFrame, keys: Sequence[str], params: dict[str, Sequence[s
     return x
 
 
+def rebuild_each(series: DataFrame, keys: Sequence[str], candidates: Sequence[dict[str, Sequence[str | float]]],
+                 carry: Sequence[str] = (), bias_frame: str | None = "world", **window) -> DataFrame:
+    """The paths of :func:`rebuild` under every candidate side by side: ``px_k py_k pz_k`` for candidate ``k``.
+
+    A sample is one row however many candidates there are, so what is shuffled
+    and written grows by three numbers a candidate, not by a copy of the sample.
+    Candidates are ``params`` of :func:`rebuild`; the bias frame is world or None.
+    Returns the position columns ``i n _blk t``, ``carry`` and the paths, settled.
+    """
+    if bias_frame not in ("world", None):
+        raise ValueError("side by side the bias frame is world or None")
+    keys = list(keys)
+
+    def named(stems: Sequence[str]) -> list[str]:
+        return [f"{c}_{k}" for k in range(len(candidates)) for c in stems]
+
+    x = error_models(series, candidates, [[f"{w}_{k}" for w in WORLD] for k in range(len(candidates))])
+    if bias_frame == "world":
+        x = remove_accel_bias(x, keys, named(WORLD), **window)
+    x = double_integral(x, keys, named(WORLD), named(VELOCITY), named(POSITION))
+    for k, params in enumerate(candidates):
+        if "lever" in params:
+            x = apply_offset(x, params["lever"], position=[f"{p}_{k}" for p in POSITION])
+    return settle(x.select(*keys, "i", "n", BLOCK, "t", *carry, *named(POSITION)))
+
+
+def grid_candidates(axes: dict[str, Sequence[float]], params: dict[str, Sequence[str | float]]) -> list[dict]:
+    """``params`` with the values of every combination of ``axes``, in the order of :func:`parameter_grid`."""
+    names = list(axes)
+    return [{term: tuple(values[names.index(v)] if isinstance(v, str) else v for v in vector) for term, vector in params.items()}
+            for values in product(*[axes[n] for n in names])]
+
+
 def attribution(series: DataFrame, reps: DataFrame, keys: Sequence[str], bins: Column,
                 world: Sequence[str] = WORLD) -> DataFrame:
     """Each bin's share of the detrended path: exact, because integration and
