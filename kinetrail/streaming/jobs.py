@@ -144,11 +144,12 @@ def stream_refractory(events: DataFrame, key: str, gap_ms: int, delay: str) -> D
         outputMode="Append", timeMode="EventTime")
 
 
-class _Slice(StatefulProcessor):
-    """Folds the samples of one (key, slice of time) to one row when the watermark passes the slice.
+class _Slices(StatefulProcessor):
+    """Folds the samples of one (bucket of keys, slice of time) to a row per key when the watermark passes the slice.
 
-    Spacing and runs depend on the order, so a slice's samples wait in a list
-    state, one entry each, until no earlier one can come.
+    Spacing and runs depend on the order, so a slice's samples wait in a list state
+    until no earlier one can come: ``CHUNK`` of them at most in an entry, as arrays.
+    A call to the state serves all keys of the bucket.
     """
 
     def __init__(self, width_us: int, fields: list[str]):
@@ -156,67 +157,86 @@ class _Slice(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", T.StructType([
-            T.StructField("us", T.LongType()), T.StructField("v", T.DoubleType())]))
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(c, T.BinaryType()) for c in ("key", "us", "v")]))
 
     def _end(self, key) -> int:
         return (int(key[-1]) + 1) * self.width_us
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ms = -(-self._end(key) // 1000)
-        if ms > timerValues.getCurrentWatermarkInMs():  # else the slice is closed: the row comes too late
+        if ms > timerValues.getCurrentWatermarkInMs():  # else the slice is closed: the rows come too late
             for pdf in rows:
-                self.waiting.appendList([(int(us), None if v != v else float(v)) for us, v in zip(pdf["us"], pdf["v"])])
+                parts = [pdf.iloc[k:k + CHUNK] for k in range(0, len(pdf), CHUNK)]
+                self.waiting.appendList([(
+                    "\n".join(x["key"]).encode(), x["us"].to_numpy(np.int64).tobytes(), x["v"].to_numpy(np.float64).tobytes()) for x in parts])
             self.handle.registerTimer(ms)  # a timer of the slice that is there already stays one
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        row = fold_slice(list(self.waiting.get()))
+        names, us, v = zip(*((bytes(k).decode().split("\n"), np.frombuffer(u, np.int64), np.frombuffer(x, np.float64)) for k, u, x in self.waiting.get()))
         self.waiting.clear()
-        yield pd.DataFrame([(*key[:-1], pd.Timestamp(self._end(key) - 1, unit="us"), *row)], columns=self.fields)
+        code, name = pd.factorize(np.array([n for part in names for n in part], object))
+        folded = fold_slices(code, np.concatenate(us), np.concatenate(v))
+        yield pd.DataFrame({"key": name, "at": pd.Timestamp(self._end(key) - 1, unit="us"), **folded})[self.fields]
 
     def close(self) -> None:
         pass
 
 
+CHUNK = 4096  # samples in an entry of the state
 SLICE = ("n long, n_v long, s double, m2 double, top double, bottom double, first_us long, last_us long, dt double, dt2 double, "
          "head_v double, head_n long, tail_v double, tail_n long, runs long, at_top long, at_bottom long")
 
 
-def fold_slice(samples: list[tuple[int, float | None]]) -> tuple:
-    """Samples (us, value) of a slice to the values named in ``SLICE``; such rows can be chained in order of time.
+def fold_slices(key: np.ndarray, us: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+    """Samples (key from 0 without gaps, us, v; NaN: no value) of one slice to the values named in ``SLICE``, one row a key.
 
-    ``at_top`` and ``at_bottom`` count the samples in runs of two or more at the
-    slice's own extremes, without the first and the last run.  A sample without a value
-    is a run of its own, at no extreme.
+    Rows of a key can be chained in order of time.  ``at_top`` and ``at_bottom`` count
+    the samples in runs of two or more at the slice's own extremes, without the first
+    and the last run.  A sample without a value is a run of its own, at no extreme.
     """
-    samples = sorted(samples, key=lambda x: (x[0], x[1] is not None, x[1] or 0.0))
-    us = np.array([x[0] for x in samples], np.int64)
-    v = np.array([np.nan if x[1] is None else x[1] for x in samples])
-    known = v[~np.isnan(v)]
-    step = np.diff(us).astype(float)
-    starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    size, value = np.diff(np.r_[starts, len(v)]), v[starts]
-    top, bottom = (known.max(), known.min()) if len(known) else (None, None)
-    inner, long = slice(1, -1), size[1:-1] >= 2
-    count = [int(size[inner][long & (value[inner] == e)].sum()) if e is not None else 0 for e in (top, bottom)]
+    order = np.lexsort((np.nan_to_num(v, nan=0.0, posinf=np.inf, neginf=-np.inf), ~np.isnan(v), us, key))
+    key, us, v = key[order], us[order], v[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    at = np.flatnonzero(new)
+    end = np.r_[at[1:], len(key)]
+    known = ~np.isnan(v)
+    n_v, s = np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(np.where(known, v, 0.0), at)
+    mean = s / np.maximum(n_v, 1)
+    top = np.where(n_v > 0, np.maximum.reduceat(np.where(known, v, -np.inf), at), np.nan)
+    bottom = np.where(n_v > 0, np.minimum.reduceat(np.where(known, v, np.inf), at), np.nan)
+    step = np.where(new, 0, np.diff(us, prepend=us[:1])).astype(float)
+    run = np.flatnonzero(new | np.r_[True, v[1:] != v[:-1]])
+    size, value, of = np.diff(np.r_[run, len(v)]), v[run], key[run]
+    head = np.searchsorted(run, at)
+    tail = np.r_[head[1:], len(run)] - 1
+    long = size >= 2
+    long[head] = long[tail] = False
+    return {
+        "n": end - at, "n_v": n_v, "s": s, "m2": np.add.reduceat(np.where(known, (v - mean[key]) ** 2, 0.0), at), "top": top, "bottom": bottom,
+        "first_us": us[at], "last_us": us[end - 1], "dt": np.add.reduceat(step, at), "dt2": np.add.reduceat(step * step, at),
+        "head_v": value[head], "head_n": size[head], "tail_v": value[tail], "tail_n": size[tail], "runs": tail - head + 1,
+        "at_top": np.add.reduceat(np.where(long & (value == top[of]), size, 0), head),
+        "at_bottom": np.add.reduceat(np.where(long & (value == bottom[of]), size, 0), head)}
 
-    def some(x):
-        return None if np.isnan(x) else float(x)
 
-    return (len(v), len(known), float(known.sum()), float(((known - known.mean()) ** 2).sum()) if len(known) else 0.0, top, bottom,
-            int(us[0]), int(us[-1]), float(step.sum()), float((step * step).sum()), some(value[0]), int(size[0]),
-            some(value[-1]), int(size[-1]), len(size), *count)
+def fold_slice(samples: list[tuple[int, float | None]]) -> tuple:
+    """:func:`fold_slices` of one key's samples (us, value); None where there is no value."""
+    us = np.array([x[0] for x in samples], np.int64)
+    v = np.array([np.nan if x[1] is None else x[1] for x in samples])
+    return tuple(None if x != x else x for x in (c[0].item() for c in fold_slices(np.zeros(len(us), np.int64), us, v).values()))
 
 
 def stream_quality(samples: DataFrame, keys: Sequence[str], every: str, delay: str, ts: str = "ts",
-                   value: str = "value", uneven: float = 0.2, slices: int = 24) -> DataFrame:
+                   value: str = "value", uneven: float = 0.2, slices: int = 24, buckets: int = 16) -> DataFrame:
     """Tumbling counts, spread, extremes, irregular sampling and clipped samples per key.
 
-    A window is cut in ``slices``.  Spark state keeps the samples of a (key, slice)
-    until the watermark has passed it and folds them to one row; a second
-    aggregation chains a window's at most ``slices`` rows in order of time.  So a key with
-    very many samples is spread over its slices, and no row grows with its samples.  A
+    A window is cut in ``slices`` and the keys are dealt to ``buckets``.  Spark state
+    keeps the samples of a (bucket, slice) until the watermark has passed it and folds
+    them to one row a key; a second aggregation chains a key's at most ``slices`` rows
+    of a window in order of time.  So a key with very many samples is spread over its
+    slices, no row grows with its samples, and calls between Python and the state go
+    by bucket, not by key.  A stream that starts again must keep both numbers.  A
     row more than ``delay`` behind the newest comes too late.  Clipped are the samples
     in runs of two or more at the window's own extreme.  Needs the RocksDB state store.
     """
@@ -224,11 +244,17 @@ def stream_quality(samples: DataFrame, keys: Sequence[str], every: str, delay: s
     if width * slices != int(pd.Timedelta(every) / pd.Timedelta(microseconds=1)):
         raise ValueError(f"{every} is not a multiple of {slices} slices in microseconds")
     us = F.unix_micros(ts)
+    # as text a key goes through Python as it is: pandas makes doubles of longs where some are null
+    named = T.StructType([samples.schema[k] for k in keys])
+    exact = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
     cut = samples.withWatermark(ts, delay).select(
-        *keys, F.floor(us / width).cast("long").alias("_slice"), us.alias("us"), F.col(value).cast("double").alias("v"), ts)
-    out = T.StructType([*(samples.schema[k] for k in keys), T.StructField("at", T.TimestampType()), *T.StructType.fromDDL(SLICE).fields])
-    folded = cut.groupBy(*keys, "_slice").transformWithStateInPandas(
-        statefulProcessor=_Slice(width, out.names), outputStructType=out, outputMode="Append", timeMode="EventTime", eventTimeColumnName="at")
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), F.floor(us / width).cast("long").alias("_slice"),
+        F.to_json(F.struct(*keys), exact).alias("key"), us.alias("us"), F.col(value).cast("double").alias("v"), ts)
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("at", T.TimestampType()), *T.StructType.fromDDL(SLICE).fields])
+    folded = cut.groupBy("_bucket", "_slice").transformWithStateInPandas(
+        statefulProcessor=_Slices(width, out.names), outputStructType=out, outputMode="Append", timeMode="EventTime", eventTimeColumnName="at")
+    folded = folded.withColumn("_key", F.from_json("key", named, exact)).select(
+        *[F.col("_key")[k].alias(k) for k in keys], "at", *[f.name for f in T.StructType.fromDDL(SLICE)])
     window = folded.groupBy(*keys, F.window("at", every)).agg(
         F.sum("n").alias("rows"), F.sum("n_v").alias("n_v"), F.sum("s").alias("s"), F.max("top").alias("top"), F.min("bottom").alias("bottom"),
         F.array_sort(F.collect_list(F.struct("first_us", *[f.split()[0] for f in SLICE.split(", ") if f.split()[0] != "first_us"]))).alias("_s"))
