@@ -44,15 +44,21 @@ def place_lines(lines: DataFrame, key: Column | None = None) -> DataFrame:
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """The rows of :func:`read_logs` from recordings in packed files; the capture is the name each was packed under."""
-    lines = unpack(spark, path).select("file", F.trim("text").alias("text"), F.struct(
-        F.lit(0).cast("long").alias("at"), F.col("number").alias("row")).alias("line"))
-    return _placed(lines, F.col("file"))
+    return place_packed(unpack(spark, path), [])
 
 
-def _placed(lines: DataFrame, key: Column) -> DataFrame:
+def place_packed(lines: DataFrame, within: Sequence[str]) -> DataFrame:
+    """The rows of :func:`read_packed` from the lines of :func:`~kinetrail.sources.packed.unpacked`; names are
+    those of other recordings where the columns ``within`` differ."""
+    return _placed(lines.select(*within, "file", F.trim("text").alias("text"), F.struct(
+        F.lit(0).cast("long").alias("at"), F.col("number").alias("row")).alias("line")), F.col("file"), within)
+
+
+def _placed(lines: DataFrame, key: Column, within: Sequence[str] = ()) -> DataFrame:
     head = F.col("text").rlike(r"^t\s*,")
-    names = lines.filter(head).groupBy("file").agg(F.min_by(F.split("text", r"\s*,\s*"), "line").alias("names"))
-    body = lines.filter(~head & (F.col("text") != "")).join(names, "file")
+    file = [*within, "file"]
+    names = lines.filter(head).groupBy(*file).agg(F.min_by(F.split("text", r"\s*,\s*"), "line").alias("names"))
+    body = lines.filter(~head & (F.col("text") != "")).join(names, file)
     # a short line leaves its last columns null
     found = F.map_from_entries(F.arrays_zip("names", F.slice(F.split("text", r"\s*,\s*", -1), F.lit(1), F.size("names"))))
     placed = body.withColumn("_m", found)

@@ -7,7 +7,7 @@ bytes, not by recordings, and a file may lie in any number of parts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,13 @@ def pack(lines: DataFrame, path: str) -> None:
 
 def unpack(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, text) of every line of every packed file."""
+    return unpacked(spark.read.text(path))
+
+
+def unpacked(text: DataFrame, *more: Column) -> DataFrame:
+    """(file, number, text), after the columns ``more``, of lines of packed files read as text."""
     part = F.split("value", "\t", 3)
-    return spark.read.text(path).select(part[0].alias("file"), part[1].cast("long").alias("number"), part[2].alias("text"))
+    return text.select(*more, part[0].alias("file"), part[1].cast("long").alias("number"), part[2].alias("text"))
 
 
 def with_head(rows: DataFrame, first: str, text, head) -> DataFrame:

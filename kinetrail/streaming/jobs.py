@@ -14,7 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.streaming.query import StreamingQuery
 
 from kinetrail.functions.rules import stem
-from kinetrail.sources.logs import CORE, DEAD, PHASE, lines_of, place_lines
+from kinetrail.sources.logs import CORE, DEAD, PHASE, lines_of, place_lines, place_packed
+from kinetrail.sources.packed import unpacked
 
 
 def ingest_logs(spark: SparkSession, landing: str, table: str, checkpoint: str, header: Sequence[str] = (*CORE, PHASE),
@@ -41,7 +42,7 @@ ROWS = ", ".join([*(f"{c} double" for c in (*CORE, PHASE, *DEAD)), "capture_id s
 
 
 def ingest_files(spark: SparkSession, landing: str, table: str, checkpoint: str, key: Column | None = None,
-                 files_per_batch: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+                 files_per_batch: int | None = None, trigger: dict | None = None, packed: bool = False) -> StreamingQuery:
     """Append the log files of a landing folder to a table, each file once, whatever its columns.
 
     One stream reads lines; every file's lines are placed through its own header
@@ -51,22 +52,31 @@ def ingest_files(spark: SparkSession, landing: str, table: str, checkpoint: str,
     committed parts only.  A batch that runs again, with the stream's checkpoint or
     without it, finds its files in the manifest and adds nothing; what a batch
     wrote before it failed is a part that nobody reads.  ``table`` has one writer.
+    With ``packed`` a landed file holds many recordings, each whole, as :func:`~kinetrail.sources.packed.pack`
+    writes them; files count once, and a recording's name is its capture.
     """
-    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{table}/manifest")
+    none = spark.range(0).select(F.lit("").alias("file"), F.lit("").alias("part"))
+    none.coalesce(1).write.mode("append").parquet(f"{table}/manifest")
     source = spark.readStream.option("recursiveFileLookup", True)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = batch.sparkSession.read.schema(MANIFEST).parquet(f"{table}/manifest").select("file")
-        fresh = batch.join(known, "file", "left_anti")
+        fresh = batch.join(known.withColumnRenamed("file", unit), unit, "left_anti")
+        if fresh.isEmpty():
+            return
         part = F.lit(f"{batch_id}-{uuid.uuid4().hex}").alias("part")
-        place_lines(fresh, key).withColumn("capture_id", F.col("capture_id").cast("string")).select("*", part).write.partitionBy(
+        placed = place_packed(fresh, [unit]) if packed else place_lines(fresh, key)
+        placed.withColumn("capture_id", F.col("capture_id").cast("string")).select("*", part).write.partitionBy(
             "part").mode("append").parquet(f"{table}/rows")
         # one task, one file: it appears whole or not at all
-        fresh.select("file").distinct().select("file", part).coalesce(1).write.mode("append").parquet(f"{table}/manifest")
+        fresh.select(F.col(unit).alias("file")).distinct().select("file", part).coalesce(1).write.mode("append").parquet(f"{table}/manifest")
 
-    return lines_of(source.text(landing)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+    unit = "pack" if packed else "file"
+    text = source.text(landing)
+    lines = unpacked(text, F.col("_metadata.file_path").alias("pack")) if packed else lines_of(text)
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
 
 
